@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.twin import cte, r, register
 from plumbline.functions.scalars import rnd
 from plumbline.operators import asof, prices
+from plumbline.operators.ranking import ranked
 from plumbline.sources import testbed
 
 AS_OF = [date(1999, 6, 30), date(1999, 12, 31), date(2000, 6, 30), date(2000, 12, 31)]
@@ -285,13 +286,11 @@ register(
 
 def momentum_leaders(spark, sf):
     """Rank tickers by one-year return at each research date."""
-    from pyspark.sql import Window
-
     rows = market_summary(spark, sf).filter(
         F.col("one_year_return").isNotNull() & (F.col("ticker") != testbed.BENCHMARK)
     )
-    order = Window.partitionBy("as_of_date").orderBy(F.desc("one_year_return"), "ticker")
-    return rows.withColumn("momentum_rank", F.row_number().over(order).cast("long")).select(
+    placed = ranked(rows, ["as_of_date"], "one_year_return", "ticker", "momentum_rank", 0.002)
+    return placed.select(
         "as_of_date",
         "ticker",
         "momentum_rank",
@@ -304,7 +303,8 @@ def momentum_leaders(spark, sf):
 register(
     "momentum_leaders",
     momentum_leaders,
-    f"""SELECT as_of_date, ticker, ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY one_year_return DESC, ticker) AS momentum_rank,
+    f"""SELECT as_of_date, ticker,
+ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY one_year_return DESC, MD5(ticker), ticker) AS momentum_rank,
 {r('one_year_return', 6, 'one_year_return')}, {r('annualized_volatility', 6, 'annualized_volatility')}, {r('max_drawdown', 6, 'max_drawdown')}
 FROM market_asof WHERE one_year_return IS NOT NULL AND ticker <> 'Index#0'""",
     "market_asof",
