@@ -112,41 +112,56 @@ def full_window(value: Column, counted: str, rows: int) -> Column:
     return F.when(F.count(counted).over(trailing(rows)) == rows, value)
 
 
-def with_ema(priced: DataFrame, source: str, span: int, target: str) -> DataFrame:
-    """Exponential average seeded with the first value, without a loop or UDF.
+def with_emas(priced: DataFrame, source: str, spans: dict[str, int]) -> DataFrame:
+    """Exponential averages seeded with the first value, without a loop or UDF.
 
     Needs a dense `rn` and non-null `source`. Inside a block the recursion has
     the closed form q^j * sum(x_i * q^-i); the end value of the block before is
-    carried in. Terms two blocks back weigh q^1024 and are below double
-    precision after the one that is kept.
+    carried in. What lies two blocks back is kept once more and is below double
+    precision beyond that. All spans share one sort by (ticker, block, date).
     """
-    q = 1.0 - 2.0 / (span + 1.0)
+    decay = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
     j = (F.col("rn") % EMA_BLOCK).cast("double")
-    weighted = F.when(F.col("rn") == 0, F.col(source)).otherwise(F.col(source) * (1.0 - q))
     in_block = (
         Window.partitionBy("ticker", "_block")
         .orderBy("date")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = BY_DATE.rowsBetween(Window.unboundedPreceding, -1)
-    block_end = F.col("rn") % EMA_BLOCK == EMA_BLOCK - 1
-    return (
-        priced.withColumn("_block", F.floor(F.col("rn") / EMA_BLOCK))
-        .withColumn("_part", F.pow(F.lit(q), j) * F.sum(weighted * F.pow(F.lit(q), -j)).over(in_block))
-        .withColumn("_carry", F.last(F.when(block_end, F.col("_part")), True).over(before))
-        .withColumn(
-            "_end",
-            F.when(
-                block_end, F.col("_part") + F.coalesce("_carry", F.lit(0.0)) * (q**EMA_BLOCK)
-            ),
-        )
-        .withColumn("_carry", F.last("_end", True).over(before))
-        .withColumn(
-            target,
-            F.col("_part") + F.pow(F.lit(q), j + 1) * F.coalesce("_carry", F.lit(0.0)),
-        )
-        .drop("_block", "_part", "_carry", "_end")
+    before = (
+        Window.partitionBy("ticker")
+        .orderBy("_block", "date")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ends = F.col("rn") % EMA_BLOCK == EMA_BLOCK - 1
+
+    def weighted(q: float) -> Column:
+        first = F.when(F.col("rn") == 0, F.col(source)).otherwise(F.col(source) * (1.0 - q))
+        return first * F.pow(F.lit(q), -j)
+
+    def carry(name: str, column: str) -> Column:
+        return F.coalesce(F.last(F.when(ends, F.col(f"{column}{name}")), True).over(before), F.lit(0.0))
+
+    out = priced.withColumn("_block", F.floor(F.col("rn") / EMA_BLOCK))
+    out = out.withColumns(
+        {f"_part_{n}": F.pow(F.lit(q), j) * F.sum(weighted(q)).over(in_block) for n, q in decay.items()}
     )
+    out = out.withColumns(
+        {f"_full_{n}": F.col(f"_part_{n}") + (q**EMA_BLOCK) * carry(n, "_part_") for n, q in decay.items()}
+    )
+    out = out.withColumns(
+        {n: F.col(f"_part_{n}") + F.pow(F.lit(q), j + 1) * carry(n, "_full_") for n, q in decay.items()}
+    )
+    return out.drop("_block", *[f"{k}{n}" for n in spans for k in ("_part_", "_full_")])
+
+
+def chained_ema(first: str, first_span: int, second: str, second_span: int) -> Column:
+    """Exponential average of an exponential average, from the two single ones.
+
+    By partial fractions the chain of two first-order recursions with decays
+    a and b is (a(1-b) * first - b(1-a) * second) / (a - b).
+    """
+    a, b = 1.0 - 2.0 / (first_span + 1.0), 1.0 - 2.0 / (second_span + 1.0)
+    return F.col(first) * (a * (1 - b) / (a - b)) - F.col(second) * (b * (1 - a) / (a - b))
 
 
 def with_technicals(priced: DataFrame) -> DataFrame:
@@ -183,11 +198,11 @@ def with_technicals(priced: DataFrame) -> DataFrame:
         )
         .drop("_avg_gain", "_avg_loss", "_gain", "_loss", "_deviation")
     )
-    base = with_ema(base, "price", 12, "ema_12")
-    base = with_ema(base, "price", 26, "ema_26")
-    base = base.withColumn("macd", F.col("ema_12") - F.col("ema_26"))
-    base = with_ema(base, "macd", 9, "macd_signal")
-    return base.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    base = with_emas(base, "price", {"ema_12": 12, "ema_26": 26, "_ema_9": 9})
+    signal = chained_ema("ema_12", 12, "_ema_9", 9) - chained_ema("ema_26", 26, "_ema_9", 9)
+    return base.withColumns(
+        {"macd": F.col("ema_12") - F.col("ema_26"), "macd_signal": signal}
+    ).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_ema_9")
 
 
 def price_panel(bars: DataFrame, benchmark: str, risk_free_rate: float = 0.0) -> DataFrame:
