@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("prices", "factors")
+SECTIONS = ("prices", "factors", "tables", "portfolio")
 
 
 def load():

@@ -26,12 +26,17 @@ PERIODS = {
 # for every span of 9 and above.
 EMA_BLOCK = 512
 
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
-SO_FAR = BY_DATE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+def by_date():
+    return Window.partitionBy("ticker").orderBy("date")
 
-def trailing(rows: int) -> Window:
-    return BY_DATE.rowsBetween(-(rows - 1), Window.currentRow)
+
+def so_far():
+    return by_date().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def trailing(rows: int):
+    return by_date().rowsBetween(-(rows - 1), Window.currentRow)
 
 
 def with_price(bars: DataFrame) -> DataFrame:
@@ -42,15 +47,15 @@ def with_returns(bars: DataFrame) -> DataFrame:
     """price, rn (0-based row) and daily_return; no forward fill."""
     return (
         with_price(bars)
-        .withColumn("rn", (F.row_number().over(BY_DATE) - 1).cast("long"))
-        .withColumn("daily_return", safe_divide("price", F.lag("price").over(BY_DATE)) - 1)
+        .withColumn("rn", (F.row_number().over(by_date()) - 1).cast("long"))
+        .withColumn("daily_return", safe_divide("price", F.lag("price").over(by_date())) - 1)
     )
 
 
 def with_period_returns(priced: DataFrame) -> DataFrame:
     return priced.withColumns(
         {
-            name: safe_divide("price", F.lag("price", rows).over(BY_DATE)) - 1
+            name: safe_divide("price", F.lag("price", rows).over(by_date())) - 1
             for name, rows in PERIODS.items()
         }
     )
@@ -58,14 +63,14 @@ def with_period_returns(priced: DataFrame) -> DataFrame:
 
 def with_risk(priced: DataFrame, risk_free_rate: float = 0.0) -> DataFrame:
     """Expanding measures: what each date could know of its own past."""
-    deviation = F.stddev_samp("daily_return").over(SO_FAR)
-    mean = F.avg("daily_return").over(SO_FAR)
+    deviation = F.stddev_samp("daily_return").over(so_far())
+    mean = F.avg("daily_return").over(so_far())
     flat = F.round(deviation, 12) == 0
     return (
         priced.withColumns(
             {
                 "cumulative_return": F.when(
-                    F.col("rn") >= 1, safe_divide("price", F.first("price").over(SO_FAR)) - 1
+                    F.col("rn") >= 1, safe_divide("price", F.first("price").over(so_far())) - 1
                 ),
                 "annualized_volatility": deviation * math.sqrt(TRADING_DAYS),
                 "sharpe_ratio": F.when(
@@ -73,12 +78,12 @@ def with_risk(priced: DataFrame, risk_free_rate: float = 0.0) -> DataFrame:
                     safe_divide(mean - risk_free_rate / TRADING_DAYS, deviation)
                     * math.sqrt(TRADING_DAYS),
                 ),
-                "return_count": F.count("daily_return").over(SO_FAR),
-                "_peak": F.max("price").over(SO_FAR),
+                "return_count": F.count("daily_return").over(so_far()),
+                "_peak": F.max("price").over(so_far()),
             }
         )
         .withColumn("_drawdown", safe_divide(F.col("price") - F.col("_peak"), "_peak"))
-        .withColumn("max_drawdown", F.min("_drawdown").over(SO_FAR))
+        .withColumn("max_drawdown", F.min("_drawdown").over(so_far()))
         .drop("_peak", "_drawdown")
     )
 
@@ -98,8 +103,8 @@ def with_beta(priced: DataFrame, benchmark: DataFrame) -> DataFrame:
     ticker partitioning survives.
     """
     both = F.when(F.col("daily_return").isNotNull(), F.col("benchmark_return"))
-    variance = F.var_samp(both).over(SO_FAR)
-    covariance = F.covar_samp("daily_return", both).over(SO_FAR)
+    variance = F.var_samp(both).over(so_far())
+    covariance = F.covar_samp("daily_return", both).over(so_far())
     return (
         priced.join(F.broadcast(benchmark), "date", "left")
         .withColumn("beta_vs_spy", F.when(variance > 1e-18, safe_divide(covariance, variance)))
@@ -166,7 +171,7 @@ def chained_ema(first: str, first_span: int, second: str, second_span: int) -> C
 
 def with_technicals(priced: DataFrame) -> DataFrame:
     """SMA, EMA, RSI, MACD, Bollinger bands and volume average."""
-    delta = F.col("price") - F.lag("price").over(BY_DATE)
+    delta = F.col("price") - F.lag("price").over(by_date())
     base = priced.withColumns(
         {
             **{

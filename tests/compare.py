@@ -6,12 +6,15 @@ usage: python tests/compare.py [sf] [name-prefix ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
+import threading
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+LIMIT = float(os.environ.get("COMPARE_LIMIT", "60"))
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -51,14 +54,24 @@ def rows_of(columns, data):
 
 def compare(spark, con, name, query, sql, sf_dir):
     start = time.time()
-    frame = query(spark, sf_dir)
-    spark_rows = [tuple(r) for r in frame.collect()]
+    timer = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        frame = query(spark, sf_dir)
+        spark_rows = [tuple(r) for r in frame.collect()]
+    finally:
+        timer.cancel()
     took = time.time() - start
     if sql is None:
         return f"rows-only {len(spark_rows)}", took, True
-    cur = con.execute(sql)
-    columns = [d[0] for d in cur.description]
-    duck_rows = cur.fetchall()
+    timer = threading.Timer(LIMIT, con.interrupt)
+    timer.start()
+    try:
+        cur = con.execute(sql)
+        columns = [d[0] for d in cur.description]
+        duck_rows = cur.fetchall()
+    finally:
+        timer.cancel()
     left_names, left = rows_of(frame.columns, spark_rows)
     right_names, right = rows_of(columns, duck_rows)
     if left_names != right_names:
