@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog.prices import AS_OF, base, dates_sql
-from plumbline.catalog.twin import cte, r, register
+from plumbline.catalog.twin import SNAPSHOTS, cte, r, register
 from plumbline.functions.factor_config import (
     FACTOR_METRICS,
     FACTOR_WEIGHTS,
@@ -34,9 +34,14 @@ def market_caps(spark, sf, by=testbed.SUPPLIER):
 
 
 def raw(spark, sf, by=testbed.SUPPLIER, dates=AS_OF):
-    return factors.raw_factors(
-        testbed.bars(spark, sf, by), testbed.statements(spark, sf, by), dates, testbed.BENCHMARK
-    ).persist()  # scoring reads the panel three times
+    """Raw factors, stored once: scoring reads them three times."""
+
+    def build():
+        return factors.raw_factors(
+            testbed.bars(spark, sf, by), testbed.statements(spark, sf, by), dates, testbed.BENCHMARK
+        )
+
+    return SNAPSHOTS.get(spark, ("raw", sf, by, tuple(dates)), build)
 
 
 # --- twins ---------------------------------------------------------------
@@ -256,6 +261,10 @@ def scored(spark, sf):
     return factors.score(raw(spark, sf))
 
 
+def stored_scores(spark, sf):
+    return SNAPSHOTS.get(spark, ("scored", sf), lambda: scored(spark, sf))
+
+
 simple("q_pit_financials", seen, FUND_KEYS, MONEY, "seen")
 simple(
     "j_asof_fundamental",
@@ -448,7 +457,9 @@ cte("final_selection", f"SELECT * FROM inner_ranked WHERE screen_rank <= {FINAL_
 
 
 def selection(spark, sf, screen_n=SCREEN_N, final_n=FINAL_N):
-    return factors.two_stage(raw(spark, sf), screen_n, final_n)
+    return SNAPSHOTS.get(
+        spark, ("selection", sf, screen_n, final_n), lambda: factors.two_stage(raw(spark, sf), screen_n, final_n)
+    )
 
 
 simple("c_two_stage", selection, [*KEY, "universe_rank", "screen_rank"], {"overall_score": 4, "universe_score": 4}, "final_selection")
@@ -462,7 +473,7 @@ _SNAP_SQL = "(SELECT *, " + ", ".join(f"{a} * {b} / 100.0 AS {n}" for n, (a, b)
 
 
 def snapshot_panel(spark, sf, dates=AS_OF):
-    return factors.snapshots(testbed.bars(spark, sf), testbed.statements(spark, sf), dates, testbed.BENCHMARK)
+    return factors.with_interactions(factors.score(raw(spark, sf, dates=dates)))
 
 
 simple("c_snapshots", snapshot_panel, KEY, SNAPSHOT, _SNAP_SQL, "scored")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog import factors as cf
 from plumbline.catalog.prices import AS_OF, base
-from plumbline.catalog.twin import cte, r, register
+from plumbline.catalog.twin import SNAPSHOTS, cte, r, register
 from plumbline.functions.factor_config import SCORE_COLUMNS
 from plumbline.functions.scalars import rnd
 from plumbline.operators import asof, backtest, calendars, covariance, factors, labels, portfolio, prices
@@ -90,7 +90,7 @@ add("a_excess", forward, FKEY, {"forward_excess_return": 5}, "forward")
 
 
 def panel(s, d):
-    return labels.labelled_panel(cf.scored(s, d), forward(s, d))
+    return labels.labelled_panel(cf.stored_scores(s, d), forward(s, d))
 
 
 PANEL = {**{c: 3 for c in SCORE_COLUMNS}, "forward_excess_return": 5}
@@ -125,14 +125,14 @@ cte("candidates", cf.score_sql("candidates_raw"), "candidates_raw")
 
 
 def picked(s, d):
-    """Final candidates per date: N brands, persisted (N rows per date)."""
-    return factors.two_stage(cf.raw(s, d, testbed.BRAND), SCREEN, N).persist()
+    """Final candidates per date: N brands."""
+    return SNAPSHOTS.get(s, ("picked", d), lambda: factors.two_stage(cf.raw(s, d, testbed.BRAND), SCREEN, N))
 
 
 def candidates(s, d):
     """The candidates scored among themselves."""
     raw_columns = ["as_of_date", "ticker", "return_count", "market_cap", *factors.RAW_COLUMNS]
-    return factors.score(picked(s, d).select(*raw_columns))
+    return SNAPSHOTS.get(s, ("candidates", d), lambda: factors.score(picked(s, d).select(*raw_columns)))
 
 
 def brand_returns(s, d):
@@ -140,7 +140,8 @@ def brand_returns(s, d):
 
 
 def complete(s, d):
-    return covariance.complete_returns(brand_returns(s, d), picked(s, d).select(*KEY)).persist()
+    names = picked(s, d).select(*KEY)
+    return SNAPSHOTS.get(s, ("complete", d), lambda: covariance.complete_returns(brand_returns(s, d), names))
 
 
 cte("complete", f"""SELECT p.as_of_date, x.date, x.ticker, x.daily_return AS ret FROM brand_returns x JOIN brand_pick p ON p.ticker = x.ticker AND x.date <= p.as_of_date
@@ -260,7 +261,8 @@ def signals(rows):
 
 
 def solved(s, d, methods=portfolio.SOLVED, **finish):
-    rows = candidates(s, d).persist()
+    """Matrix methods under one exposure rule."""
+    rows = candidates(s, d)
     raw_weights = portfolio.solved_weights(covariance.estimate(complete(s, d)), signals(rows), methods)
     return portfolio.finalized(raw_weights, group=["as_of_date", "method"], **finish)
 
@@ -270,7 +272,11 @@ for method, name in zip(portfolio.SOLVED, ["p_min_variance", "p_max_sharpe", "p_
 
 
 def rule_weights(s, d):
-    rows = candidates(s, d).persist()
+    return SNAPSHOTS.get(s, ("rule_weights", d), lambda: _rule_weights(s, d))
+
+
+def _rule_weights(s, d):
+    rows = candidates(s, d)
     parts = {
         "equal_weight": portfolio.equal(rows),
         "top_n_equal_weight": portfolio.top_n_equal(rows, "overall_score", 2),

@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.sources import testbed
+from plumbline.sources.stored import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# panels shared by queries of one session, as the snapshot cache of a research run
+SNAPSHOTS = Snapshots()
 QUERIES: dict[str, Query] = {}
 TWINS: dict[str, str] = {}
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {}

@@ -20,6 +20,7 @@ from plumbline.functions.scalars import clip, finite, safe_divide
 from plumbline.operators import asof, fundamentals, prices
 from plumbline.operators.quantiles import exact_quantiles, melt
 from plumbline.operators.ranking import ranked, top_k
+from plumbline.sources.stored import settle
 
 KEY = ["as_of_date", "ticker"]
 RAW_COLUMNS = [*SCORED_METRICS, *UNSCORED_METRICS]
@@ -89,8 +90,7 @@ ITEMS = [item for metrics in FACTOR_METRICS.values() for item in metrics]
 def metric_scores(raw: DataFrame, by: Sequence[str] = ("as_of_date",)) -> DataFrame:
     """Adds `metric_scores`, the robust scores in the order of SCORED_METRICS.
 
-    Reads `raw` three times (sketch, bracket, scoring): pass a persisted or
-    stored panel. The bounds are one row per group of `by`.
+    Reads `raw` three times (sketch, bracket, scoring): pass a stored panel. The bounds are one row per group of `by`.
     """
     by = list(by)
     bounds = exact_quantiles(melt(raw, by, SCORED_METRICS), [*by, "metric"], [0.05, 0.95])
@@ -147,7 +147,7 @@ def two_stage(raw: DataFrame, screen_n: int = 100, final_n: int = 10) -> DataFra
     Universe ranks come from `best`: its positions are the first ranks.
     """
     # read by the second scoring three times; screen_n rows per date
-    screen = best(score(raw), screen_n, name="universe_rank").persist()
+    screen = settle(best(score(raw), screen_n, name="universe_rank"), "screen")
     inner = score(screen.select(*raw.columns))
     final = best(inner, final_n, name="screen_rank")
     ranks = screen.select(
@@ -170,8 +170,8 @@ def snapshots(
     period_mode: str = "quarterly",
 ) -> DataFrame:
     """Scores and interactions of every date in one plan."""
-    raw = raw_factors(bars, statements, dates, benchmark, period_mode).persist()
-    return with_interactions(score(raw))
+    raw = raw_factors(bars, statements, dates, benchmark, period_mode)
+    return with_interactions(score(settle(raw, "raw_factors")))
 
 
 def peer_profile(raw: DataFrame, ticker: str, peers: Sequence[str]) -> DataFrame:

@@ -5,8 +5,6 @@ On a cluster the caller brings its own session; nothing here is required.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -26,23 +24,3 @@ def local_session(app: str = "plumbline", cpus: int | str = 8, **conf: str) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make `DataFrame.checkpoint` usable.
-
-    The cluster names a shared folder in `spark.checkpoint.dir`. Only where that
-    setting is absent (local tests) a temporary folder is used.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
