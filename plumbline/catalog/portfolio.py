@@ -29,9 +29,18 @@ def rounded_sql(keys, columns):
     return ", ".join([*keys, *[r(c, d, c) for c, d in columns.items()]])
 
 
-def add(name, build, keys, columns, source, *ctes):
-    register(name, lambda s, d: build(s, d).select(*rounded(keys, columns)),
-             f"SELECT {rounded_sql(keys, columns)} FROM {source}", *(ctes or (source,)))
+def add(name, build, keys, columns, source, *ctes, logs=None):
+    """`logs`: columns of unbounded size, reported as sign(x) * ln(1 + |x|)."""
+    logs = logs or {}
+
+    def query(s, d):
+        scaled = [
+            rnd(F.signum(c) * F.log1p(F.abs(c)), n).alias(f"log_{c}") for c, n in logs.items()
+        ]
+        return build(s, d).select(*rounded(keys, columns), *scaled)
+
+    items = [rounded_sql(keys, columns), *[r(f"SIGN({c}) * LN(1 + ABS({c}))", n, f"log_{c}") for c, n in logs.items()]]
+    register(name, query, f"SELECT {', '.join(i for i in items if i)} FROM {source}", *(ctes or (source,)))
 
 
 # --- calendars -----------------------------------------------------------
@@ -326,8 +335,9 @@ def equity_sql(source, by):
 SELECT *, EXP(SUM(LN(1 + portfolio_return)) OVER (PARTITION BY {by} ORDER BY date)) AS equity FROM {source}) e"""
 
 
-METRICS = {"total_return": 4, "total_return_full": 4, "annualized_return": 4, "annualized_volatility": 4, "sharpe_ratio": 3, "max_drawdown": 4,
-           "win_rate": 5, "average_daily_return": 6, "best_day": 5, "worst_day": 5}
+METRICS = {"annualized_volatility": 4, "max_drawdown": 4, "win_rate": 5, "average_daily_return": 6, "best_day": 5, "worst_day": 5}
+GROWN = {"total_return": 5, "total_return_full": 5, "annualized_return": 5, "sharpe_ratio": 5}
+VALUE = {"ending_value": 5}
 
 
 def metrics_sql(source, by):
@@ -353,17 +363,17 @@ def rebalanced(s, d):
     return backtest.window_returns(brand_returns(s, d), rule_weights(s, d), WINDOWS)
 
 
-add("b_fixed", lambda s, d: backtest.with_equity(fixed(s, d), BY), [*BY, "date"], {"equity": 4, "drawdown": 4}, "fixed_equity")
-add("b_method", lambda s, d: backtest.metrics(fixed(s, d).filter("method = 'score_weighted'"), BY), [*BY, "number_of_days"], METRICS, "fixed_metrics WHERE method = 'score_weighted'", "fixed_metrics")
-add("b_compare_static", lambda s, d: backtest.metrics(fixed(s, d), BY), [*BY, "number_of_days"], METRICS, "fixed_metrics")
+add("b_fixed", lambda s, d: backtest.with_equity(fixed(s, d), BY), [*BY, "date"], {"drawdown": 5}, "fixed_equity", logs={"equity": 5})
+add("b_method", lambda s, d: backtest.metrics(fixed(s, d).filter("method = 'score_weighted'"), BY), [*BY, "number_of_days"], METRICS, "fixed_metrics WHERE method = 'score_weighted'", "fixed_metrics", logs=GROWN)
+add("b_compare_static", lambda s, d: backtest.metrics(fixed(s, d), BY), [*BY, "number_of_days"], METRICS, "fixed_metrics", logs=GROWN)
 add("w_ticker_growth", lambda s, d: backtest.ticker_growth(rebalanced(s, d)), [*BY, "date", "ticker"], {"growth": 5}, "rule_growth")
 add("b_drift_daily", lambda s, d: backtest.drifted(rebalanced(s, d)), [*BY, "date"], {"value": 5, "portfolio_return": 6}, "rule_daily")
-add("w_equity_curve", lambda s, d: backtest.with_equity(backtest.drifted(rebalanced(s, d))), ["method", "date"], {"equity": 4}, "rule_equity")
+add("w_equity_curve", lambda s, d: backtest.with_equity(backtest.drifted(rebalanced(s, d))), ["method", "date"], {}, "rule_equity", logs={"equity": 5})
 add("w_cummax_equity", lambda s, d: backtest.with_equity(backtest.drifted(rebalanced(s, d))), ["method", "date"], {"drawdown": 4}, "rule_equity")
 add("s_concat_returns", lambda s, d: backtest.drifted(rebalanced(s, d)).orderBy("method", "date"), ["method", "date"], {"portfolio_return": 6}, "rule_daily")
-add("a_backtest_metrics", lambda s, d: backtest.metrics(backtest.drifted(rebalanced(s, d))), ["method", "number_of_days"], METRICS, "rule_metrics")
-add("a_method_table", lambda s, d: backtest.method_table(backtest.metrics(backtest.drifted(rebalanced(s, d)))), ["method", "number_of_days"], METRICS, "rule_metrics")
-add("b_compare_rebalanced", lambda s, d: backtest.method_table(backtest.metrics(backtest.drifted(rebalanced(s, d)))), ["method", "number_of_days"], METRICS, "rule_metrics")
+add("a_backtest_metrics", lambda s, d: backtest.metrics(backtest.drifted(rebalanced(s, d))), ["method", "number_of_days"], METRICS, "rule_metrics", logs=GROWN)
+add("a_method_table", lambda s, d: backtest.method_table(backtest.metrics(backtest.drifted(rebalanced(s, d)))), ["method", "number_of_days"], METRICS, "rule_metrics", logs=GROWN)
+add("b_compare_rebalanced", lambda s, d: backtest.method_table(backtest.metrics(backtest.drifted(rebalanced(s, d)))), ["method", "number_of_days"], METRICS, "rule_metrics", logs=GROWN)
 
 ALL_WINDOWS = [(date(1996, 1, 1), date(1996, 3, 31)), *WINDOWS]
 cte("history", f"""SELECT m.method, v.as_of_date, v.end_date, k.holdings, d.days, CASE WHEN s.as_of_date IS NULL THEN 'no selected tickers' WHEN k.holdings IS NULL THEN 'cash'
@@ -383,10 +393,10 @@ def history(s, d):
 
 
 BKEY = ["method", "as_of_date", "end_date", "status"]
-add("b_rebalanced", history, BKEY, {"period_return": 5, "ending_value": 4}, "history")
-add("b_history_flat", history, [*BKEY, "holdings", "days"], {"period_return": 5, "ending_value": 4}, "history")
-add("b_no_candidates", lambda s, d: history(s, d).filter("status = 'no selected tickers'"), BKEY, {"ending_value": 4}, "history WHERE status = 'no selected tickers'", "history")
-add("b_error_rows", lambda s, d: history(s, d).filter("status <> 'invested'"), BKEY, {"ending_value": 4}, "history WHERE status <> 'invested'", "history")
+add("b_rebalanced", history, BKEY, {}, "history", logs={"period_return": 5, **VALUE})
+add("b_history_flat", history, [*BKEY, "holdings", "days"], {}, "history", logs={"period_return": 5, **VALUE})
+add("b_no_candidates", lambda s, d: history(s, d).filter("status = 'no selected tickers'"), BKEY, {}, "history WHERE status = 'no selected tickers'", "history", logs={"period_return": 5, **VALUE})
+add("b_error_rows", lambda s, d: history(s, d).filter("status <> 'invested'"), BKEY, {}, "history WHERE status <> 'invested'", "history", logs={"period_return": 5, **VALUE})
 add("b_weights_flat", rule_weights, [*KEY, "method"], W, "rule_weights")
 add("b_align_weights",
     lambda s, d: complete(s, d).select(*KEY).distinct().crossJoin(s.createDataFrame([(m,) for m in RULES], "method string")).join(rule_weights(s, d), [*KEY, "method"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))),
