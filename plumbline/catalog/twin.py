@@ -37,7 +37,7 @@ def statement(body: str, *names: str) -> str:
         visit(name)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS (\n{_CTES[n][1]}\n)" for n in order) + "\n" + body
+    return ("WITH RECURSIVE " if "walk" in order else "WITH ") + ",\n".join(f"{n} AS (\n{_CTES[n][1]}\n)" for n in order) + "\n" + body
 
 
 def register(name: str, query: Query, body: str | None = None, *names: str) -> None:
