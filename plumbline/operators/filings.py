@@ -32,7 +32,6 @@ def newest_per_form(filings: DataFrame, limits: Mapping[str, int] = RESEARCH_FOR
 
 def keyword_windows(body: Column) -> Column:
     """[start, end) spans around the first two hits of each heading."""
-    lower = F.lower(body)
     headings = F.try_element_at(
         F.create_map(
             *[x for form, words in HEADINGS.items() for x in (F.lit(form), F.array(*[F.lit(w) for w in words]))]
@@ -40,26 +39,41 @@ def keyword_windows(body: Column) -> Column:
         F.col("filing_type"),
     )
 
-    def locate(word: Column, after: Column) -> Column:
+    def locate(word: Column, lower: Column, after: Column) -> Column:
         """0-based hit at or after a position, NULL when there is none."""
-        rest = F.substring(lower, after + 1, F.length(lower))
-        hit = F.position(word, rest)
-        return F.when(hit > 0, hit - 1 + after)
-
-    firsts = F.transform(headings, lambda w: F.struct(w.alias("w"), locate(w, F.lit(0)).alias("at")))
-    seconds = F.transform(
-        F.filter(firsts, lambda f: f["at"].isNotNull()),
-        lambda f: F.struct(f["w"].alias("w"), locate(f["w"], f["at"] + F.length(f["w"])).alias("at")),
-    )
-    hits = F.filter(F.concat(firsts, seconds), lambda f: f["at"].isNotNull())
-    return F.array_sort(
-        F.transform(
-            hits,
+        return F.nullif(F.call_function("locate", word, lower, after + 1), F.lit(0)) - 1
+
+    def spans(hits: Column, before: Column, behind: Column, size: Column) -> Column:
+        return F.transform(
+            F.filter(hits, lambda f: f["at"].isNotNull()),
             lambda f: F.struct(
-                F.greatest(f["at"] - per_form(BEFORE_HEADING), F.lit(0)).alias("start"),
-                F.least(f["at"] + F.length(f["w"]) + per_form(AFTER_HEADING), F.length(body)).alias("end"),
+                F.greatest(f["at"] - before, F.lit(0)).alias("start"),
+                F.least(f["at"] + F.length(f["w"]) + behind, size).alias("end"),
             ),
         )
+
+    def search(t: Column) -> Column:
+        firsts = F.transform(headings, lambda w: F.struct(w.alias("w"), locate(w, t["lower"], F.lit(0)).alias("at")))
+        both = F.flatten(
+            F.transform(
+                F.filter(firsts, lambda f: f["at"].isNotNull()),
+                lambda f: F.array(
+                    f, F.struct(f["w"].alias("w"), locate(f["w"], t["lower"], f["at"] + F.length(f["w"])).alias("at"))
+                ),
+            )
+        )
+        return F.array_sort(spans(both, t["before"], t["behind"], t["size"]))
+
+    # one-element arrays bind the lower-cased text once for all headings
+    bound = F.struct(
+        F.lower(body).alias("lower"),
+        per_form(BEFORE_HEADING).alias("before"),
+        per_form(AFTER_HEADING).alias("behind"),
+        F.length(body).alias("size"),
+    )
+    return F.coalesce(
+        F.try_element_at(F.transform(F.array(bound), search), F.lit(1)),
+        F.array().cast("array<struct<start:int,end:int>>"),
     )
 
 
