@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("prices", "factors", "tables", "portfolio", "text")
+SECTIONS = ("prices", "factors", "tables", "portfolio", "text", "models", "quality")
 
 
 def load():
