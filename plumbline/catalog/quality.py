@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 from plumbline.catalog import factors as cf
 from plumbline.catalog import portfolio as cp
 from plumbline.catalog import text as ct
-from plumbline.catalog.prices import AS_OF, MARKET_COLUMNS, _tech, market_summary
+from plumbline.catalog.prices import AS_OF, MARKET_COLUMNS, market_summary
 from plumbline.catalog.twin import cte, r, register
 from plumbline.functions.factor_config import SCORE_COLUMNS
 from plumbline.functions.scalars import rnd
-from plumbline.operators import asof, quality
+from plumbline.operators import quality
+from plumbline.operators.ranking import top_k
 from plumbline.sources import landed, stored, tables, testbed
 from plumbline.streaming import ingest
 
@@ -101,7 +103,7 @@ def _snapshot(s, d):
 
 
 def _written(s, d):
-    path = f"{stored.shared_folder(s)}/snapshot-{__import__('uuid').uuid4().hex}"
+    path = f"{stored.shared_folder(s)}/snapshot-{uuid.uuid4().hex}"
     tables.write_snapshot(_snapshot(s, d), path)
     return path
 
@@ -115,27 +117,28 @@ for _name in ("src_snapshot_asof", "j_asof_snapshot"):
 
 
 def _run_tables(s, d):
-    path = f"{stored.shared_folder(s)}/run-{__import__('uuid').uuid4().hex}"
+    path = f"{stored.shared_folder(s)}/run-{uuid.uuid4().hex}"
     tables.write_run({"weights": cp.rule_weights(s, d)}, path)
     return s.read.parquet(f"{path}/weights")
 
 
 register("snk_run_tables", lambda s, d: _run_tables(s, d).select(*KEY, "method", rnd("weight", 6).alias("weight")), f"SELECT as_of_date, ticker, method, {r('weight', 6, 'weight')} FROM rule_weights", "rule_weights")
-register("src_saved_run", lambda s, d: cf.top_k(_run_tables(s, d).filter("method = 'score_weighted'"), ["as_of_date"], [F.desc("weight"), F.col("ticker")], 2).select(*KEY, "position"),
+register("src_saved_run", lambda s, d: top_k(_run_tables(s, d).filter("method = 'score_weighted'"), ["as_of_date"], [F.desc("weight"), F.col("ticker")], 2).select(*KEY, "position"),
          "SELECT as_of_date, ticker, ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY weight DESC, ticker) AS position FROM w_score QUALIFY position <= 2", "w_score")
-register("t_period_cap", lambda s, d: cf.top_k(testbed.statements(s, d), ["ticker"], [F.desc("period_end_date"), F.col("fiscal_period")], 20).select("ticker", "fiscal_year", "fiscal_period", "position"),
+register("t_period_cap", lambda s, d: top_k(testbed.statements(s, d), ["ticker"], [F.desc("period_end_date"), F.col("fiscal_period")], 20).select("ticker", "fiscal_year", "fiscal_period", "position"),
          "SELECT ticker, fiscal_year, fiscal_period, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY period_end_date DESC, fiscal_period) AS position FROM statements QUALIFY position <= 20", "statements")
 
 # --- streams -------------------------------------------------------------
 
 
 def _paths(s, name):
-    root = f"{stored.shared_folder(s)}/{name}-{__import__('uuid').uuid4().hex}"
+    root = f"{stored.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
     return f"{root}/table", f"{root}/checkpoint"
 
 
 def _events(s, d):
-    return ingest.file_stream(s, d, testbed.table(s, d, "events").schema, "events.parquet")
+    rows = ingest.file_stream(s, d, testbed.table(s, d, "events").schema, "events.parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # stored without zone, read as UTC
 
 
 def _stream_prices(s, d):
