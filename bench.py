@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
     "momentum_leaders", "w_tech_panel", "j_asof_price", "n_ratios", "c_overall", "c_two_stage",
-    "l_labels", "f_statement_pivot", "a_cov_ledoit_wolf", "p_hrp", "b_compare_rebalanced",
+    "f_statement_pivot", "b_compare_rebalanced",
     "x_relevance", "x_select_news", "x_filing_excerpt", "snk_insert_prices", "z_bars",
 ]
 
