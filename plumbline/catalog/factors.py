@@ -97,22 +97,21 @@ def score_sql(source: str, by: str = "as_of_date") -> str:
     """Robust scores, factor scores and overall score over `source`."""
     quantiles, scored, totals = [], [], []
     for metrics in FACTOR_METRICS.values():
-        for item in metrics:
-            m = item.lstrip("-")
+        for m, _, higher in metrics:
             quantiles.append(
                 f"COUNT({m}) AS {m}_n, MIN({m}) AS {m}_lo, MAX({m}) AS {m}_hi, "
                 f"QUANTILE_CONT({m}, 0.05) AS {m}_q0, QUANTILE_CONT({m}, 0.95) AS {m}_q1"
             )
             value = f"(LEAST(GREATEST({m}, {m}_q0), {m}_q1) - {m}_q0) / ({m}_q1 - {m}_q0) * 100"
-            if item.startswith("-"):
+            if not higher:
                 value = f"100 - {value}"
             scored.append(
                 f"CASE WHEN {m}_n = 0 THEN NULL WHEN {m}_lo = {m}_hi OR {m}_q0 = {m}_q1 THEN 50.0 "
                 f"WHEN {m} IS NOT NULL THEN LEAST(GREATEST({value}, 0), 100) END AS {m}_s"
             )
     for factor, metrics in FACTOR_METRICS.items():
-        num = " + ".join(f"COALESCE({i.lstrip('-')}_s * {w}, 0)" for i, w in metrics.items())
-        den = " + ".join(f"CASE WHEN {i.lstrip('-')}_s IS NULL THEN 0 ELSE {w} END" for i, w in metrics.items())
+        num = " + ".join(f"COALESCE({m}_s * {w}, 0)" for m, w, _ in metrics)
+        den = " + ".join(f"CASE WHEN {m}_s IS NULL THEN 0 ELSE {w} END" for m, w, _ in metrics)
         totals.append(f"CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0) AS {factor}")
     overall = " + ".join(f"COALESCE({f}, 0) * {w}" for f, w in FACTOR_WEIGHTS.items())
     return f"""SELECT *, CAST({overall} AS DOUBLE) AS overall_score FROM (
@@ -399,8 +398,8 @@ def _config(spark, sf):
     for factor, metrics in FACTOR_METRICS.items():
         weight = sum(
             (
-                F.when(F.col("metric_scores")[factors.ITEMS.index(i)].isNotNull(), w).otherwise(0.0)
-                for i, w in metrics.items()
+                F.when(F.col("metric_scores")[SCORED_METRICS.index(m)].isNotNull(), w).otherwise(0.0)
+                for m, w, _ in metrics
             ),
             F.lit(0.0),
         )
@@ -425,7 +424,7 @@ register(
         "SELECT as_of_date, '{f}' AS factor, CAST({w} AS DOUBLE) AS overall_weight, COUNT(*) AS tickers, {avg} FROM scored GROUP BY as_of_date".format(
             f=factor,
             w=FACTOR_WEIGHTS[factor],
-            avg=r("AVG(CAST(" + " + ".join(f"CASE WHEN {i.lstrip('-')}_s IS NULL THEN 0 ELSE {w} END" for i, w in metrics.items()) + " AS DOUBLE))", 4, "available_weight"),
+            avg=r("AVG(CAST(" + " + ".join(f"CASE WHEN {m}_s IS NULL THEN 0 ELSE {w} END" for m, w, _ in metrics) + " AS DOUBLE))", 4, "available_weight"),
         )
         for factor, metrics in FACTOR_METRICS.items()
     ),

@@ -14,47 +14,76 @@ FACTOR_WEIGHTS = {
     "technical_score": 0.05,
 }
 
-# Metrics of each factor as metric -> weight; a minus sign in
-# front of the name means lower is better.
+# Metrics of each factor as (metric, weight, higher is better).
 FACTOR_METRICS = {
-    "value_score": {
-        "earnings_yield": 0.20, "free_cash_flow_yield": 0.25, "sales_yield": 0.10,
-        "book_to_market": 0.10, "-ev_to_sales": 0.10, "-ev_to_operating_income": 0.10,
-        "-ev_to_ebitda": 0.10, "-ev_to_free_cash_flow": 0.05,
-    },
-    "growth_score": {
-        "revenue_growth": 0.20, "net_income_growth": 0.20, "free_cash_flow_growth": 0.20,
-        "revenue_cagr": 0.15, "net_income_cagr": 0.15, "free_cash_flow_cagr": 0.10,
-    },
-    "quality_score": {
-        "gross_margin": 0.10, "operating_margin": 0.15, "ebitda_margin": 0.10,
-        "net_margin": 0.10, "free_cash_flow_margin": 0.15, "return_on_assets": 0.10,
-        "return_on_equity": 0.10, "return_on_invested_capital": 0.15,
-        "operating_cash_flow_to_net_income": 0.05,
-    },
-    "financial_strength_score": {
-        "-debt_to_assets": 0.20, "-debt_to_equity": 0.15, "-net_debt_to_equity": 0.20,
-        "-liabilities_to_assets": 0.15, "cash_to_debt": 0.10, "current_ratio": 0.10,
-        "quick_ratio": 0.05, "interest_coverage": 0.05,
-    },
-    "efficiency_score": {
-        "asset_turnover": 0.40, "r_and_d_intensity": 0.25, "-sga_intensity": 0.20,
-        "-capex_to_revenue": 0.15,
-    },
-    "momentum_score": {
-        "one_month_return": 0.15, "three_month_return": 0.25, "six_month_return": 0.25,
-        "one_year_return": 0.20, "sharpe_ratio": 0.15,
-    },
-    "risk_score": {
-        "-annualized_volatility": 0.40, "max_drawdown": 0.35, "-beta_vs_spy": 0.25,
-    },
-    "technical_score": {
-        "price_vs_sma_50": 0.22, "price_vs_sma_200": 0.22, "sma_50_vs_sma_200": 0.22,
-        "macd_spread": 0.14, "rsi_score": 0.10, "volume_ratio": 0.10,
-    },
+    "value_score": [
+        ("earnings_yield", 0.20, True),
+        ("free_cash_flow_yield", 0.25, True),
+        ("sales_yield", 0.10, True),
+        ("book_to_market", 0.10, True),
+        ("ev_to_sales", 0.10, False),
+        ("ev_to_operating_income", 0.10, False),
+        ("ev_to_ebitda", 0.10, False),
+        ("ev_to_free_cash_flow", 0.05, False),
+    ],
+    "growth_score": [
+        ("revenue_growth", 0.20, True),
+        ("net_income_growth", 0.20, True),
+        ("free_cash_flow_growth", 0.20, True),
+        ("revenue_cagr", 0.15, True),
+        ("net_income_cagr", 0.15, True),
+        ("free_cash_flow_cagr", 0.10, True),
+    ],
+    "quality_score": [
+        ("gross_margin", 0.10, True),
+        ("operating_margin", 0.15, True),
+        ("ebitda_margin", 0.10, True),
+        ("net_margin", 0.10, True),
+        ("free_cash_flow_margin", 0.15, True),
+        ("return_on_assets", 0.10, True),
+        ("return_on_equity", 0.10, True),
+        ("return_on_invested_capital", 0.15, True),
+        ("operating_cash_flow_to_net_income", 0.05, True),
+    ],
+    "financial_strength_score": [
+        ("debt_to_assets", 0.20, False),
+        ("debt_to_equity", 0.15, False),
+        ("net_debt_to_equity", 0.20, False),
+        ("liabilities_to_assets", 0.15, False),
+        ("cash_to_debt", 0.10, True),
+        ("current_ratio", 0.10, True),
+        ("quick_ratio", 0.05, True),
+        ("interest_coverage", 0.05, True),
+    ],
+    "efficiency_score": [
+        ("asset_turnover", 0.40, True),
+        ("r_and_d_intensity", 0.25, True),
+        ("sga_intensity", 0.20, False),
+        ("capex_to_revenue", 0.15, False),
+    ],
+    "momentum_score": [
+        ("one_month_return", 0.15, True),
+        ("three_month_return", 0.25, True),
+        ("six_month_return", 0.25, True),
+        ("one_year_return", 0.20, True),
+        ("sharpe_ratio", 0.15, True),
+    ],
+    "risk_score": [
+        ("annualized_volatility", 0.40, False),
+        ("max_drawdown", 0.35, True),
+        ("beta_vs_spy", 0.25, False),
+    ],
+    "technical_score": [
+        ("price_vs_sma_50", 0.22, True),
+        ("price_vs_sma_200", 0.22, True),
+        ("sma_50_vs_sma_200", 0.22, True),
+        ("macd_spread", 0.14, True),
+        ("rsi_score", 0.10, True),
+        ("volume_ratio", 0.10, True),
+    ],
 }
 
-SCORED_METRICS = [m.lstrip("-") for metrics in FACTOR_METRICS.values() for m in metrics]
+SCORED_METRICS = [metric for entries in FACTOR_METRICS.values() for metric, _, _ in entries]
 # raw factors that carry no weight
 UNSCORED_METRICS = ["cumulative_return", "free_cash_flow_to_net_income"]
 SCORE_COLUMNS = list(FACTOR_METRICS)

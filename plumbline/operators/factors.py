@@ -84,7 +84,7 @@ def robust_score(value: Column, bounds: Column, lower_is_better: Column) -> Colu
     )
 
 
-ITEMS = [item for metrics in FACTOR_METRICS.values() for item in metrics]
+LOWER_IS_BETTER = [not higher for entries in FACTOR_METRICS.values() for _, _, higher in entries]
 
 
 def metric_scores(raw: DataFrame, by: Sequence[str] = ("as_of_date",)) -> DataFrame:
@@ -98,7 +98,7 @@ def metric_scores(raw: DataFrame, by: Sequence[str] = ("as_of_date",)) -> DataFr
         F.array_sort(F.collect_list(F.struct("metric", "n", "low", "high", "q0", "q1"))).alias("bounds")
     )
     values = F.array(*[F.col(m) for m in SCORED_METRICS])
-    inverted = F.array(*[F.lit(item.startswith("-")) for item in ITEMS])
+    inverted = F.array(*[F.lit(lower) for lower in LOWER_IS_BETTER])
     pairs = F.arrays_zip(values.alias("value"), F.col("bounds").alias("bound"), inverted.alias("inverted"))
     scores = F.transform(pairs, lambda x: robust_score(x["value"], x["bound"], x["inverted"]))
     return (
@@ -109,8 +109,8 @@ def metric_scores(raw: DataFrame, by: Sequence[str] = ("as_of_date",)) -> DataFr
 def factor_score(factor: str) -> Column:
     """Weighted mean of the available metric scores."""
     total, weight = F.lit(0.0), F.lit(0.0)
-    for item, w in FACTOR_METRICS[factor].items():
-        score = F.col("metric_scores")[ITEMS.index(item)]
+    for metric, w, _ in FACTOR_METRICS[factor]:
+        score = F.col("metric_scores")[SCORED_METRICS.index(metric)]
         total = total + F.coalesce(score * w, F.lit(0.0))
         weight = weight + F.when(score.isNotNull(), w).otherwise(0.0)
     return safe_divide(total, weight)
