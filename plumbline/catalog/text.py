@@ -114,7 +114,7 @@ def _ranked_news(s, d):
 
     order = F.col("relevance_score") * 100000 + F.datediff("published_on", F.lit(date(1970, 1, 1)))
     rows = scored(s, d).withColumn("_order", order).withColumn("_id", F.col("news_article_id").cast("string"))
-    return ranked(rows, ["as_of_date", "ticker"], "_order", "_id", "position", 2000.0)
+    return ranked(rows, ["as_of_date", "ticker"], "_order", "_id", "position")
 
 
 register("x_rank_news", lambda s, d: _ranked_news(s, d).select(*KEY, "position"),

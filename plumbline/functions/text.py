@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions.text_config import TITLE_STOPWORDS
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean(text: Column) -> Column:
     """Whitespace collapsed and trimmed, empty becomes NULL."""
     return F.nullif(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(""))
@@ -29,29 +36,39 @@ def head(text: Column, n: Column) -> Column:
 
 def truncate(text: Column, limit: Column) -> Column:
     """Cut to `limit`, back to the last space when it is in the last fifth."""
-    cleaned = clean(text)
-    cut = head(cleaned, limit)
-    space = last_index(cut, " ")
-    shorter = F.when(space >= F.floor(limit * 0.8), head(cut, space)).otherwise(cut)
-    return F.when(F.length(cleaned) <= limit, cleaned).otherwise(
-        F.concat(F.rtrim(shorter), F.lit(" ..."))
-    )
+
+    def shortened(cut: Column) -> Column:
+        late = lambda space: F.when(space >= F.floor(limit * 0.8), head(cut, space)).otherwise(cut)
+        return F.concat(F.rtrim(bound(last_index(cut, " "), late)), F.lit(" ..."))
+
+    def cut(cleaned: Column) -> Column:
+        return F.when(F.length(cleaned) <= limit, cleaned).otherwise(bound(head(cleaned, limit), shortened))
+
+    return bound(clean(text), cut)
 
 
 def boundary_cut(text: Column, limit: Column) -> Column:
     """Back to a late period, else to a late space."""
-    period, space = last_index(text, "."), last_index(text, " ")
-    return (
-        F.when(period >= F.floor(limit * 0.75), head(text, period + 1))
-        .when(space >= F.floor(limit * 0.85), head(text, space))
-        .otherwise(text)
-    )
+
+    def cut(body: Column) -> Column:
+        def at(ends: Column) -> Column:
+            return (
+                F.when(ends["period"] >= F.floor(limit * 0.75), head(body, ends["period"] + 1))
+                .when(ends["space"] >= F.floor(limit * 0.85), head(body, ends["space"]))
+                .otherwise(body)
+            )
+
+        return bound(F.struct(last_index(body, ".").alias("period"), last_index(body, " ").alias("space")), at)
+
+    return bound(text, cut)
 
 
 def raw_excerpt(text: Column, limit: int = 4000) -> Column:
-    cleaned = clean(text)
-    cut = boundary_cut(head(cleaned, F.lit(limit)), F.lit(limit))
-    return F.when(F.length(cleaned) <= limit, cleaned).otherwise(F.concat(F.rtrim(cut), F.lit(" ...")))
+    def cut(cleaned: Column) -> Column:
+        short = boundary_cut(head(cleaned, F.lit(limit)), F.lit(limit))
+        return F.when(F.length(cleaned) <= limit, cleaned).otherwise(F.concat(F.rtrim(short), F.lit(" ...")))
+
+    return bound(clean(text), cut)
 
 
 def title_tokens(title: Column) -> Column:

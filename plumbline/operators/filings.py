@@ -97,13 +97,17 @@ def cut_windows(body: Column, windows: Column, section_size: Column) -> Column:
     """Section texts, trimmed to word or sentence edges and to a size."""
 
     def cut(w: Column) -> Column:
+        def opened(section: Column) -> Column:
+            space = F.instr(section, " ") - 1
+            inside = (w["start"] > 0) & (space >= 0) & (space <= 80)
+            return F.when(inside, F.substring(section, space + 2, F.length(section))).otherwise(section)
+
+        def closed(part: Column) -> Column:
+            return F.when(w["end"] < F.length(body), text.boundary_cut(part, F.length(part))).otherwise(part)
+
+        # each stage of the text is computed once and handed on
         section = F.trim(F.substring(body, w["start"] + 1, w["end"] - w["start"]))
-        space = F.instr(section, " ") - 1
-        opened = F.when(
-            (w["start"] > 0) & (space >= 0) & (space <= 80), F.substring(section, space + 2, F.length(section))
-        ).otherwise(section)
-        closed = F.when(w["end"] < F.length(body), text.boundary_cut(opened, F.length(opened))).otherwise(opened)
-        return text.truncate(closed, section_size)
+        return text.truncate(text.bound(text.bound(section, opened), closed), section_size)
 
     return F.filter(F.transform(windows, cut), lambda s: s.isNotNull() & (s != ""))
 

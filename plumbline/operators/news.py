@@ -19,8 +19,6 @@ from plumbline.functions.text_config import (
 from plumbline.sources.stored import settle
 
 GROUP = ["as_of_date", "ticker"]
-# groups up to this size are folded in one row; larger ones go through rounds
-FOLD_LIMIT = 500
 
 
 def in_view(articles: DataFrame, dates: Sequence[date], days_back: int = 90) -> DataFrame:
@@ -94,87 +92,93 @@ def rank_order() -> Column:
 
 
 def same_event(url: Column, tokens: Column, other_url: Column, other_tokens: Column, threshold: float) -> Column:
-    return F.coalesce(url == other_url, F.lit(False)) | (text.jaccard(tokens, other_tokens) >= threshold)
-
-
-def _fold(rows: DataFrame, threshold: float) -> DataFrame:
-    """Greedy pass over one sorted array per (bounded) group."""
-    item = F.struct("_order", "news_article_id", "url", "_tokens")
-    packed = rows.groupBy(*GROUP).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.filter("items", lambda x: F.lit(False))
-    kept = F.aggregate(
-        "items",
-        empty,
-        lambda acc, x: F.when(
-            F.exists(acc, lambda k: same_event(x["url"], x["_tokens"], k["url"], k["_tokens"], threshold)), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return packed.select(*GROUP, F.explode(kept).alias("k")).select(*GROUP, "k.news_article_id")
+    same_url = F.coalesce(text.clean(url) == text.clean(other_url), F.lit(False))
+    return same_url | (text.jaccard(tokens, other_tokens) >= threshold)
 
 
-def _bucketed(rows: DataFrame, threshold: float) -> DataFrame:
-    """One row per (article, bucket): its url and the title's prefix tokens.
+def _similar_titles(titles: DataFrame, threshold: float) -> DataFrame:
+    """(group, title, other): all pairs of different token sets that are similar, both ways.
 
-    Titles as similar as the threshold share a token within the first
-    n - ceil(threshold * n) + 1 tokens of a common order; long tokens come first
-    because they are rare.
+    Similar sets share a token among the first n - ceil(threshold * n) + 1 of any common
+    order. Tokens are ordered by how many titles of the group hold them, rarest first, so a
+    word that all titles share brings none together.
     """
-    ordered = F.array_sort(F.transform("_tokens", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
-    n = F.size("_tokens")
-    prefix = F.slice(ordered, 1, F.greatest(n - F.ceil(n * F.lit(threshold)).cast("int") + 1, F.lit(0)))
-    titles = F.when(n > 0, F.transform(prefix, lambda p: F.concat(F.lit("t:"), p["t"]))).otherwise(F.array().cast("array<string>"))
-    own = F.array(F.concat(F.lit("u:"), F.coalesce("url", F.concat(F.lit("none "), F.col("news_article_id").cast("string")))))
-    return rows.withColumn("bucket", F.explode(F.concat(own, titles)))
-
-
-def _rounds(rows: DataFrame, threshold: float) -> DataFrame:
-    """Greedy removal of any group size, in rounds.
-
-    An article that is first in all its buckets has no earlier rival and is
-    kept; articles similar to a kept one drop out. Per round a bucket compares
-    its rows with its first row only, never all pairs, and first rows are found
-    map-side. Each round is written, so plans stay short and a lost executor
-    costs one round.
+    tokens = titles.select(*GROUP, "title", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    shared = tokens.groupBy(*GROUP, "token").agg(F.count("*").alias("titles"))
+    rare_first = (
+        tokens.join(shared, [*GROUP, "token"])
+        .groupBy(*GROUP, "title", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("titles", "token"))).alias("ordered"))
+    )
+    length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int")
+    prefix = rare_first.select(*GROUP, "title", "n", F.explode(F.slice("ordered", 1, length)).alias("p")).select(
+        *GROUP, "title", "n", F.col("p.token").alias("token")
+    )
+    other = prefix.select(*GROUP, "token", F.col("title").alias("other"), F.col("n").alias("m"))
+    near = (F.col("n") >= F.col("m") * threshold) & (F.col("m") >= F.col("n") * threshold)
+    candidates = (
+        prefix.join(other, [*GROUP, "token"]).filter((F.col("title") < F.col("other")) & near)
+        .select(*GROUP, "title", "other").distinct()
+    )
+    named = titles.select(*GROUP, F.col("title").alias("other"), F.col("tokens").alias("other_tokens"))
+    pairs = (
+        candidates.join(titles, [*GROUP, "title"]).join(named, [*GROUP, "other"])
+        .filter(text.jaccard(F.col("tokens"), F.col("other_tokens")) >= threshold)
+        .select(*GROUP, "title", "other")
+    )
+    return pairs.union(pairs.select(*GROUP, "other", "title"))
+
+
+def _greedy(rows: DataFrame, threshold: float) -> DataFrame:
+    """(group, news_article_id) of the articles that no earlier kept one resembles, for groups of any size.
+
+    Articles that share a url or a title's tokens need no pairs: the first open article of
+    a url, of a title and of all similar titles has no open rival and is kept; what shares
+    its url, title or a similar title drops out. Rounds follow the depth of chains of
+    duplicates. Each is written, so plans stay short and a lost executor costs one round.
     """
-    open_rows = settle(_bucketed(rows, threshold), "news_round")
-    kept = None
-    while not open_rows.isEmpty():
-        key = [*GROUP, "bucket"]
-        first = open_rows.groupBy(*key).agg(
-            F.min_by(F.struct("news_article_id", "url", "_tokens"), "_order").alias("first")
+    rows = settle(rows, "news_rows")
+    titles = rows.filter("title IS NOT NULL").groupBy(*GROUP, "title").agg(F.first("_tokens").alias("tokens"))
+    similar = settle(_similar_titles(titles, threshold), "news_pairs")
+    left, kept = rows.drop("_tokens"), []
+    while not left.isEmpty():
+        by_url = left.groupBy(*GROUP, "url").agg(F.min("_order").alias("first_url"))
+        by_title = left.groupBy(*GROUP, "title").agg(F.min("_order").alias("first_title"))
+        around = (
+            similar.join(by_title.withColumnRenamed("title", "other"), [*GROUP, "other"])
+            .groupBy(*GROUP, "title").agg(F.min("first_title").alias("first_around"))
         )
-        led = open_rows.join(first, key)
-        verdict = led.groupBy(*GROUP, "news_article_id").agg(
-            F.min((F.col("first.news_article_id") == F.col("news_article_id"))).alias("leads")
+        placed = left.join(by_url, [*GROUP, "url"], "left").join(by_title, [*GROUP, "title"], "left").join(
+            around, [*GROUP, "title"], "left"
         )
-        leaders = settle(verdict.filter("leads").select(*GROUP, "news_article_id"), "news_kept")
-        kept = leaders if kept is None else kept.unionByName(leaders)
-        strong = led.join(
-            leaders.withColumnRenamed("news_article_id", "leader"),
-            [*[led[g] == leaders[g] for g in GROUP], F.col("first.news_article_id") == F.col("leader")],
-            "left_semi",
+        first = F.lit(True)
+        for rival in ("first_url", "first_title", "first_around"):
+            first = first & F.coalesce(F.col("_order") <= F.col(rival), F.lit(True))
+        leaders = settle(placed.filter(first).select(*left.columns), "news_kept")
+        kept.append(leaders)
+        urls = leaders.filter("url IS NOT NULL").select(*GROUP, "url").distinct()
+        gone = leaders.select(*GROUP, "title").union(
+            similar.join(leaders, [*GROUP, "title"], "left_semi").select(*GROUP, "other")
         )
-        gone = strong.filter(
-            same_event(F.col("url"), F.col("_tokens"), F.col("first.url"), F.col("first._tokens"), threshold)
-            | (F.col("first.news_article_id") == F.col("news_article_id"))
-        ).select(*GROUP, "news_article_id").distinct()
-        open_rows = settle(open_rows.join(gone, [*GROUP, "news_article_id"], "left_anti"), "news_round")
-    return kept
+        left = settle(
+            left.join(leaders, [*GROUP, "news_article_id"], "left_anti")
+            .join(urls, [*GROUP, "url"], "left_anti")
+            .join(gone.distinct(), [*GROUP, "title"], "left_anti"),
+            "news_round",
+        )
+    out = rows.select(*GROUP, "news_article_id").limit(0)
+    for part in kept:
+        out = out.unionByName(part.select(*GROUP, "news_article_id"))
+    return out
 
 
-def deduplicated(
-    scored: DataFrame, threshold: float = TITLE_SIMILARITY, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def deduplicated(scored: DataFrame, threshold: float = TITLE_SIMILARITY) -> DataFrame:
     """Articles kept when each is compared, best first, with those kept before."""
+    tokens = text.title_tokens(F.col("title"))
     rows = scored.select(
-        *GROUP, "news_article_id", "url", rank_order().alias("_order"), text.title_tokens(F.col("title")).alias("_tokens")
-    )
-    sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > fold_limit).select(*GROUP)
-    kept = _fold(rows.join(sizes.filter(F.col("_n") <= fold_limit).select(*GROUP), GROUP, "left_semi"), threshold)
-    if not large.isEmpty():
-        kept = kept.unionByName(_rounds(rows.join(large, GROUP, "left_semi"), threshold))
-    return scored.join(kept, [*GROUP, "news_article_id"], "left_semi")
+        *GROUP, "news_article_id", text.clean(F.col("url")).alias("url"), rank_order().alias("_order"), tokens.alias("_tokens")
+    ).withColumn("title", F.nullif(F.array_join(F.array_sort("_tokens"), " "), F.lit("")))
+    return scored.join(_greedy(rows, threshold), [*GROUP, "news_article_id"], "left_semi")
 
 
 def selected(unique: DataFrame, limit: int = 12, minimum: float = MIN_RELEVANCE) -> DataFrame:

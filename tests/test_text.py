@@ -82,7 +82,7 @@ def brute_dedup(items, threshold=0.68):
     return {k[2] for k in kept}
 
 
-def test_dedup_rounds_equal_fold_and_brute_force(spark):
+def test_dedup_equals_brute_force(spark):
     """A hot group: a third of the rows are copies of one title."""
     rows = []
     for i in range(90):
@@ -93,12 +93,27 @@ def test_dedup_rounds_equal_fold_and_brute_force(spark):
     )
     items = [((-r[5], -(r[6].toordinal()), r[2]), r[2], r[4], set(re.findall("[a-z0-9]+", r[3]))) for r in rows]
     wanted = brute_dedup([(o, i, u, t) for o, i, u, t in items])
-    for limit in (500, 0):
-        got = {r.news_article_id for r in news.deduplicated(frame, fold_limit=limit).collect()}
-        assert got == wanted, limit
+    got = {r.news_article_id for r in news.deduplicated(frame).collect()}
+    assert got == wanted
     assert len(wanted) > 5
 
 
+def test_dedup_of_many_titles_with_one_common_word(spark):
+    """No pair is similar: one round, whatever the group's size; empty urls are no url."""
+    rows = [
+        (date(2000, 1, 5), "T", i, f"extraordinary item{i} part{i * 7} kind{i * 13}", "" if i % 2 else f" http://x/{i} ", float(i % 5), date(2000, 1, 1))
+        for i in range(2000)
+    ]
+    rows += [(date(2000, 1, 5), "T", 5000 + i, f"another title number{i}", f"http://x/{i}", -1.0, date(2000, 1, 1)) for i in (0, 2)]
+    frame = spark.createDataFrame(
+        rows, "as_of_date date, ticker string, news_article_id long, title string, url string, relevance_score double, published_on date"
+    )
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {r.news_article_id for r in news.deduplicated(frame).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    assert got == set(range(2000)) and jobs < 60
+
+
 def test_title_tokens_and_mentions(spark):
     from plumbline.functions import text
 
