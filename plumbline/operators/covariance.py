@@ -1,37 +1,31 @@
-"""Complete-case returns and covariance estimates of small ticker sets.
+"""Complete-case returns and covariance estimates of ticker sets.
 
-A set is a portfolio candidate list (`final_n` names, at most MAX_NAMES), so the
-pair sums per date are bounded by configuration. They are produced and summed
-map-side; only one row per pair and task is shuffled.
+Every task adds up one matrix per set from the dates it holds, so only one row per
+pair, task and set is shuffled, whatever the number of dates.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip
 from plumbline.operators.prices import TRADING_DAYS
 
-MAX_NAMES = 100
-
 
 def complete_returns(returns: DataFrame, sets: DataFrame, group: str = "as_of_date") -> DataFrame:
     """(group, date, ticker, ret) of the dates on which every name has a return.
 
     `sets` is (group, ticker). Only dates at or before the group's date count.
-    One grouped count replaces the name-by-name join.
+    One grouped count replaces the name-by-name join. Sets are candidate lists: as
+    many rows as names chosen per date, so they are broadcast.
     """
     sized = sets.withColumn("names", F.count("*").over(Window.partitionBy(group)))
-    checked = sized.withColumn(
-        "names",
-        F.when(F.col("names") <= MAX_NAMES, F.col("names")).otherwise(
-            F.raise_error(F.lit(f"a set may hold at most {MAX_NAMES} names")).cast("long")
-        ),
-    )
     rows = (
         returns.filter(F.col("daily_return").isNotNull())
-        .join(F.broadcast(checked), "ticker")
+        .join(F.broadcast(sized), "ticker")
         .filter(F.col("date") <= F.col(group))
         .select(group, "date", "ticker", "names", F.col("daily_return").alias("ret"))
     )
@@ -50,13 +44,25 @@ def _pairs(rows: DataFrame, group: str, value: Column, weight: Column) -> DataFr
     day = rows.groupBy(group, "date").agg(
         F.array_sort(F.collect_list(F.struct("ticker", value.alias("x"), weight.alias("w")))).alias("row")
     )
-    left = day.select(group, "row", F.explode("row").alias("a"))
-    both = left.select(
-        group, "a", F.explode(F.filter("row", lambda b: b["ticker"] >= F.col("a")["ticker"])).alias("b")
-    )
-    return both.groupBy(group, F.col("a.ticker").alias("t1"), F.col("b.ticker").alias("t2")).agg(
-        F.sum(F.col("a.w") * F.col("a.x") * F.col("b.x")).alias("s"), F.count("*").alias("n")
-    )
+    packed = day.select(group, F.col("row.ticker").alias("names"), F.col("row.x").alias("x"), F.col("row.w").alias("w"))
+
+    def partial(batches):
+        sums: dict = {}
+        for batch in batches:
+            for key, names, x, w in batch.itertuples(index=False):
+                x = np.asarray(x, dtype=float)
+                at = (key, tuple(names))
+                part = np.outer(np.asarray(w, dtype=float) * x, x)
+                total, n = sums.get(at, (0.0, 0))
+                sums[at] = (total + part, n + 1)
+        for (key, names), (total, n) in sums.items():
+            i, j = np.triu_indices(len(names))
+            label = np.array(names, dtype=object)
+            yield pd.DataFrame({group: key, "t1": label[i], "t2": label[j], "s": total[i, j], "n": n})
+
+    kind = rows.schema[group].dataType.simpleString()
+    cells = packed.mapInPandas(partial, f"{group} {kind}, t1 string, t2 string, s double, n bigint")
+    return cells.groupBy(group, "t1", "t2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def _centered(rows: DataFrame, group: str) -> DataFrame:
