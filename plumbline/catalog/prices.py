@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.twin import cte, r, register
 from plumbline.functions.scalars import rnd
 from plumbline.operators import asof, prices
-from plumbline.operators.ranking import ranked
+from plumbline.operators.ranking import keep_last, ranked
 from plumbline.sources import testbed
 
 AS_OF = [date(1999, 6, 30), date(1999, 12, 31), date(2000, 6, 30), date(2000, 12, 31)]
@@ -289,7 +289,7 @@ def momentum_leaders(spark, sf):
     rows = market_summary(spark, sf).filter(
         F.col("one_year_return").isNotNull() & (F.col("ticker") != testbed.BENCHMARK)
     )
-    placed = ranked(rows, ["as_of_date"], "one_year_return", "ticker", "momentum_rank", 0.002)
+    placed = ranked(rows, ["as_of_date"], "one_year_return", "ticker", "momentum_rank")
     return placed.select(
         "as_of_date",
         "ticker",
@@ -309,3 +309,7 @@ ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY one_year_return DESC, MD5(ti
 FROM market_asof WHERE one_year_return IS NOT NULL AND ticker <> 'Index#0'""",
     "market_asof",
 )
+
+register("w_dedup_keep_last",
+         lambda s, d: keep_last(base(s, d).select("ticker", "date", "price"), ["ticker"], ["date"]).select("ticker", "date", rnd("price", 4).alias("price")),
+         f"SELECT ticker, date, {r('COALESCE(adjusted_close, close)', 4, 'price')} FROM bars QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date DESC) = 1", "bars")

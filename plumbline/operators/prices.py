@@ -22,9 +22,9 @@ PERIODS = {
     "six_month_return": 126,
     "one_year_return": 252,
 }
-# Rows per block of the blocked exponential average; decay^-512 stays in range
-# for every span of 9 and above.
-EMA_BLOCK = 512
+# Largest power of e that a block of the exponential averages may span, and the
+# decay (as a power of e) beyond which history is below double precision.
+BLOCK_RANGE, NEGLIGIBLE = 600.0, 40.0
 
 
 def by_date():
@@ -122,11 +122,14 @@ def with_emas(priced: DataFrame, source: str, spans: dict[str, int]) -> DataFram
 
     Needs a dense `rn` and non-null `source`. Inside a block the recursion has
     the closed form q^j * sum(x_i * q^-i); the end value of the block before is
-    carried in. What lies two blocks back is kept once more and is below double
-    precision beyond that. All spans share one sort by (ticker, block, date).
+    carried in, as often as a span's history reaches. All spans share one sort by
+    (ticker, block, date).
     """
     decay = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
-    j = (F.col("rn") % EMA_BLOCK).cast("double")
+    rates = [-math.log(q) for q in decay.values() if q > 0]
+    block = max(int(BLOCK_RANGE / max(rates)), 2) if rates else 2
+    carries = max([1, *[math.ceil(NEGLIGIBLE / (rate * block)) for rate in rates]])
+    j = (F.col("rn") % block).cast("double")
     in_block = (
         Window.partitionBy("ticker", "_block")
         .orderBy("date")
@@ -137,7 +140,7 @@ def with_emas(priced: DataFrame, source: str, spans: dict[str, int]) -> DataFram
         .orderBy("_block", "date")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    ends = F.col("rn") % EMA_BLOCK == EMA_BLOCK - 1
+    ends = F.col("rn") % block == block - 1
 
     def weighted(q: float) -> Column:
         first = F.when(F.col("rn") == 0, F.col(source)).otherwise(F.col(source) * (1.0 - q))
@@ -146,16 +149,14 @@ def with_emas(priced: DataFrame, source: str, spans: dict[str, int]) -> DataFram
     def carry(name: str, column: str) -> Column:
         return F.coalesce(F.last(F.when(ends, F.col(f"{column}{name}")), True).over(before), F.lit(0.0))
 
-    out = priced.withColumn("_block", F.floor(F.col("rn") / EMA_BLOCK))
-    out = out.withColumns(
-        {f"_part_{n}": F.pow(F.lit(q), j) * F.sum(weighted(q)).over(in_block) for n, q in decay.items()}
-    )
-    out = out.withColumns(
-        {f"_full_{n}": F.col(f"_part_{n}") + (q**EMA_BLOCK) * carry(n, "_part_") for n, q in decay.items()}
-    )
-    out = out.withColumns(
-        {n: F.col(f"_part_{n}") + F.pow(F.lit(q), j + 1) * carry(n, "_full_") for n, q in decay.items()}
-    )
+    out = priced.withColumn("_block", F.floor(F.col("rn") / block))
+    parts = {f"_part_{n}": F.pow(F.lit(q), j) * F.sum(weighted(q)).over(in_block) for n, q in decay.items()}
+    out = out.withColumns(parts).withColumns({f"_full_{n}": F.col(f"_part_{n}") for n in spans})
+    for _ in range(carries):
+        out = out.withColumns(
+            {f"_full_{n}": F.col(f"_part_{n}") + F.pow(F.lit(q), j + 1) * carry(n, "_full_") for n, q in decay.items()}
+        )
+    out = out.withColumns({n: F.col(f"_full_{n}") for n in spans})
     return out.drop("_block", *[f"{k}{n}" for n in spans for k in ("_part_", "_full_")])
 
 

@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 1000
-MARGIN = 4.0 / ACCURACY
-# groups up to this size are bracketed by their minimum and maximum
-SMALL = 4 * ACCURACY
+# the sketch is asked for this many evenly spaced probes
+GRID = 200
 
 
 def melt(frame: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -37,31 +36,28 @@ def exact_quantiles(
     stored panel when it is costly to compute.
     """
     by = list(by)
-    probes = []
-    for p in probabilities:
-        probes += [max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)]
+    grid = [i / GRID for i in range(GRID + 1)]
     sketch = long.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
-        F.percentile_approx(value, probes, ACCURACY).alias("probes"),
-    )
-    small = F.col("n") <= SMALL
-    spans = F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("q"),
-                ((F.col("n") - 1) * F.lit(float(p))).alias("h"),
-                F.when(small | F.lit(probes[2 * j] <= 0), F.col("low"))
-                .otherwise(F.col("probes")[2 * j])
-                .alias("from"),
-                F.when(small | F.lit(probes[2 * j + 1] >= 1), F.col("high"))
-                .otherwise(F.col("probes")[2 * j + 1])
-                .alias("to"),
-            )
-            for j, p in enumerate(probabilities)
-        ]
+        F.percentile_approx(value, grid, ACCURACY).alias("probes"),
     )
+    n, slack = F.col("n"), F.lit(2.0 / ACCURACY)
+
+    def bracket(j: int, p: float):
+        """Probes around the wanted ranks, the sketch's error and two ranks away; at the ends the extremes."""
+        h = (n - 1) * F.lit(float(p))
+        first = F.floor(((h - 2) / n - slack) * GRID).cast("int")
+        last = F.ceil(((h + 3) / n + slack) * GRID).cast("int")
+        return F.struct(
+            F.lit(j).alias("q"),
+            h.alias("h"),
+            F.when(first <= 0, F.col("low")).otherwise(F.get("probes", first)).alias("from"),
+            F.when(last >= GRID, F.col("high")).otherwise(F.get("probes", last)).alias("to"),
+        )
+
+    spans = F.when(n > 0, F.array(*[bracket(j, p) for j, p in enumerate(probabilities)]))
     brackets = sketch.select(*by, F.explode(spans).alias("span")).select(*by, "span.*")
     # values below a bracket are only counted (v is NULL), map-side
     counted = (

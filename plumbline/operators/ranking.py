@@ -1,7 +1,7 @@
 """Ranking of large groups and top-k.
 
 A plain `row_number` over one research date would sort the whole universe in one
-task. `ranked` cuts each group into ordered buckets (score steps), counts the
+task. `ranked` cuts each group into ordered buckets (sketched quantiles), counts the
 rows per distinct score and leading hex digits of md5(key), and turns running
 counts into positions. Equal scores, even on a third of all rows, spread over
 4,096 cells.
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 5000
+BUCKETS = 200
 
 
 def ranked(
@@ -26,16 +26,19 @@ def ranked(
     score: str,
     key: str,
     name: str,
-    width: float = 0.02,
 ) -> DataFrame:
     """Adds `name` = 1..n by score descending (NULL last), md5(key), key.
 
-    `width` is the score step of a bucket; scores beyond 5,000 steps from zero
-    share the outermost buckets, which keeps the order right.
+    Buckets end at approximate quantiles of the group's scores, so they hold about
+    as many rows each, whatever the range; any bounds keep the order right.
     """
     by = list(by)
-    step = F.floor(F.col(score) / F.lit(width))
-    coarse = F.coalesce(-F.least(F.greatest(step, F.lit(-STEPS)), F.lit(STEPS)), F.lit(STEPS + 1))
+    grid = [i / BUCKETS for i in range(1, BUCKETS)]
+    # one row of bounds per group
+    bounds = frame.groupBy(*by).agg(F.percentile_approx(F.col(score).cast("double"), grid, 1000).alias("_bounds"))
+    frame = frame.join(F.broadcast(bounds), by)
+    above = F.size(F.filter("_bounds", lambda b: b > F.col(score)))
+    coarse = F.when(F.col(score).isNull(), BUCKETS).otherwise(above)
     marked = frame.withColumns(
         {
             "_coarse": coarse.cast("int"),
@@ -53,7 +56,7 @@ def ranked(
     before = (
         Window.partitionBy(*by).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
     )
-    # at most 10,002 rows per group
+    # at most BUCKETS + 1 rows per group
     starts = (
         cells.groupBy(*by, "_coarse")
         .agg(F.sum("_rows").alias("_rows"))
@@ -70,10 +73,17 @@ def ranked(
         marked.withColumn("_local", F.row_number().over(local))
         .join(cells, cell)
         .withColumn(name, (F.col("_start") + F.col("_inside") + F.col("_local")).cast("long"))
-        .drop("_coarse", "_value", "_fine", "_start", "_inside", "_local")
+        .drop("_bounds", "_coarse", "_value", "_fine", "_start", "_inside", "_local")
     )
 
 
+def keep_last(frame: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key in a stated order, combined map-side."""
+    body = [c for c in frame.columns if c not in keys]
+    last = frame.groupBy(*keys).agg(F.max_by(F.struct(*body), F.struct(*order)).alias("_last"))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in body]).select(*frame.columns)
+
+
 def top_k(
     frame: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "position"
 ) -> DataFrame:

@@ -84,7 +84,7 @@ def test_ranking_with_ties(spark):
 
     data = [("d", f"k{i}", float(i % 7) if i % 3 else 1.0) for i in range(300)] + [("d", "none", None)]
     frame = spark.createDataFrame(data, "as_of_date string, ticker string, s double")
-    got = [r.ticker for r in ranked(frame, ["as_of_date"], "s", "ticker", "rank", 0.5).orderBy("rank").collect()]
+    got = [r.ticker for r in ranked(frame, ["as_of_date"], "s", "ticker", "rank").orderBy("rank").collect()]
     key = lambda t: (t[2] is None, -(t[2] or 0), hashlib.md5(t[1].encode()).hexdigest(), t[1])
     assert got == [t[1] for t in sorted(data, key=key)]
 
@@ -165,3 +165,86 @@ def test_research_run(spark, method):
     weights = out["weights"].collect()
     assert out["selection"].count() == 3 and sum(w.weight for w in weights) == pytest.approx(1.0)
     assert max(w.weight for w in weights) <= 1.0
+
+
+def test_long_averages_carry_their_whole_history(spark):
+    values = (100 + np.cumsum(np.random.default_rng(5).normal(size=3000))).tolist()
+    spans = {"ema_5": 5, "ema_200": 200, "ema_500": 500}
+    rows = prices.with_emas(prices.with_returns(bars(spark, values)), "price", spans).orderBy("date").toPandas()
+    for name, span in spans.items():
+        np.testing.assert_allclose(rows[name], pd.Series(values).ewm(span=span, adjust=False).mean(), rtol=1e-9)
+
+
+def test_quantiles_of_small_groups(spark):
+    rng = np.random.default_rng(4)
+    data = {g: rng.normal(size=n) for g, n in enumerate([1, 2, 3, 7, 10, 11, 99, 150, 1001])}
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g int, value double")
+    for row in exact_quantiles(frame, ["g"], [0.0, 0.05, 0.5, 0.99]).collect():
+        np.testing.assert_allclose([row.q0, row.q1, row.q2, row.q3], np.quantile(data[row.g], [0.0, 0.05, 0.5, 0.99]), rtol=1e-12)
+
+
+def test_risk_contributions_are_equal():
+    x = np.random.default_rng(6).normal(size=(500, 12)) @ np.random.default_rng(7).normal(size=(12, 12))
+    matrix = np.cov(x.T)
+    weights = portfolio.equal_risk(matrix)
+    share = weights * (matrix @ weights) / (weights @ matrix @ weights)
+    np.testing.assert_allclose(share, 1 / 12, rtol=1e-8)
+    assert weights.sum() == pytest.approx(1)
+    assert portfolio.equal_risk(np.zeros((4, 4))).tolist() == [0.25] * 4
+
+
+def test_hierarchy_merges_and_shares():
+    points = np.array([0.0, 0.1, 5.0, 5.3, 20.0])
+    distance = np.abs(points[:, None] - points)
+    for linkage in portfolio.LINKAGES:
+        order = portfolio.merge_order(distance, linkage)
+        assert [sorted(a + b) for a, b in order] == [[0, 1], [2, 3], [0, 1, 2, 3], [0, 1, 2, 3, 4]]
+    weights = portfolio.hierarchical(np.diag([1.0, 4.0, 2.0]), np.full(3, np.nan), use_signal=False)
+    assert weights.sum() == pytest.approx(1) and weights[0] > weights[1]
+    block = np.array([[4.0, 1.0], [1.0, 2.0]])
+    inverse = np.array([0.25, 0.5]) / 0.75
+    assert portfolio.cluster_variance(block, [0, 1]) == pytest.approx(inverse @ block @ inverse)
+
+
+def test_covariance_of_many_names(spark):
+    """150 names, more than any portfolio of the defaults."""
+    x = np.random.default_rng(8).normal(size=(30, 150))
+    rows = [(DAY, DAY + timedelta(days=i), f"T{j:03d}", float(x[i, j])) for i in range(30) for j in range(150)]
+    frame = spark.createDataFrame(rows, "as_of_date date, date date, ticker string, ret double")
+    got = covariance.sample(frame).toPandas().pivot(index="t1", columns="t2", values="cov").to_numpy()
+    want = np.cov(x.T) * 252
+    upper = np.triu_indices(150)
+    np.testing.assert_allclose(got[upper], want[upper], rtol=1e-9)
+
+
+def test_elastic_net_grid_against_plain_descent(spark):
+    from plumbline.operators import models
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(203, 4))
+    y = x @ np.array([0.5, 0.0, -0.3, 0.0]) + rng.normal(size=203) * 0.4
+    bounds = np.cumsum([0, 41, 41, 41, 40, 40])
+    parts = {k: (lambda z: z.T @ z)(np.column_stack([np.ones(b - a), x[a:b], y[a:b]])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))}
+    beta = models.elastic_net(parts)
+
+    def descent(xs, ys, alpha, ratio):
+        xs, ys, b = xs - xs.mean(0), ys - ys.mean(), np.zeros(4)
+        for _ in range(2000):
+            for i in range(4):
+                rest = xs[:, i] @ (ys - xs @ b + xs[:, i] * b[i]) / len(ys)
+                b[i] = np.sign(rest) * max(abs(rest) - alpha * ratio, 0) / (xs[:, i] @ xs[:, i] / len(ys) + alpha * (1 - ratio))
+        return b
+
+    def error(alpha, ratio):
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            keep = np.r_[0:a, b:203]
+            coef = descent(x[keep], y[keep], alpha, ratio)
+            out.append(((y[a:b] - y[keep].mean() - (x[a:b] - x[keep].mean(0)) @ coef) ** 2).mean())
+        return np.mean(out)
+
+    best = min(((r, a) for r in models.NET_RATIOS for a in models.NET_ALPHAS), key=lambda k: error(k[1], k[0]))
+    np.testing.assert_allclose(beta, descent(x, y, best[1], best[0]), atol=1e-7)
+    frame = spark.createDataFrame([(DAY + timedelta(days=i // 50), f"T{i:03d}") for i in range(203)], "as_of_date date, ticker string")
+    folds = models.contiguous_folds(frame).orderBy("as_of_date", "ticker").toPandas()["net_fold"]
+    assert folds.value_counts().sort_index().tolist() == [41, 41, 41, 40, 40] and folds.is_monotonic_increasing
