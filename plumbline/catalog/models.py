@@ -93,6 +93,6 @@ def _combined(s, d):
 register("m_combined", _combined)
 register("m_signal_pick", lambda s, d: current(s, d).select(*KEY, "overall_score").join(alpha(s, d), KEY, "left").select(*KEY, rnd(models.signal("alpha", "overall_score"), 6).alias("signal")))
 register("j_alpha", lambda s, d: current(s, d).select(*KEY, "overall_score").join(alpha(s, d), KEY, "left").select(*KEY, rnd("overall_score", 4).alias("overall_score"), rnd("alpha", 6).alias("alpha")))
-register("j_selected_alpha", lambda s, d: cf.selection(s, d).select(*KEY, "screen_rank").join(F.broadcast(alpha(s, d)), KEY, "left").select(*KEY, "screen_rank", rnd("alpha", 6).alias("alpha")))
+register("j_selected_alpha", lambda s, d: cf.selection(s, d).select(*KEY, "screen_rank").join(alpha(s, d), KEY, "left").select(*KEY, "screen_rank", rnd("alpha", 6).alias("alpha")))
 register("j_factor_alpha", lambda s, d: current(s, d).select(*KEY, "overall_score").join(alpha(s, d).groupBy(*KEY).agg(F.max("alpha").alias("alpha")), KEY, "left").select(*KEY, rnd("overall_score", 4).alias("overall_score"), rnd("alpha", 6).alias("alpha")))
 register("t_top_alpha", lambda s, d: top_k(alpha(s, d).filter("alpha IS NOT NULL"), ["as_of_date"], [F.desc("alpha"), F.col("ticker")], 10).select(*KEY, "position", rnd("alpha", 6).alias("alpha")))

@@ -14,14 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip
 from plumbline.operators.quantiles import exact_quantiles, melt
 
 TARGET = "forward_excess_return"
-ALPHAS = [0.01, 0.1, 1.0, 10.0, 50.0, 100.0, 500.0]
+# Penalty grids of the base models and of the meta model.
+ALPHAS = [0.01, 0.1, 1.0, 3.0, 10.0, 30.0, 100.0]
+META_ALPHAS = [0.01, 0.1, 1.0, 3.0, 10.0, 30.0]
+NET_RATIOS = [0.1, 0.3, 0.5, 0.7, 0.9]
+NET_ALPHAS = [0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0]
+NET_FOLDS = 5
+HUBER_PENALTY = 1e-4
 KEY = ["as_of_date", "ticker"]
 
 
@@ -78,28 +84,103 @@ class Moments:
     yy: float
 
 
-def moments(scaled: DataFrame, target: str = TARGET) -> Moments:
-    """Partial Gram matrices per task, added up: p^2 numbers reach the driver."""
+def grams(scaled: DataFrame, target: str = TARGET, by: str | None = None) -> dict[int, np.ndarray]:
+    """Sums of (1, x, y)'(1, x, y) per value of `by`: partial sums per task, p^2 numbers a fold reach the driver."""
 
     def partial(batches):
-        total = None
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            if len(batch):
-                x = np.column_stack([np.ones(len(batch)), np.vstack(batch["z"]), batch["y"]])
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
+            for fold, part in batch.groupby("fold"):
+                x = np.column_stack([np.ones(len(part)), np.vstack(part["z"]), part["y"]])
+                totals[fold] = totals.get(fold, 0.0) + x.T @ x
+        for fold, total in totals.items():
             i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+            yield pd.DataFrame({"fold": fold, "i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
-    cells = scaled.select("z", F.col(target).alias("y")).mapInPandas(partial, "i int, j int, v double")
-    rows = cells.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    fold = F.col(by).cast("int") if by else F.lit(0)
+    cells = scaled.select(fold.alias("fold"), "z", F.col(target).alias("y")).mapInPandas(
+        partial, "fold int, i int, j int, v double"
+    )
+    rows = cells.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).collect()
     size = max(r.i for r in rows) + 1
-    full = np.zeros((size, size))
+    out = {r.fold: np.zeros((size, size)) for r in rows}
     for r in rows:
-        full[r.i, r.j] = r.v
+        out[r.fold][r.i, r.j] = r.v
+    return out
+
+
+def centered(full: np.ndarray) -> Moments:
     n, y_mean = full[0, 0], full[0, -1] / full[0, 0]
-    centered = full - np.outer(full[:, 0], full[0, :]) / n
-    return Moments(int(n), centered[1:-1, 1:-1], centered[1:-1, -1], y_mean, centered[-1, -1])
+    rest = full - np.outer(full[:, 0], full[0, :]) / n
+    return Moments(int(n), rest[1:-1, 1:-1], rest[1:-1, -1], y_mean, rest[-1, -1])
+
+
+def moments(scaled: DataFrame, target: str = TARGET) -> Moments:
+    return centered(grams(scaled, target)[0])
+
+
+def contiguous_folds(rows: DataFrame, folds: int = NET_FOLDS) -> DataFrame:
+    """Adds net_fold: equal runs of the rows in the order of date and ticker, the longer ones first.
+
+    Positions come from a count per date (few rows) and the place within the date.
+    """
+    days = rows.groupBy("as_of_date").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("as_of_date").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select(
+        "as_of_date",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"),
+    )
+    inside = Window.partitionBy("as_of_date").orderBy("ticker")
+    at = F.col("_start") + F.row_number().over(inside) - 1
+    short, longer = F.expr(f"_all div {folds}"), F.col("_all") % folds
+    head = longer * (short + 1)
+    fold = F.when(F.col("_at") < head, F.expr(f"_at div (_all div {folds} + 1)")).otherwise(
+        longer + F.floor((F.col("_at") - head) / F.greatest(short, F.lit(1)))
+    )
+    placed = rows.join(F.broadcast(starts), "as_of_date").withColumn("_at", at)
+    return placed.withColumn("net_fold", fold.cast("int")).drop("_start", "_all", "_at")
+
+
+def net_path(m: Moments, ratio: float, alphas: Sequence[float], steps: int = 10_000, tolerance: float = 1e-10):
+    """Elastic-net coefficients for falling penalties, by coordinate descent on the Gram matrix."""
+    beta, out = np.zeros(len(m.xy)), {}
+    diagonal = np.diag(m.xx)
+    for alpha in sorted(alphas, reverse=True):
+        l1, l2 = alpha * ratio * m.n, alpha * (1 - ratio) * m.n
+        pull = m.xx @ beta
+        for _ in range(steps):
+            largest = 0.0
+            for i in np.flatnonzero(diagonal > 0):
+                rest = m.xy[i] - pull[i] + diagonal[i] * beta[i]
+                fresh = np.sign(rest) * max(abs(rest) - l1, 0.0) / (diagonal[i] + l2)
+                if fresh != beta[i]:
+                    pull += m.xx[:, i] * (fresh - beta[i])
+                    largest = max(largest, abs(fresh - beta[i]))
+                    beta[i] = fresh
+            if largest < tolerance:
+                break
+        out[alpha] = beta.copy()
+    return out
+
+
+def elastic_net(parts: dict[int, np.ndarray], ratios=NET_RATIOS, alphas=NET_ALPHAS) -> np.ndarray:
+    """Mixing and penalty with the least mean error over the folds, fitted on all rows; no pass over rows."""
+    total = sum(parts.values())
+    errors: dict[tuple[float, float], list[float]] = {}
+    for held in parts.values():
+        if len(parts) == 1:
+            continue
+        m = centered(total - held)
+        x_mean = (total - held)[0, 1:-1] / (total - held)[0, 0]
+        for ratio in ratios:
+            for alpha, beta in net_path(m, ratio, alphas).items():
+                # (1, x, y) times these weights is a row's residual
+                residual = np.concatenate(([x_mean @ beta - m.y_mean], -beta, [1.0]))
+                errors.setdefault((ratio, alpha), []).append(float(residual @ held @ residual) / held[0, 0])
+    order = [(r, a) for r in ratios for a in sorted(alphas, reverse=True)]
+    ratio, alpha = min(order, key=lambda k: np.mean(errors.get(k, [0.0])))
+    return net_path(centered(total), ratio, alphas)[alpha]
 
 
 def ridge_path(m: Moments, alphas: Sequence[float] = ALPHAS) -> list[np.ndarray]:
@@ -149,12 +230,22 @@ def bayesian_ridge(m: Moments, steps: int = 300, tolerance: float = 1e-3) -> np.
     return beta
 
 
-def principal_regression(m: Moments, components: int = 8, alpha: float = 1.0) -> np.ndarray:
-    """Ridge on the leading principal components."""
+def principal_regression(scaled: DataFrame, m: Moments, components: int = 8, target: str = TARGET) -> np.ndarray:
+    """Ridge on the leading principal components, its penalty by leave-one-out error."""
     values, vectors = np.linalg.eigh(m.xx)
-    kept = np.argsort(values)[::-1][: min(components, len(values))]
-    basis = vectors[:, kept]
-    return basis @ ((basis.T @ m.xy) / (values[kept] + alpha))
+    basis = vectors[:, np.argsort(values)[::-1][: min(components, len(values))]]
+    inner = Moments(m.n, basis.T @ m.xx @ basis, basis.T @ m.xy, m.y_mean, m.yy)
+    rotation = F.array(
+        *[
+            F.aggregate(
+                F.zip_with("z", F.array(*[F.lit(float(v)) for v in column]), lambda a, b: a * b),
+                F.lit(0.0),
+                lambda total, x: total + x,
+            )
+            for column in basis.T
+        ]
+    )
+    return basis @ ridge(scaled.withColumn("z", rotation), inner, target=target)
 
 
 def partial_least_squares(m: Moments, components: int = 6) -> np.ndarray:
@@ -183,12 +274,13 @@ STATISTICAL = ["ridge", "elastic_net", "bayesian_ridge", "huber", "principal_com
 LEARNED = ["random_forest", "gradient_boosting"]
 
 
-def spark_model(name: str, target: str = TARGET, trees: int = 300, rounds: int = 250):
+def spark_model(name: str, rows: int, target: str = TARGET, trees: int = 300, rounds: int = 250):
     common = {"featuresCol": "features", "labelCol": target, "predictionCol": name}
-    if name == "elastic_net":
-        return LinearRegression(**common, regParam=0.01, elasticNetParam=0.5, standardization=False)
     if name == "huber":
-        return LinearRegression(**common, loss="huber", epsilon=1.35, regParam=1e-4, standardization=False)
+        # Spark halves the mean loss and the penalty: a penalty on the sum is divided by the rows
+        return LinearRegression(
+            **common, loss="huber", epsilon=1.35, regParam=HUBER_PENALTY / rows, standardization=False, maxIter=1000
+        )
     if name == "random_forest":
         return RandomForestRegressor(
             **common, numTrees=trees, maxDepth=6, minInstancesPerNode=25, featureSubsetStrategy="sqrt", seed=42
@@ -202,6 +294,7 @@ def fit_predict(
     features: Sequence[str],
     models: Sequence[str] = STATISTICAL,
     target: str = TARGET,
+    alphas: Sequence[float] = ALPHAS,
     **sizes,
 ) -> DataFrame:
     """Fit every base model on `train`, add one prediction column each to `score`."""
@@ -209,18 +302,20 @@ def fit_predict(
     scaler = fit_scaler(rows, features)
     fitted = scaler.transform(rows).withColumn("features", array_to_vector("z"))
     out = scaler.transform(score).withColumn("features", array_to_vector("z"))
-    m = moments(fitted, target) if set(models) - {"elastic_net", "huber", *LEARNED} else None
+    parts = grams(contiguous_folds(fitted), target, "net_fold") if set(models) - set(LEARNED) else {}
+    m = centered(sum(parts.values())) if parts else None
     betas = {
-        "ridge": lambda: ridge(fitted, m, target=target),
+        "ridge": lambda: ridge(fitted, m, alphas, target),
+        "elastic_net": lambda: elastic_net(parts),
         "bayesian_ridge": lambda: bayesian_ridge(m),
-        "principal_components": lambda: principal_regression(m),
+        "principal_components": lambda: principal_regression(fitted, m, target=target),
         "partial_least_squares": lambda: partial_least_squares(m),
     }
     for name in models:
         if name in betas:
             out = linear_prediction(out, betas[name](), m.y_mean, name)
         else:
-            out = spark_model(name, target, **sizes).fit(fitted).transform(out)
+            out = spark_model(name, m.n if m else 1, target, **sizes).fit(fitted).transform(out)
     return out.select(*score.columns, *models)
 
 
@@ -229,8 +324,6 @@ def expanding_folds(panel: DataFrame, min_train: int = 8) -> DataFrame:
 
     One row per research date on either side of the join.
     """
-    from pyspark.sql import Window
-
     days = panel.select("as_of_date").distinct()
     dated = days.withColumn("idx", F.row_number().over(Window.partitionBy().orderBy("as_of_date")) - 1)
     tests = dated.filter(F.col("idx") >= min_train).select(F.col("idx").alias("fold"))
@@ -284,7 +377,7 @@ def stacked(oof: DataFrame, base: DataFrame, models: Sequence[str], name: str =
     """Ridge over the out-of-fold columns, applied to the base predictions."""
     names = {m: f"base_{m}" for m in models}
     train, score = oof.withColumnsRenamed(names), base.select(*KEY, *models).withColumnsRenamed(names)
-    return fit_predict(train, score, list(names.values()), ["ridge"]).select(*KEY, F.col("ridge").alias(name))
+    return fit_predict(train, score, list(names.values()), ["ridge"], alphas=META_ALPHAS).select(*KEY, F.col("ridge").alias(name))
 
 
 def train_predict(
