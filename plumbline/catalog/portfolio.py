@@ -13,6 +13,7 @@ from plumbline.catalog.twin import SNAPSHOTS, cte, r, register
 from plumbline.functions.factor_config import SCORE_COLUMNS
 from plumbline.functions.scalars import rnd
 from plumbline.operators import asof, backtest, calendars, covariance, factors, labels, portfolio, prices
+from plumbline.plans.research import ResearchConfig, run
 from plumbline.sources import testbed
 
 END = date(2001, 6, 30)
@@ -235,7 +236,30 @@ add("p_cap_gross", lambda s, d: portfolio.capped_gross(tilted(s, d), CAP), WKEY,
 cte("w_final_in", norm_sql("(SELECT *, POWER(GREATEST(raw, 0), 2) + 1 AS lifted FROM w_tilted) t", "lifted"), "w_tilted")
 cte("w_final", cap_sql("w_final_in", CAP), "w_final_in")
 add("p_finalize", lambda s, d: portfolio.finalized(tilted(s, d).withColumn("weight", F.pow(F.greatest("weight", F.lit(0.0)), F.lit(2.0)) + 1), True, CAP), WKEY, W, "w_final")
-register("p_cap_net", lambda s, d: portfolio.capped_net(sharp(s, d).select(*KEY, "weight"), CAP).select(*rounded(WKEY, W)), f"SELECT {rounded_sql(WKEY, W)} FROM w_capped", "w_capped")
+
+
+def signed(s, d):
+    """Squared scores; the last name of each date is a small short position."""
+    short = F.when(F.col("screen_rank") == N, -0.1).otherwise(1.0)
+    return picked(s, d).select(*KEY, (short * F.pow("overall_score", F.lit(2.0))).alias("weight"))
+
+
+def net_sql(source, cap):
+    """Net twin: rounds that fix what is above the cap and scale the rest to the target."""
+    by = "PARTITION BY as_of_date"
+    rounds = f"SELECT as_of_date, ticker, weight / SUM(weight) OVER ({by}) AS w, FALSE AS fixed FROM {source}"
+    for _ in range(N):
+        rounds = f"""SELECT as_of_date, ticker, now AS fixed, CASE WHEN now OR NOT any_over THEN v
+ WHEN free = 0 THEN (1 - held) / open ELSE v / free * (1 - held) END AS w FROM (
+SELECT *, SUM(CASE WHEN now THEN v ELSE 0 END) OVER ({by}) AS held, SUM(CASE WHEN now THEN 0 ELSE v END) OVER ({by}) AS free, SUM(CASE WHEN now THEN 0 ELSE 1 END) OVER ({by}) AS open FROM (
+SELECT as_of_date, ticker, fixed OR o AS now, CASE WHEN o THEN SIGN(w) * {cap} ELSE w END AS v, BOOL_OR(o) OVER ({by}) AS any_over FROM (
+SELECT *, NOT fixed AND ABS(w) > {cap} + 1e-10 AS o FROM ({rounds}) a) b) c) d"""
+    return f"SELECT as_of_date, ticker, CAST(w AS DOUBLE) AS weight FROM ({rounds}) z"
+
+
+cte("w_signed", f"SELECT as_of_date, ticker, CASE WHEN screen_rank = {N} THEN -0.1 ELSE 1.0 END * POWER(overall_score, 2) AS weight FROM brand_pick", "brand_pick")
+cte("w_net", net_sql("w_signed", 0.5), "w_signed")
+add("p_cap_net", lambda s, d: portfolio.capped_net(signed(s, d), 0.5), WKEY, W, "w_net")
 cte("w_inverse", "SELECT as_of_date, t1 AS ticker, (1 / cov) / SUM(1 / cov) OVER (PARTITION BY as_of_date) AS weight FROM cov_sample WHERE t1 = t2", "cov_sample")
 add("p_inverse_variance", lambda s, d: portfolio.inverse_variance(covariance.estimate(complete(s, d))), WKEY, W, "w_inverse")
 
@@ -262,7 +286,7 @@ add("p_cluster_attractiveness",
 add("a_cluster_signal", lambda s, d: candidates(s, d).groupBy("as_of_date").agg(F.avg("overall_score").alias("signal")), ["as_of_date"], {"signal": 3},
     "(SELECT as_of_date, AVG(overall_score) AS signal FROM candidates GROUP BY 1) g", "candidates")
 
-METHODS = ["equal_weight", "top_n_equal_weight", "score_weighted", "risk_adjusted_score", *portfolio.SOLVED]
+METHODS = ["equal_weight", "top_n_equal_weight", "score_weighted", "risk_adjusted_score_weighted", *portfolio.SOLVED]
 
 
 def signals(rows):
@@ -290,7 +314,7 @@ def _rule_weights(s, d):
         "equal_weight": portfolio.equal(rows),
         "top_n_equal_weight": portfolio.top_n_equal(rows, "overall_score", 2),
         "score_weighted": portfolio.score_weighted(rows),
-        "risk_adjusted_score": portfolio.risk_adjusted(rows),
+        "risk_adjusted_score_weighted": portfolio.risk_adjusted(rows),
     }
     out = None
     for method, part in parts.items():
@@ -304,7 +328,7 @@ def all_weights(s, d):
 
 
 cte("rule_weights", """SELECT as_of_date, ticker, 'equal_weight' AS method, CAST(1.0 / COUNT(*) OVER (PARTITION BY as_of_date) AS DOUBLE) AS weight FROM candidates
-UNION ALL SELECT as_of_date, ticker, 'score_weighted', weight FROM w_score UNION ALL SELECT as_of_date, ticker, 'risk_adjusted_score', weight FROM w_risk
+UNION ALL SELECT as_of_date, ticker, 'score_weighted', weight FROM w_score UNION ALL SELECT as_of_date, ticker, 'risk_adjusted_score_weighted', weight FROM w_risk
 UNION ALL SELECT as_of_date, ticker, 'top_n_equal_weight', 0.5 FROM (SELECT * FROM candidates QUALIFY ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY overall_score DESC, MD5(ticker), ticker) <= 2) t""",
     "candidates", "w_score", "w_risk")
 register("p_dispatch", lambda s, d: all_weights(s, d).select("method", *rounded(WKEY, W)))
@@ -380,7 +404,7 @@ cte("history", f"""SELECT m.method, v.as_of_date, v.end_date, k.holdings, d.days
  WHEN d.days IS NULL THEN 'no returns' ELSE 'invested' END AS status, CASE WHEN s.as_of_date IS NOT NULL AND k.holdings IS NULL THEN 0 ELSE d.ret END AS period_return,
  EXP(SUM(LN(1 + COALESCE(d.ret, 0))) OVER (PARTITION BY m.method ORDER BY v.as_of_date)) AS ending_value
 FROM ({' UNION ALL '.join(f"SELECT DATE '{a}' AS as_of_date, DATE '{b}' AS end_date" for a, b in ALL_WINDOWS)}) v
-CROSS JOIN (SELECT UNNEST(['equal_weight', 'top_n_equal_weight', 'score_weighted', 'risk_adjusted_score', 'all_cash']) AS method) m
+CROSS JOIN (SELECT UNNEST(['equal_weight', 'top_n_equal_weight', 'score_weighted', 'risk_adjusted_score_weighted', 'all_cash']) AS method) m
 LEFT JOIN (SELECT as_of_date, method, COUNT(*) AS holdings FROM rule_weights GROUP BY ALL) k ON k.as_of_date = v.as_of_date AND k.method = m.method
 LEFT JOIN (SELECT DISTINCT as_of_date FROM rule_weights) s ON s.as_of_date = v.as_of_date
 LEFT JOIN (SELECT as_of_date, method, ARG_MAX(value, date) - 1 AS ret, COUNT(*) AS days FROM rule_daily GROUP BY ALL) d ON d.as_of_date = v.as_of_date AND d.method = m.method""",
@@ -444,11 +468,13 @@ add("b_replay", _replay, [*BY, "date"], {"portfolio_return": 6},
     "(SELECT as_of_date, method, date, SUM(weight * ret) AS portfolio_return FROM rule_held GROUP BY ALL) x", "rule_held")
 
 
+ENGINE = ResearchConfig(benchmark=testbed.BENCHMARK, top_screen_n=SCREEN, final_portfolio_n=N)
+
+
 def _engine(s, d):
-    """Eligible -> ranked -> selected -> weighted, for every date at once."""
-    rows = cf.raw(s, d, testbed.BRAND).filter(F.col("return_count") >= 252)
-    chosen = factors.two_stage(rows, SCREEN, N)
-    return portfolio.capped(portfolio.score_weighted(chosen), CAP)
+    """The research run: eligible -> ranked -> selected -> scored again -> weighted, for every date at once."""
+    done = run(testbed.bars(s, d, testbed.BRAND), testbed.statements(s, d, testbed.BRAND), AS_OF, ENGINE)
+    return done["weights"].join(done["selection"].select(*KEY, "universe_rank", "screen_rank", "overall_score"), KEY)
 
 
 cte("engine_raw", "SELECT * FROM brand_raw WHERE return_count >= 252", "brand_raw")
@@ -456,6 +482,8 @@ cte("engine_scored", cf.score_sql("engine_raw"), "engine_raw")
 cte("engine_top", f"SELECT {RAW_LIST}, overall_score AS universe_score, ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY overall_score DESC NULLS LAST, MD5(ticker), ticker) AS universe_rank FROM engine_scored QUALIFY universe_rank <= {SCREEN}", "engine_scored")
 cte("engine_inner", cf.score_sql("engine_top"), "engine_top")
 cte("engine_pick", f"SELECT *, ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY overall_score DESC NULLS LAST, MD5(ticker), ticker) AS screen_rank FROM engine_inner QUALIFY screen_rank <= {N}", "engine_inner")
-cte("engine_norm", norm_sql("engine_pick", "overall_score"), "engine_pick")
-cte("engine_weights", f"SELECT c.as_of_date, c.ticker, c.weight, p.universe_rank, p.screen_rank, p.overall_score FROM ({cap_sql('engine_norm', CAP)}) c JOIN engine_pick p USING (as_of_date, ticker)", "engine_norm", "engine_pick")
+cte("engine_inputs", f"SELECT {RAW_LIST} FROM engine_pick", "engine_pick")
+cte("engine_final", cf.score_sql("engine_inputs"), "engine_inputs")
+cte("engine_norm", norm_sql("engine_final", "overall_score"), "engine_final")
+cte("engine_weights", "SELECT n.as_of_date, n.ticker, n.weight, p.universe_rank, p.screen_rank, p.overall_score FROM engine_norm n JOIN engine_pick p USING (as_of_date, ticker)", "engine_norm", "engine_pick")
 add("b_engine", _engine, [*KEY, "universe_rank", "screen_rank"], {"overall_score": 4, "weight": 6}, "engine_weights")

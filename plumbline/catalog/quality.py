@@ -151,8 +151,8 @@ def _stream_prices(s, d):
 def _stream_news(s, d):
     table, checkpoint = _paths(s, "news")
     keyed = _events(s, d).select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("url"), "event_id", "ts")
-    ingest.run_available(ingest.first_per_key(keyed, ["url"], "ts", ingest.NEWS_HORIZON), table, checkpoint, ["url"], ["ts", "event_id"])
-    return s.read.parquet(table).select("url")
+    ingest.run_available(keyed, table, checkpoint, ["url"], ["ts", "event_id"])
+    return s.read.parquet(table).select("url", "event_id")
 
 
 def _stream_bars(s, d):
@@ -164,7 +164,7 @@ def _stream_bars(s, d):
 
 register("z_ingest_prices", _stream_prices, """SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, event_id, value AS close FROM events
 QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1""")
-register("z_ingest_news", _stream_news, "SELECT DISTINCT CONCAT(event_type, '/', user_id) AS url FROM events")
+register("z_ingest_news", _stream_news, "SELECT CONCAT(event_type, '/', user_id) AS url, ARG_MIN(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 register("z_bars", _stream_bars, f"""SELECT event_type AS ticker, CAST(ts AS DATE) AS date, {r('ARG_MIN(value, (ts, event_id))', 4, 'open')}, {r('MAX(value)', 4, 'high')}, {r('MIN(value)', 4, 'low')},
 {r('ARG_MAX(value, (ts, event_id))', 4, 'close')}, COUNT(*) AS volume FROM events GROUP BY 1, 2
 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM events)""")

@@ -373,6 +373,7 @@ def _upsert_company(s, d):
 register("snk_upsert_company", _upsert_company,
          """SELECT ticker, CASE WHEN sector <> 'ASIA' THEN CONCAT(name, ' (new)') ELSE name END AS name, sector, industry, exchange_code, cik FROM companies""", "companies")
 plain("snk_require_company", lambda s, d: tables.with_parent(bars(s, d), companies(s, d), "ticker"), BAR, "bars SEMI JOIN companies USING (ticker)", "bars", "companies")
+plain("snk_quarantine", lambda s, d: tables.orphans(bars(s, d), companies(s, d), "ticker"), BAR, "bars ANTI JOIN companies USING (ticker)", "bars", "companies")
 register("snk_ingest_log",
          lambda s, d: lookups.universe_status(companies(s, d), bars(s, d), statements(s, d)).select("ticker", F.when(F.col("complete"), "skipped").otherwise("stored").alias("status"), "price_rows", "financial_rows"),
          """SELECT ticker, CASE WHEN COALESCE(p.n, 0) > 0 AND COALESCE(f.n, 0) > 0 THEN 'skipped' ELSE 'stored' END AS status, COALESCE(p.n, 0) AS price_rows, COALESCE(f.n, 0) AS financial_rows
@@ -437,9 +438,12 @@ def _children(s, d):
     )
 
 
+# filings carry the ticker's number, companies the ticker: the join gives each filing its company
 register("q_filing_with_ticker",
-         lambda s, d: _children(s, d).join(companies(s, d), "company_id").select("ticker", "child_rows"),
-         "SELECT ticker, COUNT(*) AS child_rows FROM lineitem JOIN companies ON company_id = l_suppkey GROUP BY ticker", "companies")
+         lambda s, d: filings(s, d).withColumn("company_id", F.regexp_extract("ticker", "[0-9]+", 0).cast("bigint"))
+         .select("filing_id", "filing_type", "filing_date", "company_id")
+         .join(companies(s, d).select("company_id", "ticker"), "company_id").select("filing_id", "filing_type", "filing_date", "ticker"),
+         "SELECT filing_id, filing_type, filing_date, c.ticker FROM filings f JOIN companies c ON c.company_id = CAST(REGEXP_EXTRACT(f.ticker, '[0-9]+') AS BIGINT)", "filings", "companies")
 register("j_company_fk",
          lambda s, d: _children(s, d).join(companies(s, d), "company_id").select("ticker", "sector", "child_rows", "quantity"),
          f"SELECT ticker, sector, COUNT(*) AS child_rows, {r('SUM(l_quantity)', 1, 'quantity')} FROM lineitem JOIN companies ON company_id = l_suppkey GROUP BY ticker, sector", "companies")

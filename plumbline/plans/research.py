@@ -1,15 +1,17 @@
-"""One research run: eligible -> ranked -> screened -> selected -> weighted."""
+"""One research run: eligible -> ranked -> screened -> selected -> alpha -> weighted."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import covariance, factors, portfolio, prices
+from plumbline.functions.factor_config import SCORE_COLUMNS
+from plumbline.functions.scalars import finite
+from plumbline.operators import calendars, covariance, factors, labels, models, portfolio, prices
 from plumbline.sources.stored import settle
 
 
@@ -21,19 +23,25 @@ class ResearchConfig:
     period_mode: str = "quarterly"
     minimum_return_rows: int = 252
     top_screen_n: int = 100
-    final_portfolio_n: int = 10
+    final_portfolio_n: int = 5
     method: str = "score_weighted"
     top_n: int = 5
     covariance_method: str = "sample"
     ewma_span: int = 60
-    max_weight: float | None = 0.40
+    max_weight: float | None = 1.0
     max_abs_weight: float | None = 0.40
     long_only: bool = True
     exposure_mode: str = "gross"
     target_gross_exposure: float = 1.0
     target_net_exposure: float = 1.0
-    risk_aversion: float = 3.0
-    risk_free_signal: float = 0.0
+    risk_aversion: float = 1.0
+    risk_free_signal: float = 0.04
+    training_lookback_periods: int = 12
+    training_period_months: int = 3
+    min_train_periods: int = 8
+    hrp_linkage_method: str = "single"
+    minimum_label_rows: int = labels.MIN_LABEL_ROWS
+    base_models: tuple[str, ...] = tuple(models.STATISTICAL)
     hrp_use_signal: bool = True
     hrp_return_risk_metric: str = "volatility"
 
@@ -44,24 +52,75 @@ class ResearchConfig:
             raise ValueError("risk_aversion must be at least 1.")
 
 
-def select_names(
+NEEDS_ALPHA = {"top_n_equal_weight", "maximum_sharpe", "mean_variance", "hierarchical_risk_parity"}
+
+
+def eligible_names(
     bars: DataFrame, statements: DataFrame, dates: Sequence[date], config: ResearchConfig
 ) -> DataFrame:
-    """Final candidates of every date with ranks and scores."""
+    """Raw factors of every name with enough returns, at every date."""
     raw = factors.raw_factors(bars, statements, dates, config.benchmark, config.period_mode)
-    eligible = settle(raw.filter(F.col("return_count") >= config.minimum_return_rows), "raw_factors")
-    return factors.two_stage(eligible, config.top_screen_n, config.final_portfolio_n)
+    return settle(raw.filter(F.col("return_count") >= config.minimum_return_rows), "raw_factors")
+
+
+def training_panel(
+    bars: DataFrame, statements: DataFrame, day: date, config: ResearchConfig
+) -> DataFrame:
+    """Factor scores of the training dates before `day`, with the excess return up to the next boundary."""
+    periods, months = config.training_lookback_periods, config.training_period_months
+    starts = calendars.training_dates(day, periods, months)
+    bounds = calendars.boundaries(day, periods, months)
+    # a label ends the day before the next boundary, so nothing of `day` or later is seen
+    windows = [(a, b - timedelta(days=1)) for a, b in zip(bounds, bounds[1:])]
+    raw = factors.raw_factors(bars, statements, starts, config.benchmark, config.period_mode)
+    scores = factors.score(settle(raw.filter(F.col("return_count") >= config.minimum_return_rows), "training"))
+    forward = labels.forward_returns(prices.with_returns(bars), windows, config.benchmark, config.minimum_label_rows)
+    return labels.labelled_panel(scores, forward)
+
+
+def expected_returns(
+    bars: DataFrame, statements: DataFrame, eligible: DataFrame, dates: Sequence[date], config: ResearchConfig
+) -> DataFrame:
+    """(as_of_date, ticker, alpha): every research date with models trained on earlier dates only.
+
+    The loop runs over the research dates of the configuration; every fit is a Spark job.
+    A date whose training dates hold no labelled row has no alpha.
+    """
+    scored = settle(factors.score(eligible), "scores")
+    out = None
+    for day in dates:
+        panel = settle(training_panel(bars, statements, day, config), "panel")
+        if panel.isEmpty():
+            continue
+        current = scored.filter(F.col("as_of_date") == F.lit(day))
+        alpha = models.train_predict(panel, current, SCORE_COLUMNS, config.base_models, config.min_train_periods)
+        alpha = alpha.withColumnRenamed("alpha_expected_excess_return", "alpha")
+        out = alpha if out is None else out.unionByName(alpha)
+    if out is None:
+        return scored.select("as_of_date", "ticker", F.lit(None).cast("double").alias("alpha")).limit(0)
+    return settle(out.select("as_of_date", "ticker", "alpha"), "alpha")
 
 
-def build_weights(bars: DataFrame, chosen: DataFrame, config: ResearchConfig) -> DataFrame:
-    """(as_of_date, ticker, method, weight) for the configured method."""
+def build_weights(
+    bars: DataFrame, chosen: DataFrame, config: ResearchConfig, alpha: DataFrame | None = None
+) -> DataFrame:
+    """(as_of_date, ticker, method, weight) for the configured method.
+
+    `alpha` (as_of_date, ticker, alpha) is the signal of the methods that need one; names
+    without an alpha leave those methods.
+    """
+    keys = ["as_of_date", "ticker"]
+    if alpha is not None:
+        chosen = chosen.join(alpha, keys, "left").withColumn("signal", finite("alpha"))
+    else:
+        chosen = chosen.withColumn("signal", F.lit(None).cast("double"))
     raw_columns = ["as_of_date", "ticker", "return_count", "market_cap", *factors.RAW_COLUMNS]
     method = config.method
     if method == "equal_weight":
         out = portfolio.equal(chosen)
     elif method == "top_n_equal_weight":
-        out = portfolio.top_n_equal(chosen, "overall_score", config.top_n)
-    elif method in ("score_weighted", "risk_adjusted_score"):
+        out = portfolio.top_n_equal(chosen, "signal", config.top_n)
+    elif method in ("score_weighted", "risk_adjusted_score_weighted"):
         scored = factors.score(settle(chosen.select(*raw_columns), "candidates"))
         rule = portfolio.score_weighted if method == "score_weighted" else portfolio.risk_adjusted
         out = rule(scored)
@@ -69,8 +128,8 @@ def build_weights(bars: DataFrame, chosen: DataFrame, config: ResearchConfig) ->
         returns = prices.with_returns(bars)
         rows = covariance.complete_returns(returns, chosen.select("as_of_date", "ticker"))
         cov = covariance.estimate(rows, config.covariance_method, config.ewma_span)
-        signals = chosen.select("as_of_date", "ticker", F.col("overall_score").alias("signal"))
-        hrp = {"use_signal": config.hrp_use_signal, "metric": config.hrp_return_risk_metric}
+        signals = chosen.select("as_of_date", "ticker", "signal")
+        hrp = {"use_signal": config.hrp_use_signal, "metric": config.hrp_return_risk_metric, "linkage": config.hrp_linkage_method}
         raw = portfolio.solved_weights(cov, signals, [method], config.risk_free_signal, **hrp)
         share = 1 / config.risk_aversion if method == "mean_variance" else 1.0
         always_long = method in ("risk_parity", "hierarchical_risk_parity")
@@ -87,6 +146,12 @@ def build_weights(bars: DataFrame, chosen: DataFrame, config: ResearchConfig) ->
 def run(
     bars: DataFrame, statements: DataFrame, dates: Sequence[date], config: ResearchConfig = ResearchConfig()
 ) -> dict[str, DataFrame]:
-    """Selection and weights of every research date."""
-    chosen = settle(select_names(bars, statements, dates, config), "selection")
-    return {"selection": chosen, "weights": build_weights(bars, chosen, config)}
+    """Selection, expected returns (where the method needs them) and weights of every research date."""
+    eligible = eligible_names(bars, statements, dates, config)
+    chosen = settle(factors.two_stage(eligible, config.top_screen_n, config.final_portfolio_n), "selection")
+    needed = config.method in NEEDS_ALPHA and (
+        config.method != "hierarchical_risk_parity" or config.hrp_use_signal
+    )
+    alpha = expected_returns(bars, statements, eligible, dates, config) if needed else None
+    out = {"selection": chosen, "weights": build_weights(bars, chosen, config, alpha)}
+    return out | ({"alpha": alpha} if needed else {})

@@ -29,7 +29,7 @@ def insert_if_absent(
 ) -> DataFrame:
     """Rows to append: deduplicated incoming rows whose key is not stored."""
     fresh = first_per_key(incoming, keys, order)
-    return fresh.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(*incoming.columns)
+    return fresh.join(existing.select(*keys), list(keys), "left_anti").select(*incoming.columns)
 
 
 def upsert(
@@ -62,12 +62,12 @@ def upsert(
 
 
 def with_parent(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    return rows.join(parents.select(key).distinct(), key, "left_semi")
+    return rows.join(parents.select(key), key, "left_semi")
 
 
 def orphans(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Rows without a parent, for quarantine."""
-    return rows.join(parents.select(key).distinct(), key, "left_anti")
+    return rows.join(parents.select(key), key, "left_anti")
 
 
 def refresh_counts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
