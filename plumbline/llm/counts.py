@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import keep_modest
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMO_WORDS = 200_000
@@ -133,6 +135,7 @@ def count_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["id", "n_tokens", "n_unknown", "score"],
             )
 
+    keep_modest(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(count, "id bigint, n_tokens bigint, n_unknown bigint, score double")
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import keep_modest
+
 WINDOW = 10
 SHARD_WORDS = 200_000
 # spans longer than this, or covering more of a document than this, are removed
@@ -223,6 +225,7 @@ def find_overlap(
     schema = frame.schema
     at = docs.columns.index(text_col)
     context = docs.sparkSession.sparkContext
+    keep_modest(docs.sparkSession)
     passes = list(shards(items, item_id, item_text, shard_words)) or [[]]
     for shard in passes:
         shared = context.broadcast(Automaton(shard, window))

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import keep_modest
 from plumbline.llm.components import components
 from plumbline.sources.stored import settle
 
@@ -430,6 +431,7 @@ def _block_rest(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id and print (hash of the text), one row per document."""
+    keep_modest(docs.sparkSession)
     table = settle(shingle_table(docs, id_col, text_col), "shingles")
     links = links_of(docs, table, id_col, text_col, percent)
     names = table.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"))

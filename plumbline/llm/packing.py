@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import keep_modest
 from plumbline.sources.stored import settle
 
 WINDOW = 2048
@@ -78,6 +79,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_
                     names=["id", "part", "local", "n", "ids"],
                 )
 
+    keep_modest(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(encode, TOKEN_TABLE)
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import keep_modest
+
 TRAIN_ROWS = 20_000
 HELD_OUT_MOD = 5
 THRESHOLD = 0.3
@@ -165,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound:
                 [pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"]
             )
 
+    keep_modest(docs.sparkSession)
     table = picked.select("text", "label").mapInArrow(measure, "x array<double>, y int").toArrow()
     y = np.array(table.column("y").to_pylist(), dtype=float)
     x = np.array(table.column("x").to_pylist(), dtype=float).reshape(len(y), len(STATISTICS))
@@ -179,6 +182,7 @@ def scored(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame
     )
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
+    keep_modest(docs.sparkSession)
 
     def score(batches):
         for batch in batches:

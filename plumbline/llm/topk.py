@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import keep_modest
 from plumbline.sources.stored import settle
 
 SCALE = 64.0
@@ -159,6 +160,7 @@ def search(
         .groupBy(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"))
         .agg(F.min(x).alias("vector"))
     )
+    keep_modest(vectors.sparkSession)
     stored = settle(packed(usable, VECTOR_BLOCK, scale), "vectors")
     asked = settle(packed(usable.where(is_query), QUERY_BLOCK, scale), "queries")
     groups = max(1, stored.count())
