@@ -16,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 HEADLINE = [
     "momentum_leaders", "w_tech_panel", "j_asof_price", "n_ratios", "c_overall", "c_two_stage",
     "f_statement_pivot", "b_compare_rebalanced",
+    "l_labels", "a_cov_ledoit_wolf", "p_hrp",
     "x_relevance", "x_select_news", "x_filing_excerpt", "snk_insert_prices", "z_bars",
 ]
 

@@ -8,7 +8,7 @@ from plumbline.catalog import factors as cf
 from plumbline.catalog import portfolio as cp
 from plumbline.catalog.prices import AS_OF
 from plumbline.catalog.twin import SNAPSHOTS, cte, r, register
-from plumbline.functions.factor_config import SCORE_COLUMNS
+from plumbline.functions.factor_config import RAW_FEATURES, SCORE_COLUMNS
 from plumbline.functions.scalars import rnd
 from plumbline.operators import models
 from plumbline.operators.ranking import top_k
@@ -16,7 +16,7 @@ from plumbline.operators.ranking import top_k
 KEY = models.KEY
 MIN_TRAIN = 2
 SIZES = {"trees": 20, "rounds": 10}
-RAW = ["earnings_yield", "sales_yield", "gross_margin", "return_on_equity", "one_month_return", "annualized_volatility", "max_drawdown", "price_vs_sma_50"]
+RAW = RAW_FEATURES
 
 
 def panel(s, d):
@@ -60,7 +60,7 @@ register("m_expanding_folds", lambda s, d: models.expanding_folds(panel(s, d), M
          f"""SELECT f.idx AS fold, d.as_of_date, CASE WHEN d.idx = f.idx THEN 'test' ELSE 'train' END AS role FROM (SELECT as_of_date, ROW_NUMBER() OVER (ORDER BY as_of_date) - 1 AS idx FROM (SELECT DISTINCT as_of_date FROM panel) x) d
 JOIN (SELECT ROW_NUMBER() OVER (ORDER BY as_of_date) - 1 AS idx FROM (SELECT DISTINCT as_of_date FROM panel) x) f ON d.idx <= f.idx WHERE f.idx >= {MIN_TRAIN}""", "panel")
 register("m_kfold_fallback", lambda s, d: models.shuffled_folds(panel(s, d)).groupBy("fold").agg(F.count("*").alias("rows")))
-LINEAR = ["ridge", "bayesian_ridge", "principal_components", "partial_least_squares"]
+LINEAR = models.STATISTICAL
 
 
 def oof(s, d):

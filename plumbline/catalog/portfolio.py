@@ -300,8 +300,35 @@ def solved(s, d, methods=portfolio.SOLVED, **finish):
     return portfolio.finalized(raw_weights, group=["as_of_date", "method"], **finish)
 
 
-for method, name in zip(portfolio.SOLVED, ["p_min_variance", "p_max_sharpe", "p_mean_variance", "p_risk_parity", "p_hrp"]):
-    register(name, lambda s, d, m=method: solved(s, d, [m], max_weight=CAP).select("method", *rounded(WKEY, W)))
+SOLVED_NAMES = {
+    "minimum_variance": "p_min_variance", "maximum_sharpe": "p_max_sharpe", "mean_variance": "p_mean_variance",
+    "risk_parity": "p_risk_parity", "hierarchical_risk_parity": "p_hrp",
+}
+
+# twin of the closed forms: Gauss-Jordan elimination of (covariance | ones | signal), one step per name
+cte("system0", f"""SELECT as_of_date, i, j, v FROM (
+SELECT c.as_of_date, a.k AS i, b.k AS j, c.cov AS v FROM cov_sample c JOIN places a ON a.as_of_date = c.as_of_date AND a.ticker = c.t1 JOIN places b ON b.as_of_date = c.as_of_date AND b.ticker = c.t2
+UNION SELECT c.as_of_date, b.k, a.k, c.cov FROM cov_sample c JOIN places a ON a.as_of_date = c.as_of_date AND a.ticker = c.t1 JOIN places b ON b.as_of_date = c.as_of_date AND b.ticker = c.t2
+UNION ALL SELECT as_of_date, k, {N + 1}, 1.0 FROM places UNION ALL SELECT as_of_date, k, {N + 2}, overall_score FROM places JOIN candidates USING (as_of_date, ticker)) x""",
+    "cov_sample", "places", "candidates")
+cte("places", "SELECT as_of_date, ticker, ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY ticker) AS k FROM candidates", "candidates")
+for _k in range(1, N + 1):
+    cte(f"system{_k}", f"""SELECT a.as_of_date, a.i, a.j, CASE WHEN a.i = {_k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v FROM system{_k - 1} a
+JOIN system{_k - 1} p ON p.as_of_date = a.as_of_date AND p.i = {_k} AND p.j = {_k}
+JOIN system{_k - 1} c ON c.as_of_date = a.as_of_date AND c.i = a.i AND c.j = {_k}
+JOIN system{_k - 1} r ON r.as_of_date = a.as_of_date AND r.i = {_k} AND r.j = a.j""", f"system{_k - 1}")
+
+
+def _solved_twin(method):
+    column = N + 1 if method == "minimum_variance" else N + 2
+    cte(f"raw_{method}", f"SELECT p.as_of_date, p.ticker, m.v AS solution FROM places p JOIN system{N} m ON m.as_of_date = p.as_of_date AND m.i = p.k AND m.j = {column}", "places", f"system{N}")
+    cte(f"long_{method}", norm_sql(f"raw_{method}", "solution"), f"raw_{method}")
+    return f"SELECT '{method}' AS method, {rounded_sql(WKEY, W)} FROM ({cap_sql(f'long_{method}', CAP)}) w"
+
+
+for method, name in SOLVED_NAMES.items():
+    twin = (_solved_twin(method), f"long_{method}") if method in list(SOLVED_NAMES)[:3] else ()
+    register(name, lambda s, d, m=method: solved(s, d, [m], max_weight=CAP).select("method", *rounded(WKEY, W)), *twin)
 
 
 def rule_weights(s, d):
@@ -387,9 +414,27 @@ def rebalanced(s, d):
     return backtest.window_returns(brand_returns(s, d), rule_weights(s, d), WINDOWS)
 
 
+def every_method(s, d):
+    """Weights of all nine methods."""
+    return SNAPSHOTS.get(s, ("all_weights", d), lambda: all_weights(s, d))
+
+
+def compared(s, d):
+    """All nine methods over the holding windows, best first."""
+    held_rows = backtest.window_returns(brand_returns(s, d), every_method(s, d), WINDOWS)
+    table = backtest.method_table(backtest.metrics(backtest.drifted(held_rows)))
+    return table.select(*rounded(["method", "number_of_days"], METRICS))
+
+
+def compared_static(s, d):
+    table = backtest.metrics(backtest.portfolio_returns(every_method(s, d), complete(s, d)), BY)
+    return table.select(*rounded([*BY, "number_of_days"], METRICS))
+
+
 add("b_fixed", lambda s, d: backtest.with_equity(fixed(s, d), BY), [*BY, "date"], {"drawdown": 5}, "fixed_equity", logs={"equity": 5})
 add("b_method", lambda s, d: backtest.metrics(fixed(s, d).filter("method = 'score_weighted'"), BY), [*BY, "number_of_days"], METRICS, "fixed_metrics WHERE method = 'score_weighted'", "fixed_metrics", logs=GROWN)
-add("b_compare_static", lambda s, d: backtest.metrics(fixed(s, d), BY), [*BY, "number_of_days"], METRICS, "fixed_metrics", logs=GROWN)
+add("a_static_metrics", lambda s, d: backtest.metrics(fixed(s, d), BY), [*BY, "number_of_days"], METRICS, "fixed_metrics", logs=GROWN)
+register("b_compare_static", compared_static)
 add("w_ticker_growth", lambda s, d: backtest.ticker_growth(rebalanced(s, d)), [*BY, "date", "ticker"], {"growth": 5}, "rule_growth")
 add("b_drift_daily", lambda s, d: backtest.drifted(rebalanced(s, d)), [*BY, "date"], {"value": 5, "portfolio_return": 6}, "rule_daily")
 add("w_equity_curve", lambda s, d: backtest.with_equity(backtest.drifted(rebalanced(s, d))), ["method", "date"], {}, "rule_equity", logs={"equity": 5})
@@ -397,7 +442,7 @@ add("w_cummax_equity", lambda s, d: backtest.with_equity(backtest.drifted(rebala
 add("s_concat_returns", lambda s, d: backtest.drifted(rebalanced(s, d)).orderBy("method", "date"), ["method", "date"], {"portfolio_return": 6}, "rule_daily")
 add("a_backtest_metrics", lambda s, d: backtest.metrics(backtest.drifted(rebalanced(s, d))), ["method", "number_of_days"], METRICS, "rule_metrics", logs=GROWN)
 add("a_method_table", lambda s, d: backtest.method_table(backtest.metrics(backtest.drifted(rebalanced(s, d)))), ["method", "number_of_days"], METRICS, "rule_metrics", logs=GROWN)
-add("b_compare_rebalanced", lambda s, d: backtest.method_table(backtest.metrics(backtest.drifted(rebalanced(s, d)))), ["method", "number_of_days"], METRICS, "rule_metrics", logs=GROWN)
+register("b_compare_rebalanced", compared)
 
 ALL_WINDOWS = [(date(1996, 1, 1), date(1996, 3, 31)), *WINDOWS]
 cte("history", f"""SELECT m.method, v.as_of_date, v.end_date, k.holdings, d.days, CASE WHEN s.as_of_date IS NULL THEN 'no selected tickers' WHEN k.holdings IS NULL THEN 'cash'

@@ -11,6 +11,7 @@ from plumbline.catalog.twin import cte, r, register
 from plumbline.functions.scalars import normal_ticker, rnd
 from plumbline.operators import facts as facts_ops
 from plumbline.operators import lookups
+from plumbline.operators.ranking import ranked
 from plumbline.sources import landed, tables, testbed
 
 T = testbed.table
@@ -294,11 +295,13 @@ register("q_eligible_universe",
 
 
 def _universe_csv(s, d):
-    lines = bars(s, d).select(F.concat(F.lit(" "), F.lower("ticker")).alias("ticker"))
-    return lines.select(normal_ticker("ticker").alias("ticker")).filter(F.col("ticker").isNotNull() & (F.col("ticker") != "")).distinct()
+    """Tickers of a list with market caps, largest first; position carries the order."""
+    caps = _last_bars(s, d).select(F.concat(F.lit(" "), F.lower("ticker")).alias("ticker"), (F.col("close") * F.col("shares_outstanding")).alias("market_cap"))
+    named = caps.select(normal_ticker("ticker").alias("ticker"), F.lit("all").alias("list"), "market_cap").filter(F.col("ticker").isNotNull() & (F.col("ticker") != ""))
+    return ranked(named, ["list"], "market_cap", "ticker", "position").select("ticker", "position")
 
 
-register("src_universe_csv", _universe_csv, "SELECT DISTINCT UPPER(ticker) AS ticker FROM bars", "bars")
+register("src_universe_csv", _universe_csv, "SELECT UPPER(ticker) AS ticker, ROW_NUMBER() OVER (ORDER BY close * shares_outstanding DESC NULLS LAST, MD5(UPPER(ticker)), UPPER(ticker)) AS position FROM last_bars", "last_bars")
 register("src_index_members", lambda s, d: T(s, d, "supplier").select(F.translate(normal_ticker(F.concat(F.lit("m."), F.col("s_suppkey").cast("string"))), ".", "-").alias("ticker")),
          "SELECT CONCAT('M-', s_suppkey) AS ticker FROM supplier")
 
@@ -337,7 +340,7 @@ def _insert_prices(s, d):
     stored, landing = rows.filter(F.col("date") < F.lit(PRICE_CUT)), rows.filter(F.col("date") >= F.lit(PRICE_FROM))
     # the landing repeats every bar with a later, different close
     twice = landing.withColumn("seq", F.lit(0)).unionByName(landing.withColumn("seq", F.lit(1)).withColumn("close", F.col("close") + 1))
-    return tables.insert_if_absent(stored.withColumn("seq", F.lit(0)), twice, ["ticker", "date"], ["seq"])
+    return tables.insert_if_absent(stored.withColumn("seq", F.lit(0)), twice, ["ticker", "date"], ["seq"], within="date")
 
 
 plain("snk_insert_prices", _insert_prices, BAR, f"bars WHERE date >= DATE '{PRICE_CUT}'", "bars")
@@ -346,7 +349,7 @@ plain("snk_insert_prices", _insert_prices, BAR, f"bars WHERE date >= DATE '{PRIC
 def _insert_financials(s, d):
     rows = statements(s, d)
     stored = rows.filter("fiscal_year < 1999 AND fiscal_period <> 'FY'")
-    return tables.insert_if_absent(stored, rows, ["ticker", "period_end_date", "fiscal_period"], ["filed_date"])
+    return tables.insert_if_absent(stored, rows, ["ticker", "period_end_date", "fiscal_period"], ["filed_date"], within="period_end_date")
 
 
 plain("snk_insert_financials", _insert_financials, STM, "statements WHERE NOT (fiscal_year < 1999 AND fiscal_period <> 'FY')", "statements")
@@ -400,18 +403,18 @@ plain("q_company_by_id", lambda s, d: companies(s, d).join(T(s, d, "lineitem").s
       "companies WHERE company_id IN (SELECT l_suppkey FROM lineitem)", "companies")
 plain("q_companies_all", lambda s, d: companies(s, d).orderBy("ticker"), COM, "companies")
 plain("q_companies_by_sector", lambda s, d: companies(s, d).filter(F.col("sector") == "EUROPE").orderBy("ticker"), COM, "companies WHERE sector = 'EUROPE'", "companies")
-plain("q_prices_all", lambda s, d: bars(s, d).orderBy("ticker", F.desc("date")), BAR, "bars")
+plain("q_prices_all", lambda s, d: bars(s, d).repartition("ticker").sortWithinPartitions("ticker", F.desc("date")), BAR, "bars")
 plain("q_price_latest", _last_bars, BAR, "last_bars")
 plain("q_prices_between", lambda s, d: lookups.between(bars(s, d), "date", date(1998, 1, 1), date(1999, 12, 31)), BAR, "bars WHERE date BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'", "bars")
 plain("q_prices_recent", lambda s, d: lookups.recent(bars(s, d), "date", AS_OF[-1], 90), BAR, f"bars WHERE date BETWEEN DATE '{AS_OF[-1]}' - 90 AND DATE '{AS_OF[-1]}'", "bars")
 plain("q_price_count", lambda s, d: lookups.counts(bars(s, d), "ticker"), ["ticker", "row_count"], "(SELECT ticker, COUNT(*) AS row_count FROM bars GROUP BY ticker) c", "bars")
 plain("q_pit_prices", lambda s, d: lookups.known_by(bars(s, d), "date", AS_OF[1]), BAR, f"bars WHERE date <= DATE '{AS_OF[1]}'", "bars")
-plain("q_fin_all", lambda s, d: statements(s, d).orderBy("ticker", F.desc("period_end_date")), STM, "statements")
+plain("q_fin_all", lambda s, d: statements(s, d).repartition("ticker").sortWithinPartitions("ticker", F.desc("period_end_date")), STM, "statements")
 plain("q_fin_latest", lambda s, d: lookups.latest(statements(s, d), "ticker", ["period_end_date", "fiscal_period"]), STM,
       "statements QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY period_end_date DESC, fiscal_period DESC) = 1", "statements")
 plain("q_fin_between_years", lambda s, d: lookups.between(statements(s, d), "fiscal_year", 1997, 1999), STM, "statements WHERE fiscal_year BETWEEN 1997 AND 1999", "statements")
 plain("q_fin_count", lambda s, d: lookups.counts(statements(s, d), "ticker"), ["ticker", "row_count"], "(SELECT ticker, COUNT(*) AS row_count FROM statements GROUP BY ticker) c", "statements")
-plain("q_filings_all", lambda s, d: filings(s, d).orderBy("ticker", F.desc("filing_date")), FIL, "filings")
+plain("q_filings_all", lambda s, d: filings(s, d).repartition("ticker").sortWithinPartitions("ticker", F.desc("filing_date")), FIL, "filings")
 def new_fil():
     return [F.desc("filing_date"), F.desc("filing_id")]
 
@@ -453,7 +456,7 @@ def new_art():
     return [F.desc_nulls_first("published_on"), F.desc("news_article_id")]
 
 
-plain("q_news_all", lambda s, d: news(s, d).orderBy(*new_art()), ART, "news")
+plain("q_news_all", lambda s, d: news(s, d).repartition("ticker").sortWithinPartitions("ticker", *new_art()), ART, "news")
 plain("q_news_recent", lambda s, d: lookups.recent(news(s, d), "published_on", NEWS_AS_OF, 30), ART, f"news WHERE published_on BETWEEN DATE '{NEWS_AS_OF}' - 30 AND DATE '{NEWS_AS_OF}'", "news")
 plain("q_news_latest", lambda s, d: lookups.newest(news(s, d).drop("raw_text"), ["ticker"], new_art(), 5), [*ART, "position"],
       "(SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_on DESC NULLS FIRST, news_article_id DESC) AS position FROM news) n WHERE position <= 5", "news")

@@ -57,7 +57,9 @@ def literal_map(values: Mapping[str, object]) -> Column:
 
 
 def price_bars(raw: DataFrame) -> DataFrame:
-    """Provider names -> bar columns; the file also carries ticker and shares."""
+    """Provider names -> bar columns; the file also carries ticker and shares. No rows: an error."""
+    if raw.isEmpty():
+        raise ValueError("no price rows landed")
     return raw.select(
         normal_ticker("ticker").alias("ticker"),
         *[F.col(f"`{theirs}`").alias(ours) for theirs, ours in PRICE_COLUMNS.items()],

@@ -31,17 +31,37 @@ def settle(frame: DataFrame, name: str = "table") -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    file_system, folder = _resolved(spark, path)
+    file_system.deleteOnExit(folder)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def _resolved(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def listing(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the files below a folder: changes with what is stored there."""
+    file_system, path = _resolved(spark, folder)
+    if not file_system.exists(path):
+        return ()
+    files, out = file_system.listFiles(path, True), []
+    while files.hasNext():
+        status = files.next()
+        out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
+
+
 class Snapshots:
-    """Stored panels by key, per application: each is computed once."""
+    """Stored panels by key, per application: each is computed once for the files its folders hold."""
 
     def __init__(self) -> None:
         self._frames: dict[tuple, DataFrame] = {}
 
     def get(self, spark: SparkSession, key: tuple, build) -> DataFrame:
-        full = (spark.sparkContext.applicationId, *key)
+        folders = tuple(listing(spark, k) for k in key if isinstance(k, str) and "/" in k)
+        full = (spark.sparkContext.applicationId, *key, folders)
         if full not in self._frames:
             self._frames[full] = settle(build(), str(key[0]))
         return self._frames[full]

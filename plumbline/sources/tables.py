@@ -25,10 +25,17 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def insert_if_absent(
-    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], within: str | None = None
 ) -> DataFrame:
-    """Rows to append: deduplicated incoming rows whose key is not stored."""
+    """Rows to append: deduplicated incoming rows whose key is not stored.
+
+    With `within`, a key column (a date), only stored rows in the batch's range are
+    read: the bounds reach the scan as pushed filters. Stored rows outside it cannot match.
+    """
     fresh = first_per_key(incoming, keys, order)
+    if within:
+        low, high = incoming.agg(F.min(within), F.max(within)).first()
+        existing = existing.filter(F.col(within).between(F.lit(low), F.lit(high)))
     return fresh.join(existing.select(*keys), list(keys), "left_anti").select(*incoming.columns)
 
 

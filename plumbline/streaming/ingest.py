@@ -44,7 +44,7 @@ def first_per_key(rows: DataFrame, keys: list[str], ts: str, horizon: str) -> Da
     return rows.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def append_new(path: str, keys: list[str], order: list[str]):
+def append_new(path: str, keys: list[str], order: list[str], within: str | None = None):
     """foreachBatch writer: rows whose key is not stored yet are appended."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
@@ -55,15 +55,17 @@ def append_new(path: str, keys: list[str], order: list[str]):
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             stored = spark.createDataFrame([], batch.schema)
-        insert_if_absent(stored, batch, keys, order).write.mode("append").parquet(path)
+        insert_if_absent(stored, batch, keys, order, within).write.mode("append").parquet(path)
 
     return write
 
 
-def run_available(rows: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
+def run_available(
+    rows: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], within: str | None = None
+) -> None:
     """Process what has landed and stop."""
     query = (
-        rows.writeStream.foreachBatch(append_new(path, keys, order))
+        rows.writeStream.foreachBatch(append_new(path, keys, order, within))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
