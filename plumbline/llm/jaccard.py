@@ -20,7 +20,7 @@ the global one. Two documents link when 100 * intersection >= 85 * union.
    A probe walks down the tree, so sets with a common beginning share the overlap
    counted there; a subtree is left when the sizes in it, or the overlap so far plus
    what can still come on both sides, cannot reach the threshold, or when probe and
-   subtree are in one component already.
+   leaf are in one component already or share no signature.
 
 Lower case concerns A-Z only; words end at [\\x20\\x09-\\x0D]. Documents without words,
 null texts: empty set, own component. Repeated rows and equal texts: one class. Rows with
@@ -44,8 +44,8 @@ from plumbline.sources.stored import settle
 
 NGRAM = 4
 PERCENT = 85
-# shingles per chunk of a block
-CHUNK_WEIGHT = 400_000
+# shingles per chunk of a block, and per part of a hub's members (the hub goes to each)
+CHUNK_WEIGHT, HUB_WEIGHT = 400_000, 50_000
 GROWTH = 1.5
 SEEN = 50_000
 U = np.uint64
@@ -327,11 +327,23 @@ def _block_links(rows: list, percent: int) -> list[tuple[int, int]]:
         return x
 
     tree = PrefixTree([r[3] for r in stored])
+    holders: dict[int, list[int]] = {}
+    if len(probes) > 1:
+        for i, row in enumerate(stored):
+            for signature in signatures(row[3], percent).tolist():
+                holders.setdefault(signature, []).append(i)
     links = []
     for _, name, component, values in probes:
         if not len(values):
             continue
-        for i in tree.linked(values, percent, lambda i: top(stored[i][2]) == top(component)):
+        if len(probes) > 1:
+            near = {i for s in signatures(values, percent).tolist() for i in holders.get(s, ())}
+        else:
+            near = range(len(stored))
+        if not near:
+            continue
+        skip = lambda i, near=near: i not in near or top(stored[i][2]) == top(component)
+        for i in tree.linked(values, percent, skip):
             a, b = top(component), top(stored[i][2])
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -390,7 +402,7 @@ def _hub_links(shared: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     weights = (
         pairs.join(texts.select("class", "n"), "class")
         .groupBy("hub")
-        .agg(F.ceil(F.sum("n") / CHUNK_WEIGHT).cast("bigint").alias("chunks"))
+        .agg(F.ceil(F.sum("n") / HUB_WEIGHT).cast("bigint").alias("chunks"))
     )
     members = pairs.join(weights, "hub").join(texts, "class").select(
         F.col("hub").alias("block"),

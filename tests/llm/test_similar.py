@@ -68,6 +68,7 @@ def test_groups_equal_brute_force(spark, seed):
 def test_small_chunks_give_the_same_groups(spark, monkeypatch):
     rows = corpus(3, 10)
     monkeypatch.setattr(jaccard, "CHUNK_WEIGHT", 200)
+    monkeypatch.setattr(jaccard, "HUB_WEIGHT", 100)
     assert got(jaccard.similar_groups(table(spark, rows))) == expected(rows)
 
 
