@@ -77,8 +77,24 @@ def alpha(s, d):
 
 register("m_oof", lambda s, d: oof(s, d).select(*KEY, *[rnd(m, 6).alias(m) for m in LINEAR]))
 register("m_predict_base", lambda s, d: base(s, d).select(*KEY, *[rnd(m, 6).alias(m) for m in LINEAR]))
-for _name in ("m_stack", "m_train", "m_predict", "m_train_predict", "m_alpha"):
-    register(_name, lambda s, d: alpha(s, d).select(*KEY, rnd("alpha", 6).alias("alpha")))
+def _fitted_stack(s, d):
+    """The meta model applied to the out-of-fold predictions it was fitted on."""
+    rows = oof(s, d)
+    return models.stacked(rows, rows, LINEAR).select(*KEY, F.col("alpha_expected_excess_return").alias("alpha"))
+
+
+def _train_predict(s, d):
+    """Folds, bases and meta model in one call, no stored parts."""
+    rows = panel(s, d).select(*KEY, models.TARGET, *SCORE_COLUMNS)
+    out = models.train_predict(rows, current(s, d), SCORE_COLUMNS, LINEAR, MIN_TRAIN)
+    return out.withColumnRenamed("alpha_expected_excess_return", "alpha")
+
+
+register("m_stack", lambda s, d: _fitted_stack(s, d).select(*KEY, rnd("alpha", 6).alias("alpha")))
+register("m_train", lambda s, d: models.trained(panel(s, d), SCORE_COLUMNS, LINEAR).select("model", "feature", rnd("coefficient", 6).alias("coefficient")))
+register("m_predict", lambda s, d: models.stacked(oof(s, d), base(s, d), LINEAR, "prediction").select(*KEY, rnd("prediction", 6).alias("prediction")))
+register("m_train_predict", lambda s, d: _train_predict(s, d).select(*KEY, rnd("alpha", 6).alias("alpha")))
+register("m_alpha", lambda s, d: alpha(s, d).select(*KEY, rnd("alpha", 6).alias("alpha")))
 
 
 def _combined(s, d):

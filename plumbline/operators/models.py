@@ -288,6 +288,30 @@ def spark_model(name: str, rows: int, target: str = TARGET, trees: int = 300, ro
     return GBTRegressor(**common, maxIter=rounds, stepSize=0.04, maxDepth=4, minInstancesPerNode=30, seed=42)
 
 
+def linear_coefficients(
+    fitted: DataFrame, m: Moments | None, parts: dict[int, np.ndarray], models: Sequence[str], target: str, alphas: Sequence[float]
+) -> dict[str, np.ndarray]:
+    """Coefficients on the scaled features of the models that the Gram matrix determines."""
+    solvers = {
+        "ridge": lambda: ridge(fitted, m, alphas, target),
+        "elastic_net": lambda: elastic_net(parts),
+        "bayesian_ridge": lambda: bayesian_ridge(m),
+        "principal_components": lambda: principal_regression(fitted, m, target=target),
+        "partial_least_squares": lambda: partial_least_squares(m),
+    }
+    return {name: solvers[name]() for name in models if name in solvers}
+
+
+def trained(panel: DataFrame, features: Sequence[str], models: Sequence[str] = STATISTICAL, target: str = TARGET) -> DataFrame:
+    """(model, feature, coefficient) of the linear base models on the whole panel."""
+    rows = prepared(panel, target)
+    fitted = fit_scaler(rows, features).transform(rows)
+    parts = grams(contiguous_folds(fitted), target, "net_fold")
+    betas = linear_coefficients(fitted, centered(sum(parts.values())), parts, models, target, ALPHAS)
+    cells = [(name, f, float(v)) for name, beta in betas.items() for f, v in zip(features, beta)]
+    return panel.sparkSession.createDataFrame(cells, "model string, feature string, coefficient double")
+
+
 def fit_predict(
     train: DataFrame,
     score: DataFrame,
@@ -304,16 +328,10 @@ def fit_predict(
     out = scaler.transform(score).withColumn("features", array_to_vector("z"))
     parts = grams(contiguous_folds(fitted), target, "net_fold") if set(models) - set(LEARNED) else {}
     m = centered(sum(parts.values())) if parts else None
-    betas = {
-        "ridge": lambda: ridge(fitted, m, alphas, target),
-        "elastic_net": lambda: elastic_net(parts),
-        "bayesian_ridge": lambda: bayesian_ridge(m),
-        "principal_components": lambda: principal_regression(fitted, m, target=target),
-        "partial_least_squares": lambda: partial_least_squares(m),
-    }
+    betas = linear_coefficients(fitted, m, parts, models, target, alphas)
     for name in models:
         if name in betas:
-            out = linear_prediction(out, betas[name](), m.y_mean, name)
+            out = linear_prediction(out, betas[name], m.y_mean, name)
         else:
             out = spark_model(name, m.n if m else 1, target, **sizes).fit(fitted).transform(out)
     return out.select(*score.columns, *models)

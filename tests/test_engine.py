@@ -248,3 +248,64 @@ def test_elastic_net_grid_against_plain_descent(spark):
     frame = spark.createDataFrame([(DAY + timedelta(days=i // 50), f"T{i:03d}") for i in range(203)], "as_of_date date, ticker string")
     folds = models.contiguous_folds(frame).orderBy("as_of_date", "ticker").toPandas()["net_fold"]
     assert folds.value_counts().sort_index().tolist() == [41, 41, 41, 40, 40] and folds.is_monotonic_increasing
+
+
+def test_base_models_against_numpy(spark):
+    """Ridge, Bayesian ridge, PCR and PLS on the Gram matrix against the row-wise formulas."""
+    from plumbline.operators import models
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(160, 5)) @ rng.normal(size=(5, 5))
+    y = x @ np.array([0.3, -0.2, 0.0, 0.1, 0.05]) + rng.normal(size=160) * 0.5
+    rows = [(DAY + timedelta(days=i // 40), f"T{i:03d}", *map(float, x[i]), float(y[i])) for i in range(160)]
+    names = [f"x{j}" for j in range(5)]
+    frame = spark.createDataFrame(rows, "as_of_date date, ticker string, " + ", ".join(f"{n} double" for n in names) + f", {models.TARGET} double")
+    got = {}
+    for r in models.trained(frame, names).collect():
+        got.setdefault(r.model, np.zeros(5))[names.index(r.feature)] = r.coefficient
+    low, high = np.quantile(y, [0.01, 0.99])
+    t = np.clip(y, low, high)
+    z = (x - x.mean(0)) / x.std(0)
+    c = t - t.mean()
+
+    def loo(z, alpha):
+        hat = z @ np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T) + 1 / len(z)
+        return (((c - (hat - 1 / len(z)) @ c) / (1 - np.diag(hat))) ** 2).sum()
+
+    solve = lambda z, a: np.linalg.solve(z.T @ z + a * np.eye(z.shape[1]), z.T @ c)
+    np.testing.assert_allclose(got["ridge"], solve(z, min(models.ALPHAS, key=lambda a: loo(z, a))), atol=1e-6)
+    _, _, vt = np.linalg.svd(z, full_matrices=False)
+    scores = z @ vt.T
+    want = vt.T @ solve(scores, min(models.ALPHAS, key=lambda a: loo(scores, a)))
+    np.testing.assert_allclose(got["principal_components"], want, atol=1e-6)
+    full = np.linalg.lstsq(z, c, rcond=None)[0]
+    np.testing.assert_allclose(got["partial_least_squares"], full, atol=1e-6)  # as many components as features
+    noise, weight = 1 / c.var(), 1.0
+    for _ in range(500):
+        cover = np.linalg.inv(weight * np.eye(5) + noise * z.T @ z)
+        mean = noise * cover @ z.T @ c
+        used = 5 - weight * np.trace(cover)
+        weight, noise = (used + 2e-6) / (mean @ mean + 2e-6), (160 - used + 2e-6) / (((c - z @ mean) ** 2).sum() + 2e-6)
+    np.testing.assert_allclose(got["bayesian_ridge"], mean, atol=2e-3)
+    assert set(got) == {"ridge", "elastic_net", "bayesian_ridge", "principal_components", "partial_least_squares"}
+
+
+def test_research_run_trains_before_it_weighs(spark):
+    """Alpha comes from dates before the research date only, and is the signal of the signal methods."""
+    from plumbline.plans import research
+
+    brand = testbed.BRAND
+    data = SF.replace("sf0.001", "sf0.01")
+    bars_in, statements_in = testbed.bars(spark, data, brand), testbed.statements(spark, data, brand)
+    day = date(2000, 6, 30)
+    config = research.ResearchConfig(
+        benchmark=testbed.BENCHMARK, minimum_return_rows=50, minimum_label_rows=5, top_screen_n=12, final_portfolio_n=4,
+        method="maximum_sharpe", training_lookback_periods=3, min_train_periods=2, base_models=("ridge",), max_weight=0.6,
+    )
+    panel = research.training_panel(bars_in, statements_in, day, config)
+    assert panel.agg(F.max("as_of_date")).first()[0] < day
+    out = research.run(bars_in, statements_in, [day], config)
+    weights = out["weights"].toPandas()
+    assert weights["weight"].sum() == pytest.approx(1) and weights["weight"].max() <= 0.6 + 1e-9
+    assert set(weights["ticker"]) <= {r.ticker for r in out["selection"].collect()}
+    assert out["alpha"].filter("alpha IS NOT NULL").count() > 4
