@@ -16,6 +16,7 @@ from plumbline.operators.ranking import top_k
 KEY = models.KEY
 MIN_TRAIN = 2
 SIZES = {"trees": 20, "rounds": 10}
+FULL = {"trees": 300, "rounds": 250}
 RAW = RAW_FEATURES
 
 
@@ -47,7 +48,7 @@ register("m_impute_scale", _scaled,
 
 
 def single(name, model):
-    register(name, lambda s, d: models.fit_predict(panel(s, d), current(s, d).select(*KEY, *SCORE_COLUMNS), SCORE_COLUMNS, [model], **SIZES).select(*KEY, rnd(model, 6).alias("prediction")))
+    register(name, lambda s, d: models.fit_predict(panel(s, d), current(s, d).select(*KEY, *SCORE_COLUMNS), SCORE_COLUMNS, [model], **FULL).select(*KEY, rnd(model, 6).alias("prediction")))
 
 
 for _name, _model in zip(

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip
 from plumbline.operators.quantiles import exact_quantiles, melt
+from plumbline.sources.stored import settle
 
 TARGET = "forward_excess_return"
 # Penalty grids of the base models and of the meta model.
@@ -329,11 +330,14 @@ def fit_predict(
     parts = grams(contiguous_folds(fitted), target, "net_fold") if set(models) - set(LEARNED) else {}
     m = centered(sum(parts.values())) if parts else None
     betas = linear_coefficients(fitted, m, parts, models, target, alphas)
+    # iterative fits read their input again and again: once from a written table, not from the panel's plan
+    rest = [name for name in models if name not in betas]
+    input_rows = settle(fitted.select("features", target), "features") if rest else None
     for name in models:
         if name in betas:
             out = linear_prediction(out, betas[name], m.y_mean, name)
         else:
-            out = spark_model(name, m.n if m else 1, target, **sizes).fit(fitted).transform(out)
+            out = spark_model(name, m.n if m else 1, target, **sizes).fit(input_rows).transform(out)
     return out.select(*score.columns, *models)
 
 
