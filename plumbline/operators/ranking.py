@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.stored import settle
+
 BUCKETS = 200
 
 
@@ -34,6 +36,8 @@ def ranked(
     """
     by = list(by)
     grid = [i / BUCKETS for i in range(1, BUCKETS)]
+    # read three times: for the bounds, the counts and the positions
+    frame = settle(frame, "ranked")
     # one row of bounds per group
     bounds = frame.groupBy(*by).agg(F.percentile_approx(F.col(score).cast("double"), grid, 1000).alias("_bounds"))
     frame = frame.join(F.broadcast(bounds), by)
