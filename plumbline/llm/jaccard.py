@@ -1,11 +1,11 @@
 """N-gram Jaccard join: sets of word shingles in a prefix tree, exact at a given share.
 
-A document is the set of its distinct 4-word shingles, as 64-bit hashes, whose order is
-the global one. Two documents link when 100 * intersection >= 85 * union.
+A document is the set of its distinct `width`-word shingles (4), as 64-bit hashes, whose
+order is the global one. Two documents link when 100 * intersection >= `percent` (85) * union.
 
 1. Equal sets are one class, named by a hash of the set.
-2. Candidates. If two sets link, at most H = 3/37 of their summed sizes differ. Hashes
-   are cut into more than H ranges, so in at least one range the two sets agree wholly.
+2. Candidates. If two sets link, at most a share H of their summed sizes differ (3/37 at 85 %). Hashes
+   are cut into more ranges than elements can differ, so in at least one range the two sets agree wholly.
    A signature is the hash of what a set has in one range; classes of neighbouring size
    share their own ranges. Only classes that share a signature can link. Some ranges of a
    set may be empty: a few spare ranges stand for them, and a set with more empty ranges
@@ -225,12 +225,12 @@ class PrefixTree:
         return found
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int = NGRAM) -> DataFrame:
     """(id, n, class, print): set size, set hash (null for an empty set) and a hash of the text, per row."""
 
     def measure(batches):
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -251,7 +251,7 @@ def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def signature_table(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def signature_table(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
     """(signature, class) rows; copies within a task sign once, as far as a bounded memo goes."""
 
     def sign(batches):
@@ -259,7 +259,7 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, percent: int) -
         for batch in batches:
             names, sizes, parts = [], [], []
             for text in batch.column(0).to_pylist():
-                values = shingles(text)
+                values = shingles(text, width)
                 if not len(values):
                     continue
                 name = set_hash(values)
@@ -284,7 +284,7 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, percent: int) -
     return _chosen(docs, id_col, text_col).select("text").mapInArrow(sign, "signature bigint, class bigint")
 
 
-def joined(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def joined(rows: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) found in blocks.
 
     rows: block (any columns of `keys`), role (0 probe, 1 stored, 2 both), class, component, text;
@@ -300,7 +300,7 @@ def joined(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if (block, chunk) != key:
                     links += _block_links(held, percent)
                     key, held = (block, chunk), []
-                held.append((role, name, component, shingles(text)))
+                held.append((role, name, component, shingles(text, width)))
             yield _edges(links)
         yield _edges(_block_links(held, percent))
 
@@ -351,9 +351,9 @@ def _block_links(rows: list, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def links_of(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
+def links_of(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
     """Edges (a, b) between classes that connect all that is linked."""
-    signed = signature_table(docs, id_col, text_col, percent)
+    signed = signature_table(docs, id_col, text_col, percent, width)
     of_signature = Window.partitionBy("signature")
     shared = settle(
         signed.withColumn("hub", F.min("class").over(of_signature))
@@ -364,7 +364,7 @@ def links_of(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, perc
         "signatures",
     )
     texts = settle(_texts(docs, table, shared.select("class").distinct(), id_col, text_col), "texts")
-    near = settle(_hub_links(shared, texts, percent), "links")
+    near = settle(_hub_links(shared, texts, percent, width), "links")
     placed = components(near)
     named = shared.join(placed.withColumnRenamed("node", "class"), "class", "left").select(
         "signature", "class", F.coalesce("component", "class").alias("component")
@@ -379,7 +379,7 @@ def links_of(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, perc
     members = rest.select("class", "component").distinct().join(
         blocks.select(F.col("node").alias("class"), F.col("component").alias("block")), "class"
     )
-    return near.union(settle(_block_rest(members, texts, percent), "links"))
+    return near.union(settle(_block_rest(members, texts, percent, width), "links"))
 
 
 def _texts(docs: DataFrame, table: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -395,7 +395,7 @@ def _texts(docs: DataFrame, table: DataFrame, wanted: DataFrame, id_col: str, te
     return texts.join(one, same).select("class", "n", "text")
 
 
-def _hub_links(shared: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _hub_links(shared: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     common = shared.where("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("common"))
     best = common.groupBy("class").agg(F.max(F.struct("common", "hub")).alias("best"))
     pairs = settle(best.select("class", F.col("best.hub").alias("hub")), "pairs")
@@ -421,10 +421,10 @@ def _hub_links(shared: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         "text",
     )
     rows = members.unionByName(hubs).repartition("block", "chunk").sortWithinPartitions("block", "chunk")
-    return joined(rows, percent)
+    return joined(rows, percent, width)
 
 
-def _block_rest(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _block_rest(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     weighed = members.join(texts, "class")
     chunks = weighed.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_WEIGHT).cast("bigint").alias("chunks"))
     placed = weighed.join(chunks, "block").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")))
@@ -438,14 +438,16 @@ def _block_rest(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         "component",
         "text",
     )
-    return joined(rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk"), percent)
+    return joined(rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk"), percent, width)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = NGRAM
+) -> DataFrame:
     """id, n_shingles, component_id and print (hash of the text), one row per document."""
     keep_modest(docs.sparkSession)
-    table = settle(shingle_table(docs, id_col, text_col), "shingles")
-    links = links_of(docs, table, id_col, text_col, percent)
+    table = settle(shingle_table(docs, id_col, text_col, width), "shingles")
+    links = links_of(docs, table, id_col, text_col, percent, width)
     names = table.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"))
     # documents that share an id are one node as well
     placed = names.join(components(links).withColumnRenamed("node", "class"), "class", "left").select(

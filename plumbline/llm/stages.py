@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, jaccard, packing, quality, secrets
 
+# near duplicates of the pipeline: five words a shingle, at least four fifths in common
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at the threshold or above."""
@@ -20,7 +23,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows that share id and text count as one; rows without an id stay where no row of the group has one.
     """
-    groups = jaccard.similar_groups(docs)
+    groups = jaccard.similar_groups(docs, percent=SIMILAR_PERCENT, width=SHINGLE_WORDS)
     kept = (
         groups.where(F.col("component_id").isNull() | (F.col("id") == F.col("component_id")))
         .select("id", "print")

@@ -15,15 +15,15 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", "x", 7) for i, t in rows], SCHEMA)
 
 
-def shingle_set(text):
+def shingle_set(text, width=4):
     words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
-    if len(words) >= 4:
-        return set(zip(words, words[1:], words[2:], words[3:]))
+    if len(words) >= width:
+        return set(zip(*[words[k:] for k in range(width)]))
     return {tuple(words)} if words else set()
 
 
-def expected(rows):
-    sets = {i: shingle_set(t) for i, t in rows}
+def expected(rows, percent=85, width=4):
+    sets = {i: shingle_set(t, width) for i, t in rows}
     top = {i: i for i in sets}
 
     def find(a):
@@ -34,7 +34,7 @@ def expected(rows):
     for i in sets:
         for j in sets:
             both = len(sets[i] & sets[j])
-            if i < j and both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if i < j and both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 top[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -65,6 +65,11 @@ def test_groups_equal_brute_force(spark, seed):
     assert got(jaccard.similar_groups(table(spark, rows))) == expected(rows)
 
 
+def test_other_share_and_width(spark):
+    rows = corpus(6, 12)
+    assert got(jaccard.similar_groups(table(spark, rows), percent=80, width=5)) == expected(rows, 80, 5)
+
+
 def test_small_chunks_give_the_same_groups(spark, monkeypatch):
     rows = corpus(3, 10)
     monkeypatch.setattr(jaccard, "CHUNK_WEIGHT", 200)
@@ -87,18 +92,19 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(tuple(r)[:3] for r in jaccard.similar_groups(table(spark, rows)).collect()) == [(1, 2, 1)] * 3 + [(2, 2, 1)]
 
 
-def test_every_linked_pair_shares_a_signature():
+@pytest.mark.parametrize("percent", [80, 85])
+def test_every_linked_pair_shares_a_signature(percent):
     rng = np.random.default_rng(5)
     for n in list(range(1, 60)) + [100, 333, 1000]:
         for _ in range(8):
             left = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            most = jaccard.differing(2 * n)
+            most = jaccard.differing(2 * n, percent)
             gone = rng.integers(0, most + 1)
             right = np.unique(np.concatenate((left[gone:], rng.integers(0, 2**64, rng.integers(0, most + 1), dtype=np.uint64))))
             shared = len(np.intersect1d(left, right))
             union = len(left) + len(right) - shared
-            if 100 * shared >= 85 * union and shared < union:
-                assert set(jaccard.signatures(left)) & set(jaccard.signatures(right))
+            if 100 * shared >= percent * union and shared < union:
+                assert set(jaccard.signatures(left, percent)) & set(jaccard.signatures(right, percent))
 
 
 def test_prefix_tree_finds_all_links():

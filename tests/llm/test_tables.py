@@ -185,12 +185,12 @@ def test_pipeline_equals_plain_python(spark):
     from test_scans import base_secrets
     from test_similar import expected
 
-    from plumbline.llm import decontam, quality, secrets
+    from plumbline.llm import decontam, quality, secrets, stages
 
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     score = {r["doc_id"]: r["predicted"] for r in quality.op5_quality(spark, SF).collect()}
     docs = {i: t for i, t in docs.items() if score[i] == 1}
-    docs = {i: docs[i] for i, (_, c) in expected(list(docs.items())).items() if c == i}
+    docs = {i: docs[i] for i, (_, c) in expected(list(docs.items()), stages.SIMILAR_PERCENT, stages.SHINGLE_WORDS).items() if c == i}
     items = [decontam.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = {tuple(w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9))}
     kept = {}
