@@ -2,7 +2,8 @@
 
 A panel that later steps read several times is written once as Parquet and read
 back: the plan behind it is cut, a lost executor costs one re-read, and column
-pruning works on what was stored.
+pruning works on what was stored. The shuffle files behind a written table are of no
+further use, so Spark removes them when the write is done.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +32,12 @@ def settle(frame: DataFrame, name: str = "table") -> DataFrame:
     """Write the frame and return a scan of what was written."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     file_system, folder = _resolved(spark, path)
     file_system.deleteOnExit(folder)
     return spark.read.schema(frame.schema).parquet(path)

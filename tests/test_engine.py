@@ -309,3 +309,12 @@ def test_research_run_trains_before_it_weighs(spark):
     assert weights["weight"].sum() == pytest.approx(1) and weights["weight"].max() <= 0.6 + 1e-9
     assert set(weights["ticker"]) <= {r.ticker for r in out["selection"].collect()}
     assert out["alpha"].filter("alpha IS NOT NULL").count() > 4
+
+
+def test_written_tables_leave_no_shuffle_setting_behind(spark):
+    from plumbline.sources import stored
+
+    before = spark.conf.get(stored.FREE_SHUFFLES, "false")
+    table = stored.settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert spark.conf.get(stored.FREE_SHUFFLES, "false") == before
+    assert sorted(r["count"] for r in table.collect()) == [142, 143, 143, 143, 143, 143, 143]
