@@ -404,23 +404,21 @@ def _hub_links(shared: DataFrame, texts: DataFrame, percent: int, width: int) ->
         .groupBy("hub")
         .agg(F.ceil(F.sum("n") / HUB_WEIGHT).cast("bigint").alias("chunks"))
     )
-    members = pairs.join(weights, "hub").join(texts, "class").select(
+    members = pairs.join(weights, "hub").select(
         F.col("hub").alias("block"),
         F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"),
         F.lit(1).alias("role"),
         "class",
-        F.col("class").alias("component"),
-        "text",
     )
-    hubs = weights.join(texts.withColumnRenamed("class", "hub"), "hub").select(
+    hubs = weights.select(
         F.col("hub").alias("block"),
         F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"),
         F.lit(0).alias("role"),
         F.col("hub").alias("class"),
-        F.col("hub").alias("component"),
-        "text",
     )
-    rows = members.unionByName(hubs).repartition("block", "chunk").sortWithinPartitions("block", "chunk")
+    # members and hubs meet their texts in one join, so texts are shuffled once
+    placed = members.unionByName(hubs).join(texts.select("class", "text"), "class")
+    rows = placed.withColumn("component", F.col("class")).repartition("block", "chunk").sortWithinPartitions("block", "chunk")
     return joined(rows, percent, width)
 
 

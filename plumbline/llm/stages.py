@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, jaccard, packing, quality, secrets
 
-# near duplicates of the pipeline: five words a shingle, at least four fifths in common
-SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+# near duplicates of the pipeline: five words a shingle, at least 85 % in common
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 85
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
