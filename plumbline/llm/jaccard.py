@@ -13,14 +13,19 @@ order is the global one. Two documents link when 100 * intersection >= `percent`
 3. Every class is compared with one hub, the class it shares most signatures with among
    the smallest classes of its signatures. That is linear in the number of classes and
    settles most groups of near copies.
-4. Signatures whose classes are still in different components are resolved in full:
-   their classes, joined to blocks by connected components, are cut into chunks by
-   weight and all pairs of chunks of a block are joined.
+4. Signatures whose classes are still in different components are resolved in full. As a
+   range is spoilt only by an element that differs, a set knows how many signatures it
+   shares at least with any set it links with. A class with fewer unresolved signatures
+   than that has no open link; of the others, all but the most frequent signatures that
+   a link can do without are kept, so two that link still share one. The classes, joined
+   to blocks by connected components, are cut into chunks by size and weight, and a
+   class goes to the pairs of chunks in which a signature of it meets a class of another
+   component and fitting size.
 5. Joining (3 and 4): the sets of a block are stored in a path-compressed prefix tree.
    A probe walks down the tree, so sets with a common beginning share the overlap
    counted there; a subtree is left when the sizes in it, or the overlap so far plus
    what can still come on both sides, cannot reach the threshold, or when probe and
-   leaf are in one component already or share no signature.
+   leaf are in one component already or share too few signatures for a link.
 
 Lower case concerns A-Z only; words end at [\\x20\\x09-\\x0D]. Documents without words,
 null texts: empty set, own component. Repeated rows and equal texts: one class. Rows with
@@ -32,6 +37,7 @@ Other columns are not read. 64-bit hashes stand for the shingles and sets themse
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +158,22 @@ def signatures(values: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
+def least_common(values: np.ndarray, percent: int = PERCENT) -> int:
+    """Signatures the set shares at least with any unequal set it links with.
+
+    Of all ranges, as many are spoilt as elements differ; ranges empty in both sets may be unsigned.
+    """
+    n, high, out = len(values), values >> U(32), []
+    for number, most in classes(n, percent):
+        spare = 2 + most // 32
+        ranges = most + 1 + spare
+        place = (high * U(ranges)) >> U(32)
+        filled = 1 + int((place[1:] != place[:-1]).sum())
+        spoilt = min(most, differing(n + 100 * n // percent, percent))
+        out.append(ranges - spoilt - min(spare, ranges - filled))
+    return min(out, default=1)
+
+
 class PrefixTree:
     """Sorted sets by common beginnings; every node holds a run of elements."""
 
@@ -225,8 +247,10 @@ class PrefixTree:
         return found
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int = NGRAM) -> DataFrame:
-    """(id, n, class, print): set size, set hash (null for an empty set) and a hash of the text, per row."""
+def shingle_table(
+    docs: DataFrame, id_col: str, text_col: str, width: int = NGRAM, percent: int = PERCENT
+) -> DataFrame:
+    """(id, n, class, print, need): set size, set hash (null for an empty set), hash of the text, `least_common`."""
 
     def measure(batches):
         for batch in batches:
@@ -237,11 +261,14 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int = NGRA
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
                     batch.column(2),
+                    pa.array([least_common(s, percent) if len(s) else 1 for s in sets], pa.int64()),
                 ],
-                names=["id", "n", "class", "print"],
+                names=["id", "n", "class", "print", "need"],
             )
 
-    return _chosen(docs, id_col, text_col).mapInArrow(measure, "id bigint, n bigint, class bigint, print bigint")
+    return _chosen(docs, id_col, text_col).mapInArrow(
+        measure, "id bigint, n bigint, class bigint, print bigint, need bigint"
+    )
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -337,7 +364,9 @@ def _block_links(rows: list, percent: int) -> list[tuple[int, int]]:
         if not len(values):
             continue
         if len(probes) > 1:
-            near = {i for s in signatures(values, percent).tolist() for i in holders.get(s, ())}
+            common = Counter(i for s in signatures(values, percent).tolist() for i in holders.get(s, ()))
+            least = least_common(values, percent)
+            near = {i for i, n in common.items() if n >= least}
         else:
             near = range(len(stored))
         if not near:
@@ -369,30 +398,49 @@ def links_of(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, perc
     named = shared.join(placed.withColumnRenamed("node", "class"), "class", "left").select(
         "signature", "class", F.coalesce("component", "class").alias("component")
     )
-    over = named.groupBy("signature").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.min("class").alias("first")
-    )
-    rest = settle(named.join(over.where("x <> y").select("signature", "first"), "signature"), "unresolved")
+    rest = settle(_unresolved(named), "unresolved")
+    if rest.isEmpty():
+        return near
+    sizes = texts.select("class", "n", "need")
+    # classes that have too few open signatures for any link go first, as this also lowers frequencies
+    enough = rest.groupBy("class").agg(F.count("*").alias("open")).join(sizes, "class").where("open >= need")
+    rest = settle(_unresolved(rest.join(enough.select("class", "n", "need"), "class")), "unresolved")
+    rest = settle(_unresolved(_rarest(rest)), "unresolved")
     if rest.isEmpty():
         return near
     blocks = components(rest.select(F.col("class").alias("a"), F.col("first").alias("b")))
-    members = rest.select("class", "component").distinct().join(
-        blocks.select(F.col("node").alias("class"), F.col("component").alias("block")), "class"
+    placed = rest.join(blocks.select(F.col("node").alias("class"), F.col("component").alias("block")), "class")
+    return near.union(settle(_block_rest(placed, texts, percent, width), "links"))
+
+
+def _unresolved(named: DataFrame) -> DataFrame:
+    """Rows of signatures found in more than one component, with the signature's first class and frequency."""
+    over = named.groupBy("signature").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.min("class").alias("first"), F.count("*").alias("held")
     )
-    return near.union(settle(_block_rest(members, texts, percent, width), "links"))
+    return named.drop("first", "held").join(over.where("x <> y").select("signature", "first", "held"), "signature")
+
+
+def _rarest(rest: DataFrame) -> DataFrame:
+    """Without the `need` - 1 most frequent signatures of each class, in one order for all classes.
+
+    Two classes that link share `need` signatures or more, so the rarest of them stays on both sides.
+    """
+    order = Window.partitionBy("class").orderBy(F.desc("held"), F.desc("signature"))
+    return rest.withColumn("position", F.row_number().over(order)).where("position >= need").drop("position")
 
 
 def _texts(docs: DataFrame, table: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, n, text): one text for each wanted class."""
+    """(class, n, need, text): one text for each wanted class."""
     one = (
         table.join(wanted, "class", "left_semi")
         .groupBy("class")
-        .agg(F.min(F.struct("id", "print", "n")).alias("x"))
+        .agg(F.min(F.struct("id", "print", "n", "need")).alias("x"))
         .select("class", "x.*")
     )
     texts = _chosen(docs, id_col, text_col)
     same = texts["id"].eqNullSafe(one["id"]) & (texts["print"] == one["print"])
-    return texts.join(one, same).select("class", "n", "text")
+    return texts.join(one, same).select("class", "n", "need", "text")
 
 
 def _hub_links(shared: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -422,15 +470,29 @@ def _hub_links(shared: DataFrame, texts: DataFrame, percent: int, width: int) ->
     return joined(rows, percent, width)
 
 
-def _block_rest(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    weighed = members.join(texts, "class")
-    chunks = weighed.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_WEIGHT).cast("bigint").alias("chunks"))
-    placed = weighed.join(chunks, "block").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")))
-    # a chunk meets every chunk of its block, itself included: pair (i, j), i <= j
-    met = placed.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
-    rows = met.select(
+def _block_rest(placed: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between the classes of a block; placed: (signature, class, component, n, block)."""
+    # sizes of linked sets lie in the same or in neighbouring steps
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
+    placed = placed.withColumn("step", step)
+    members = placed.select("block", "step", "class", "component", "n").distinct()
+    chunks = members.groupBy("block", "step").agg(F.ceil(F.sum("n") / CHUNK_WEIGHT).cast("bigint").alias("chunks"))
+    number = (F.col("step") * F.lit(1 << 32) + F.pmod(F.xxhash64("class"), F.col("chunks"))).alias("own")
+    held = settle(
+        members.join(chunks, ["block", "step"])
+        .select("class", number)
+        .join(placed.select("signature", "class", "component", "n", "block"), "class"),
+        "held",
+    )
+    targets = held.groupBy("signature", F.col("own").alias("other")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("x"), F.max("component").alias("y")
+    )
+    fits = (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
+    differ = (F.col("x") != F.col("component")) | (F.col("y") != F.col("component"))
+    met = held.join(targets, "signature").where(fits & differ).select("block", "own", "other", "class", "component").distinct()
+    rows = met.join(texts.select("class", "text"), "class").select(
         "block",
-        F.expr("least(own, other) * chunks + greatest(own, other)").alias("chunk"),
+        F.struct(F.least("own", "other"), F.greatest("own", "other")).cast("string").alias("chunk"),
         F.expr("CASE WHEN own = other THEN 2 WHEN own < other THEN 0 ELSE 1 END").alias("role"),
         "class",
         "component",
@@ -444,7 +506,7 @@ def similar_groups(
 ) -> DataFrame:
     """id, n_shingles, component_id and print (hash of the text), one row per document."""
     keep_modest(docs.sparkSession)
-    table = settle(shingle_table(docs, id_col, text_col, width), "shingles")
+    table = settle(shingle_table(docs, id_col, text_col, width, percent), "shingles")
     links = links_of(docs, table, id_col, text_col, percent, width)
     names = table.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"))
     # documents that share an id are one node as well

@@ -107,6 +107,47 @@ def test_every_linked_pair_shares_a_signature(percent):
                 assert set(jaccard.signatures(left, percent)) & set(jaccard.signatures(right, percent))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_pairs_share_as_many_signatures_as_said(percent):
+    rng = np.random.default_rng(7)
+    seen = 0
+    for n in list(range(1, 60)) + [100, 333, 1000, 4000]:
+        for _ in range(8):
+            left = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            gone = rng.integers(0, jaccard.differing(2 * n, percent) + 1)
+            more = jaccard.differing(2 * n, percent) - gone if rng.integers(2) else 0
+            right = np.unique(np.concatenate((left[gone:], rng.integers(0, 2**64, more, dtype=np.uint64))))
+            shared = len(np.intersect1d(left, right))
+            union = len(left) + len(right) - shared
+            if 100 * shared >= percent * union and shared < union:
+                common = len(np.intersect1d(jaccard.signatures(left, percent), jaccard.signatures(right, percent)))
+                assert common >= max(jaccard.least_common(left, percent), jaccard.least_common(right, percent)) >= 1
+                seen += 1
+    assert seen > 100
+
+
+def test_small_chunks_at_the_share_of_the_pipeline(spark, monkeypatch):
+    """Common passages keep signatures of unlike texts open."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{t} {passage}" if rng.random() < 0.6 else t) for i, t in corpus(9, 12)]
+    monkeypatch.setattr(jaccard, "CHUNK_WEIGHT", 200)
+    monkeypatch.setattr(jaccard, "HUB_WEIGHT", 100)
+    assert got(jaccard.similar_groups(table(spark, rows), percent=80, width=5)) == expected(rows, 80, 5)
+
+
+def test_pipeline_links_at_four_fifths(spark):
+    from plumbline.llm import stages
+
+    words = [f"w{i}" for i in range(100)]
+    # of 96 shingles 86 stay and 10 are new: 86 of 106 in common (0.811); with 15 changed, 81 of 111 (0.73)
+    near = words[:30] + ["x"] + words[31:60] + ["y"] + words[61:]
+    far = words[:20] + ["x"] + words[21:50] + ["y"] + words[51:80] + ["z"] + words[81:]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far[::-1])), (4, " ".join(words[::-1]))]
+    kept = {r["doc_id"] for r in stages.one_of_each_group(spark, table(spark, rows), "").collect()}
+    assert kept == {1, 3, 4}
+
+
 def test_prefix_tree_finds_all_links():
     rng = random.Random(4)
     for _ in range(60):
