@@ -15,7 +15,6 @@ from plumbline.operators.ranking import top_k
 
 KEY = models.KEY
 MIN_TRAIN = 2
-SIZES = {"trees": 20, "rounds": 10}
 FULL = {"trees": 300, "rounds": 250}
 RAW = RAW_FEATURES
 
@@ -99,11 +98,11 @@ register("m_alpha", lambda s, d: alpha(s, d).select(*KEY, rnd("alpha", 6).alias(
 
 
 def _combined(s, d):
-    """Statistical models on scores and a forest on raw factors, one meta model."""
+    """Statistical models on scores and tree models of full size on raw factors, one meta model."""
     rows, now = panel(s, d), current(s, d)
-    trees = models.fit_predict(rows.select(*KEY, models.TARGET, *RAW), now.select(*KEY, *RAW), RAW, ["random_forest"], **SIZES).select(*KEY, "random_forest")
-    tree_oof = models.out_of_fold(rows, RAW, ["random_forest"], MIN_TRAIN, **SIZES).select(*KEY, "random_forest")
-    both = [*LINEAR, "random_forest"]
+    trees = models.fit_predict(rows.select(*KEY, models.TARGET, *RAW), now.select(*KEY, *RAW), RAW, models.LEARNED, **FULL).select(*KEY, *models.LEARNED)
+    tree_oof = models.out_of_fold(rows, RAW, models.LEARNED, MIN_TRAIN, **FULL).select(*KEY, *models.LEARNED)
+    both = [*LINEAR, *models.LEARNED]
     return models.stacked(oof(s, d).join(tree_oof, KEY), base(s, d).join(trees, KEY), both, "combined").select(*KEY, rnd("combined", 6).alias("combined"))
 
 

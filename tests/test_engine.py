@@ -290,6 +290,29 @@ def test_base_models_against_numpy(spark):
     assert set(got) == {"ridge", "elastic_net", "bayesian_ridge", "principal_components", "partial_least_squares"}
 
 
+def test_combined_stack_has_every_base_at_full_size(monkeypatch):
+    """The meta model sees six statistical and both tree models, none of them shortened."""
+    from unittest.mock import MagicMock
+
+    from plumbline.catalog import models as catalog
+    from plumbline.operators import models
+
+    calls, stacks = [], []
+    frame = MagicMock()
+    monkeypatch.setattr(catalog, "panel", lambda s, d: frame)
+    monkeypatch.setattr(catalog, "current", lambda s, d: frame)
+    monkeypatch.setattr(catalog, "oof", lambda s, d: frame)
+    monkeypatch.setattr(catalog, "base", lambda s, d: frame)
+    monkeypatch.setattr(catalog, "rnd", lambda *a: MagicMock())
+    monkeypatch.setattr(models, "fit_predict", lambda p, n, f, m, **sizes: calls.append((list(m), sizes)) or frame)
+    monkeypatch.setattr(models, "out_of_fold", lambda p, f, m, k, **sizes: calls.append((list(m), sizes)) or frame)
+    monkeypatch.setattr(models, "stacked", lambda o, b, m, n: stacks.append(list(m)) or frame)
+    catalog._combined(None, "d")
+    full = {"trees": 300, "rounds": 250}
+    assert calls == [(["random_forest", "gradient_boosting"], full)] * 2
+    assert stacks == [[*models.STATISTICAL, "random_forest", "gradient_boosting"]]
+
+
 def test_research_run_trains_before_it_weighs(spark):
     """Alpha comes from dates before the research date only, and is the signal of the signal methods."""
     from plumbline.plans import research
