@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.llm import topk, warc
+from plumbline.llm import negatives, topk, warc
 from plumbline.llm.counts import op8_token_counts
 from plumbline.llm.decontam import op3_decontaminate
+from plumbline.llm.fingerprints import op12_fingerprints
 from plumbline.llm.jaccard import op7_jaccard_join
 from plumbline.llm.packing import op10_pack
 from plumbline.llm.pii import op9_personal_data
@@ -23,5 +24,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_personal_data": op9_personal_data,
     "op10_pack": op10_pack,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
-TWINS: dict[str, str] = {"op1_topk": topk.TWIN, "op2_revisits": warc.TWIN}
+TWINS: dict[str, str] = {"op1_topk": topk.TWIN, "op2_revisits": warc.TWIN, "op13_hard_negatives": negatives.TWIN}
