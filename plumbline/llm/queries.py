@@ -11,6 +11,7 @@ from plumbline.llm.packing import op10_pack
 from plumbline.llm.pii import op9_personal_data
 from plumbline.llm.quality import op5_quality
 from plumbline.llm.secrets import op4_secrets
+from plumbline.llm.turns import op11_repair
 from plumbline.llm.urls import op6_url_filter
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_personal_data": op9_personal_data,
     "op10_pack": op10_pack,
+    "op11_repair": op11_repair,
     "op12_fingerprints": op12_fingerprints,
     "op13_hard_negatives": negatives.op13_hard_negatives,
 }

@@ -153,7 +153,7 @@ def test_queries_and_twins_are_registered():
     from plumbline import llm
 
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(llm.load()[1]) <= set(names)
 
 
