@@ -2,22 +2,26 @@
 
 Linear models need only the Gram matrix of the scaled features (at most 60 x 60
 numbers): Spark sums it over all rows in one pass, the solve is a few lines of
-NumPy on the driver. Penalised, robust and tree models are Spark ML estimators.
+NumPy on the driver. The robust model and the random forest are Spark ML estimators, the
+other learned models stand in `learned`. A base model that cannot be fitted gives a
+warning and NULL predictions. Fitting runs Spark jobs while the plan is built.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip
+from plumbline.operators import learned
 from plumbline.operators.quantiles import exact_quantiles, melt
 from plumbline.sources.stored import settle
 
@@ -272,10 +276,10 @@ def linear_prediction(rows: DataFrame, beta: np.ndarray, intercept: float, name:
 
 
 STATISTICAL = ["ridge", "elastic_net", "bayesian_ridge", "huber", "principal_components", "partial_least_squares"]
-LEARNED = ["random_forest", "gradient_boosting"]
+LEARNED = ["random_forest", "extra_trees", "gradient_boosting", "mlp"]
 
 
-def spark_model(name: str, rows: int, target: str = TARGET, trees: int = 300, rounds: int = 250):
+def spark_model(name: str, rows: int, target: str = TARGET, trees: int = learned.EXTRA["trees"]):
     common = {"featuresCol": "features", "labelCol": target, "predictionCol": name}
     if name == "huber":
         # Spark halves the mean loss and the penalty: a penalty on the sum is divided by the rows
@@ -286,13 +290,31 @@ def spark_model(name: str, rows: int, target: str = TARGET, trees: int = 300, ro
         return RandomForestRegressor(
             **common, numTrees=trees, maxDepth=6, minInstancesPerNode=25, featureSubsetStrategy="sqrt", seed=42
         )
-    return GBTRegressor(**common, maxIter=rounds, stepSize=0.04, maxDepth=4, minInstancesPerNode=30, seed=42)
+    raise ValueError(f"unknown base model: {name}")
+
+
+def learned_model(name: str, rows: DataFrame, target: str, width: int, trees: int | None, rounds: int | None) -> dict:
+    """A fitted model of `learned` for rows with keys, `z` and the target."""
+    if name == "gradient_boosting":
+        return learned.fit_boosting(rows, KEY, target, width, **({"rounds": rounds} if rounds else {}))
+    if name == "extra_trees":
+        return learned.fit_extra_trees(rows, KEY, target, **({"trees": trees} if trees else {}))
+    return learned.fit_network(rows, KEY, target)
+
+
+def or_none(name: str, fit):
+    """The fit's result; a base model that fails is reported and left out."""
+    try:
+        return fit()
+    except Exception as error:  # noqa: BLE001 - any failure of one base model
+        warnings.warn(f"base model {name} failed: {error}", RuntimeWarning, stacklevel=2)
+        return None
 
 
 def linear_coefficients(
     fitted: DataFrame, m: Moments | None, parts: dict[int, np.ndarray], models: Sequence[str], target: str, alphas: Sequence[float]
 ) -> dict[str, np.ndarray]:
-    """Coefficients on the scaled features of the models that the Gram matrix determines."""
+    """Coefficients on the scaled features of the models that the Gram matrix determines; None where a fit fails."""
     solvers = {
         "ridge": lambda: ridge(fitted, m, alphas, target),
         "elastic_net": lambda: elastic_net(parts),
@@ -300,16 +322,24 @@ def linear_coefficients(
         "principal_components": lambda: principal_regression(fitted, m, target=target),
         "partial_least_squares": lambda: partial_least_squares(m),
     }
-    return {name: solvers[name]() for name in models if name in solvers}
+    return {name: or_none(name, solvers[name]) for name in models if name in solvers}
 
 
 def trained(panel: DataFrame, features: Sequence[str], models: Sequence[str] = STATISTICAL, target: str = TARGET) -> DataFrame:
-    """(model, feature, coefficient) of the linear base models on the whole panel."""
+    """(model, feature, coefficient) of the linear base models on the whole panel; NULL where a fit fails."""
     rows = prepared(panel, target)
     fitted = fit_scaler(rows, features).transform(rows)
     parts = grams(contiguous_folds(fitted), target, "net_fold")
-    betas = linear_coefficients(fitted, centered(sum(parts.values())), parts, models, target, ALPHAS)
-    cells = [(name, f, float(v)) for name, beta in betas.items() for f, v in zip(features, beta)]
+    m = centered(sum(parts.values()))
+    betas = linear_coefficients(fitted, m, parts, models, target, ALPHAS)
+    if "huber" in models:
+        # fitted on the scaled features and not standardised again: on the others' scale
+        input_rows = settle(fitted.select(array_to_vector("z").alias("features"), target), "features")
+        huber = or_none("huber", lambda: spark_model("huber", m.n, target).fit(input_rows))
+        betas["huber"] = huber.coefficients.toArray() if huber else None
+    cells = [
+        (name, f, None if betas[name] is None else float(betas[name][i])) for name in models for i, f in enumerate(features)
+    ]
     return panel.sparkSession.createDataFrame(cells, "model string, feature string, coefficient double")
 
 
@@ -320,27 +350,41 @@ def fit_predict(
     models: Sequence[str] = STATISTICAL,
     target: str = TARGET,
     alphas: Sequence[float] = ALPHAS,
-    **sizes,
+    trees: int | None = None,
+    rounds: int | None = None,
 ) -> DataFrame:
-    """Fit every base model on `train`, add one prediction column each to `score`."""
+    """Fit every base model on `train`, add one prediction column each to `score`; NULL where a fit fails."""
     rows = prepared(train, target)
     scaler = fit_scaler(rows, features)
-    fitted = scaler.transform(rows).withColumn("features", array_to_vector("z"))
+    fitted = scaler.transform(rows)
     out = scaler.transform(score).withColumn("features", array_to_vector("z"))
     parts = grams(contiguous_folds(fitted), target, "net_fold") if set(models) - set(LEARNED) else {}
     m = centered(sum(parts.values())) if parts else None
     betas = linear_coefficients(fitted, m, parts, models, target, alphas)
     # iterative fits read their input again and again: once from a written table, not from the panel's plan
     rest = [name for name in models if name not in betas]
-    input_rows = settle(fitted.select("features", target), "features") if rest else None
+    if rest:
+        keys = [k for k in KEY if k in fitted.columns]
+        stored = settle(fitted.select(*keys, "z", target), "features")
+        vectors = stored.select(array_to_vector("z").alias("features"), target)
     for name in models:
         if name in betas:
-            out = linear_prediction(out, betas[name], m.y_mean, name)
+            beta = betas[name]
+            out = linear_prediction(out, beta, m.y_mean, name) if beta is not None else without(out, name)
+        elif name in ("huber", "random_forest"):
+            sizes = {"trees": trees} if trees else {}
+            model = or_none(name, lambda: spark_model(name, m.n if m else 1, target, **sizes).fit(vectors))
+            out = model.transform(out) if model else without(out, name)
         else:
-            out = spark_model(name, m.n if m else 1, target, **sizes).fit(input_rows).transform(out)
+            model = or_none(name, lambda: learned_model(name, stored, target, len(features), trees, rounds))
+            out = learned.predicted(out, model, name) if model else without(out, name)
     return out.select(*score.columns, *models)
 
 
+def without(rows: DataFrame, name: str) -> DataFrame:
+    return rows.withColumn(name, F.lit(None).cast("double"))
+
+
 def expanding_folds(panel: DataFrame, min_train: int = 8) -> DataFrame:
     """(fold, as_of_date, role): train on all dates before, test on one date.
 
