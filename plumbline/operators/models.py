@@ -124,26 +124,29 @@ def moments(scaled: DataFrame, target: str = TARGET) -> Moments:
     return centered(grams(scaled, target)[0])
 
 
-def contiguous_folds(rows: DataFrame, folds: int = NET_FOLDS) -> DataFrame:
-    """Adds net_fold: equal runs of the rows in the order of date and ticker, the longer ones first.
+def contiguous_folds(rows: DataFrame, folds: int = NET_FOLDS, by: Sequence[str] = ()) -> DataFrame:
+    """Adds net_fold: equal runs of the rows of each `by` in the order of date and ticker, the longer ones first.
 
     Positions come from a count per date (few rows) and the place within the date.
     """
-    days = rows.groupBy("as_of_date").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("as_of_date").rowsBetween(Window.unboundedPreceding, -1)
+    by = list(by)
+    days = rows.groupBy(*by, "as_of_date").agg(F.count("*").alias("_rows"))
+    group = by or [F.lit(0)]
+    before = Window.partitionBy(*group).orderBy("as_of_date").rowsBetween(Window.unboundedPreceding, -1)
     starts = days.select(
+        *by,
         "as_of_date",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"),
+        F.sum("_rows").over(Window.partitionBy(*group)).alias("_all"),
     )
-    inside = Window.partitionBy("as_of_date").orderBy("ticker")
+    inside = Window.partitionBy(*by, "as_of_date").orderBy("ticker")
     at = F.col("_start") + F.row_number().over(inside) - 1
     short, longer = F.expr(f"_all div {folds}"), F.col("_all") % folds
     head = longer * (short + 1)
     fold = F.when(F.col("_at") < head, F.expr(f"_at div (_all div {folds} + 1)")).otherwise(
         longer + F.floor((F.col("_at") - head) / F.greatest(short, F.lit(1)))
     )
-    placed = rows.join(F.broadcast(starts), "as_of_date").withColumn("_at", at)
+    placed = rows.join(F.broadcast(starts), [*by, "as_of_date"]).withColumn("_at", at)
     return placed.withColumn("net_fold", fold.cast("int")).drop("_start", "_all", "_at")
 
 
