@@ -10,12 +10,13 @@ from plumbline.catalog.prices import AS_OF
 from plumbline.catalog.twin import SNAPSHOTS, cte, r, register
 from plumbline.functions.factor_config import RAW_FEATURES, SCORE_COLUMNS
 from plumbline.functions.scalars import rnd
-from plumbline.operators import models
+from plumbline.operators import models, rolling
 from plumbline.operators.ranking import top_k
+from plumbline.plans.research import ResearchConfig, training_panels
+from plumbline.sources import testbed
 
 KEY = models.KEY
 MIN_TRAIN = 2
-FULL = {"trees": 300, "rounds": 250}
 RAW = RAW_FEATURES
 
 
@@ -46,29 +47,69 @@ register("m_impute_scale", _scaled,
          "SELECT as_of_date, ticker, " + ", ".join(r(f"({c} - AVG({c}) OVER ()) / NULLIF(STDDEV_POP({c}) OVER (), 0)", 4, c) for c in SCORE_COLUMNS) + " FROM panel_filled", "panel_filled")
 
 
+# --- training as configured: twelve dates before the research date, eight at least before a fold -----------
+
+DAY = AS_OF[-1]
+TRAINING = ResearchConfig(benchmark=testbed.BENCHMARK, minimum_return_rows=20, minimum_label_rows=cp.MIN_ROWS)
+FOLDS_FROM = TRAINING.min_train_periods
+LINEAR = models.STATISTICAL
+
+
+def training(s, d):
+    """Labelled scores and raw factors of the twelve training dates of the last research date."""
+    build = lambda: training_panels(testbed.bars(s, d), testbed.statements(s, d), [DAY], TRAINING, [*SCORE_COLUMNS, *RAW])
+    return SNAPSHOTS.get(s, ("training", d), build)
+
+
+def scores_of(s, d):
+    return training(s, d).select(*KEY, models.TARGET, *SCORE_COLUMNS)
+
+
 def single(name, model):
-    register(name, lambda s, d: models.fit_predict(panel(s, d), current(s, d).select(*KEY, *SCORE_COLUMNS), SCORE_COLUMNS, [model], **FULL).select(*KEY, rnd(model, 6).alias("prediction")))
+    register(name, lambda s, d: models.fit_predict(scores_of(s, d), current(s, d).select(*KEY, *SCORE_COLUMNS), SCORE_COLUMNS, [model]).select(*KEY, rnd(model, 6).alias("prediction")))
 
 
 for _name, _model in zip(
     ["m_ridge", "m_elastic_net", "m_bayesian_ridge", "m_huber", "m_pcr", "m_pls"], models.STATISTICAL
 ):
     single(_name, _model)
-single("m_random_forest", "random_forest")
-single("m_gbt", "gradient_boosting")
+
+
+def learned_base(s, d):
+    """The four learned bases on raw factors, fitted on all training dates."""
+    rows = training(s, d).select(*KEY, models.TARGET, *RAW)
+    return SNAPSHOTS.get(s, ("learned_base", d), lambda: models.fit_predict(rows, current(s, d).select(*KEY, *RAW), RAW, models.LEARNED).select(*KEY, *models.LEARNED))
+
+
+def learned_oof(s, d):
+    rows = training(s, d).select(*KEY, models.TARGET, *RAW)
+    return SNAPSHOTS.get(s, ("learned_oof", d), lambda: models.out_of_fold(rows, RAW, models.LEARNED, FOLDS_FROM))
+
+
+for _name, _model in (("m_random_forest", "random_forest"), ("m_extra_trees", "extra_trees"), ("m_gbt", "gradient_boosting"), ("m_mlp", "mlp")):
+    register(_name, lambda s, d, m=_model: learned_base(s, d).select(*KEY, rnd(m, 6).alias("prediction")))
 register("m_expanding_folds", lambda s, d: models.expanding_folds(panel(s, d), MIN_TRAIN),
          f"""SELECT f.idx AS fold, d.as_of_date, CASE WHEN d.idx = f.idx THEN 'test' ELSE 'train' END AS role FROM (SELECT as_of_date, ROW_NUMBER() OVER (ORDER BY as_of_date) - 1 AS idx FROM (SELECT DISTINCT as_of_date FROM panel) x) d
 JOIN (SELECT ROW_NUMBER() OVER (ORDER BY as_of_date) - 1 AS idx FROM (SELECT DISTINCT as_of_date FROM panel) x) f ON d.idx <= f.idx WHERE f.idx >= {MIN_TRAIN}""", "panel")
-register("m_kfold_fallback", lambda s, d: models.shuffled_folds(panel(s, d)).groupBy("fold").agg(F.count("*").alias("rows")))
-LINEAR = models.STATISTICAL
+
+
+def _fallback(s, d):
+    """One training date gives no expanding fold: five shuffled folds are fitted instead."""
+    rows = scores_of(s, d)
+    last = rows.agg(F.max("as_of_date")).first()[0]
+    one = rows.filter(F.col("as_of_date") == F.lit(last))
+    return models.out_of_fold(one, SCORE_COLUMNS, ["ridge"], FOLDS_FROM).select(*KEY, rnd("ridge", 6).alias("ridge"))
+
+
+register("m_kfold_fallback", _fallback)
 
 
 def oof(s, d):
-    return SNAPSHOTS.get(s, ("oof", d), lambda: models.out_of_fold(panel(s, d), SCORE_COLUMNS, LINEAR, MIN_TRAIN))
+    return SNAPSHOTS.get(s, ("oof", d), lambda: models.out_of_fold(scores_of(s, d), SCORE_COLUMNS, LINEAR, FOLDS_FROM))
 
 
 def base(s, d):
-    return SNAPSHOTS.get(s, ("base", d), lambda: models.fit_predict(panel(s, d).select(*KEY, models.TARGET, *SCORE_COLUMNS), current(s, d).select(*KEY, *SCORE_COLUMNS), SCORE_COLUMNS, LINEAR))
+    return SNAPSHOTS.get(s, ("base", d), lambda: models.fit_predict(scores_of(s, d), current(s, d).select(*KEY, *SCORE_COLUMNS), SCORE_COLUMNS, LINEAR))
 
 
 def alpha(s, d):
@@ -77,6 +118,8 @@ def alpha(s, d):
 
 register("m_oof", lambda s, d: oof(s, d).select(*KEY, *[rnd(m, 6).alias(m) for m in LINEAR]))
 register("m_predict_base", lambda s, d: base(s, d).select(*KEY, *[rnd(m, 6).alias(m) for m in LINEAR]))
+
+
 def _fitted_stack(s, d):
     """The meta model applied to the out-of-fold predictions it was fitted on."""
     rows = oof(s, d)
@@ -84,30 +127,50 @@ def _fitted_stack(s, d):
 
 
 def _train_predict(s, d):
-    """Folds, bases and meta model in one call, no stored parts."""
-    rows = panel(s, d).select(*KEY, models.TARGET, *SCORE_COLUMNS)
-    out = models.train_predict(rows, current(s, d), SCORE_COLUMNS, LINEAR, MIN_TRAIN)
-    return out.withColumnRenamed("alpha_expected_excess_return", "alpha")
+    """Folds, bases and meta model in one call, the fits sharing their passes."""
+    rows = scores_of(s, d).withColumn("research_date", F.lit(DAY))
+    return rolling.rolling_alpha(rows, current(s, d), SCORE_COLUMNS, LINEAR, FOLDS_FROM).select(*KEY, "alpha")
 
 
 register("m_stack", lambda s, d: _fitted_stack(s, d).select(*KEY, rnd("alpha", 6).alias("alpha")))
-register("m_train", lambda s, d: models.trained(panel(s, d), SCORE_COLUMNS, LINEAR).select("model", "feature", rnd("coefficient", 6).alias("coefficient")))
+register("m_train", lambda s, d: models.trained(scores_of(s, d), SCORE_COLUMNS, LINEAR).select("model", "feature", rnd("coefficient", 6).alias("coefficient")))
 register("m_predict", lambda s, d: models.stacked(oof(s, d), base(s, d), LINEAR, "prediction").select(*KEY, rnd("prediction", 6).alias("prediction")))
 register("m_train_predict", lambda s, d: _train_predict(s, d).select(*KEY, rnd("alpha", 6).alias("alpha")))
 register("m_alpha", lambda s, d: alpha(s, d).select(*KEY, rnd("alpha", 6).alias("alpha")))
 
 
-def _combined(s, d):
-    """Statistical models on scores and tree models of full size on raw factors, one meta model."""
-    rows, now = panel(s, d), current(s, d)
-    trees = models.fit_predict(rows.select(*KEY, models.TARGET, *RAW), now.select(*KEY, *RAW), RAW, models.LEARNED, **FULL).select(*KEY, *models.LEARNED)
-    tree_oof = models.out_of_fold(rows, RAW, models.LEARNED, MIN_TRAIN, **FULL).select(*KEY, *models.LEARNED)
+def learned_stack(s, d):
+    """Meta model over the four learned bases."""
+    return SNAPSHOTS.get(s, ("learned_stack", d), lambda: models.stacked(learned_oof(s, d), learned_base(s, d), models.LEARNED, "machine_learning"))
+
+
+def combined(s, d):
+    """Statistical models on scores and learned models on raw factors, ten bases, one meta model."""
     both = [*LINEAR, *models.LEARNED]
-    return models.stacked(oof(s, d).join(tree_oof, KEY), base(s, d).join(trees, KEY), both, "combined").select(*KEY, rnd("combined", 6).alias("combined"))
+    tree_oof = learned_oof(s, d).select(*KEY, *models.LEARNED)
+    build = lambda: models.stacked(oof(s, d).join(tree_oof, KEY), base(s, d).join(learned_base(s, d), KEY), both, "combined")
+    return SNAPSHOTS.get(s, ("combined", d), build)
+
+
+register("m_ml_stack", lambda s, d: learned_stack(s, d).select(*KEY, rnd("machine_learning", 6).alias("machine_learning")))
+register("m_combined", lambda s, d: combined(s, d).select(*KEY, rnd("combined", 6).alias("combined")))
+
+
+def signal_columns(s, d):
+    """All four signals of a name: final, statistical, combined and machine-learning."""
+    final = alpha(s, d)
+    names = current(s, d).select(*KEY)
+    statistical = final.withColumnRenamed("alpha", "statistical")
+    # the final signal is that of the statistical stack, for selected names only
+    chosen = cf.selection(s, d).filter(F.col("as_of_date") == F.lit(DAY)).select(*KEY)
+    return (
+        names.join(final.join(chosen, KEY, "left_semi"), KEY, "left").join(statistical, KEY, "left")
+        .join(combined(s, d), KEY, "left").join(learned_stack(s, d), KEY, "left")
+    )
 
 
-register("m_combined", _combined)
-register("m_signal_pick", lambda s, d: current(s, d).select(*KEY, "overall_score").join(alpha(s, d), KEY, "left").select(*KEY, rnd(models.signal("alpha", "overall_score"), 6).alias("signal")))
+SIGNALS = ["alpha", "statistical", "combined", "machine_learning"]
+register("m_signal_pick", lambda s, d: signal_columns(s, d).select(*KEY, *[rnd(c, 6).alias(c) for c in SIGNALS], rnd(models.signal(*SIGNALS), 6).alias("signal")))
 register("j_alpha", lambda s, d: current(s, d).select(*KEY, "overall_score").join(alpha(s, d), KEY, "left").select(*KEY, rnd("overall_score", 4).alias("overall_score"), rnd("alpha", 6).alias("alpha")))
 register("j_selected_alpha", lambda s, d: cf.selection(s, d).select(*KEY, "screen_rank").join(alpha(s, d), KEY, "left").select(*KEY, "screen_rank", rnd("alpha", 6).alias("alpha")))
 register("j_factor_alpha", lambda s, d: current(s, d).select(*KEY, "overall_score").join(alpha(s, d).groupBy(*KEY).agg(F.max("alpha").alias("alpha")), KEY, "left").select(*KEY, rnd("overall_score", 4).alias("overall_score"), rnd("alpha", 6).alias("alpha")))

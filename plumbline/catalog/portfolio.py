@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Window
@@ -13,7 +14,7 @@ from plumbline.catalog.twin import SNAPSHOTS, cte, r, register
 from plumbline.functions.factor_config import SCORE_COLUMNS
 from plumbline.functions.scalars import rnd
 from plumbline.operators import asof, backtest, calendars, covariance, factors, labels, portfolio, prices
-from plumbline.plans.research import ResearchConfig, run
+from plumbline.plans.research import ResearchConfig, expected_returns, run
 from plumbline.sources import testbed
 
 END = date(2001, 6, 30)
@@ -293,10 +294,25 @@ def signals(rows):
     return rows.select(*KEY, F.col("overall_score").alias("signal"))
 
 
-def solved(s, d, methods=portfolio.SOLVED, **finish):
-    """Matrix methods under one exposure rule."""
-    rows = candidates(s, d)
-    raw_weights = portfolio.solved_weights(covariance.estimate(complete(s, d)), signals(rows), methods)
+def brand_alpha(s, d):
+    """(as_of_date, ticker, alpha) of every brand and research date: stacked models of twelve training dates each."""
+    build = lambda: expected_returns(testbed.bars(s, d, testbed.BRAND), testbed.statements(s, d, testbed.BRAND), cf.raw(s, d, testbed.BRAND), AS_OF, ROLLING)
+    return SNAPSHOTS.get(s, ("brand_alpha", d), build)
+
+
+ROLLING = ResearchConfig(benchmark=testbed.BENCHMARK, minimum_return_rows=20, minimum_label_rows=MIN_ROWS, top_screen_n=SCREEN, final_portfolio_n=N)
+
+
+def with_alpha(s, d):
+    """The candidates with their trained alpha as signal."""
+    return candidates(s, d).join(brand_alpha(s, d), KEY, "left").withColumn("signal", F.col("alpha"))
+
+
+def solved(s, d, methods=portfolio.SOLVED, signal=None, **finish):
+    """Matrix methods under one exposure rule; the signal is the score unless (as_of_date, ticker, signal) is given."""
+    rows = candidates(s, d) if signal is None else signal
+    signal = signals(rows) if signal is None else signal.select(*KEY, "signal")
+    raw_weights = portfolio.solved_weights(covariance.estimate(complete(s, d)), signal, methods)
     return portfolio.finalized(raw_weights, group=["as_of_date", "method"], **finish)
 
 
@@ -327,19 +343,20 @@ def _solved_twin(method):
 
 
 for method, name in SOLVED_NAMES.items():
+    # the closed forms take the score as signal, which their twins can follow; the trained alpha is the signal elsewhere
     twin = (_solved_twin(method), f"long_{method}") if method in list(SOLVED_NAMES)[:3] else ()
-    register(name, lambda s, d, m=method: solved(s, d, [m], max_weight=CAP).select("method", *rounded(WKEY, W)), *twin)
+    register(name, lambda s, d, m=method, t=twin: solved(s, d, [m], None if t else with_alpha(s, d), max_weight=CAP).select("method", *rounded(WKEY, W)), *twin)
 
 
 def rule_weights(s, d):
     return SNAPSHOTS.get(s, ("rule_weights", d), lambda: _rule_weights(s, d))
 
 
-def _rule_weights(s, d):
-    rows = candidates(s, d)
+def _rule_weights(s, d, rows=None, signal="overall_score"):
+    rows = candidates(s, d) if rows is None else rows
     parts = {
         "equal_weight": portfolio.equal(rows),
-        "top_n_equal_weight": portfolio.top_n_equal(rows, "overall_score", 2),
+        "top_n_equal_weight": portfolio.top_n_equal(rows, signal, 2),
         "score_weighted": portfolio.score_weighted(rows),
         "risk_adjusted_score_weighted": portfolio.risk_adjusted(rows),
     }
@@ -351,16 +368,18 @@ def _rule_weights(s, d):
 
 
 def all_weights(s, d):
-    return rule_weights(s, d).unionByName(solved(s, d, max_weight=CAP).select(*KEY, "method", "weight"))
+    """All nine methods; those that need a signal take the trained alpha."""
+    rows = with_alpha(s, d)
+    return _rule_weights(s, d, rows, "signal").unionByName(solved(s, d, signal=rows, max_weight=CAP).select(*KEY, "method", "weight"))
 
 
 cte("rule_weights", """SELECT as_of_date, ticker, 'equal_weight' AS method, CAST(1.0 / COUNT(*) OVER (PARTITION BY as_of_date) AS DOUBLE) AS weight FROM candidates
 UNION ALL SELECT as_of_date, ticker, 'score_weighted', weight FROM w_score UNION ALL SELECT as_of_date, ticker, 'risk_adjusted_score_weighted', weight FROM w_risk
 UNION ALL SELECT as_of_date, ticker, 'top_n_equal_weight', 0.5 FROM (SELECT * FROM candidates QUALIFY ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY overall_score DESC, MD5(ticker), ticker) <= 2) t""",
     "candidates", "w_score", "w_risk")
-register("p_dispatch", lambda s, d: all_weights(s, d).select("method", *rounded(WKEY, W)))
+register("p_dispatch", lambda s, d: every_method(s, d).select("method", *rounded(WKEY, W)))
 PERF = {"annual_return": 5, "annual_volatility": 5, "sharpe_ratio": 4}
-register("p_compare", lambda s, d: portfolio.performance(all_weights(s, d), complete(s, d)).select(*rounded(["as_of_date", "method"], PERF)))
+register("p_compare", lambda s, d: portfolio.performance(every_method(s, d), complete(s, d)).select(*rounded(["as_of_date", "method"], PERF)))
 cte("daily_fixed", "SELECT c.as_of_date, w.method, c.date, SUM(w.weight * c.ret) AS portfolio_return FROM complete c JOIN rule_weights w USING (as_of_date, ticker) GROUP BY ALL", "complete", "rule_weights")
 add("a_portfolio_perf", lambda s, d: portfolio.performance(rule_weights(s, d), complete(s, d)), ["as_of_date", "method"], PERF,
     """(SELECT *, annual_return / NULLIF(annual_volatility, 0) AS sharpe_ratio FROM (SELECT as_of_date, method, AVG(portfolio_return) * 252 AS annual_return,
@@ -466,6 +485,18 @@ add("b_rebalanced", history, BKEY, {}, "history", logs={"period_return": 5, **VA
 add("b_history_flat", history, [*BKEY, "holdings", "days"], {}, "history", logs={"period_return": 5, **VALUE})
 add("b_no_candidates", lambda s, d: history(s, d).filter("status = 'no selected tickers'"), BKEY, {}, "history WHERE status = 'no selected tickers'", "history", logs={"period_return": 5, **VALUE})
 add("b_error_rows", lambda s, d: history(s, d).filter("status <> 'invested'"), BKEY, {}, "history WHERE status <> 'invested'", "history", logs={"period_return": 5, **VALUE})
+
+
+def full_history(s, d):
+    """Account value of all nine methods on alpha, window by window."""
+    held_rows = backtest.window_returns(brand_returns(s, d), every_method(s, d), WINDOWS)
+    return backtest.rebalance_history(backtest.drifted(held_rows), every_method(s, d), ALL_WINDOWS, [*METHODS, "all_cash"])
+
+
+# on alpha there is no twin: a test compares the rows of the rule methods with the queries above
+register("b_rebalanced_alpha", lambda s, d: full_history(s, d).select(*BKEY, *[rnd(F.signum(c) * F.log1p(F.abs(c)), 5).alias(f"log_{c}") for c in ("period_return", "ending_value")]))
+register("b_history_flat_alpha", lambda s, d: full_history(s, d).select(*BKEY, "holdings", "days"))
+register("b_weights_flat_alpha", lambda s, d: every_method(s, d).select(*KEY, "method", rnd("weight", 6).alias("weight")))
 add("b_weights_flat", rule_weights, [*KEY, "method"], W, "rule_weights")
 add("b_align_weights",
     lambda s, d: complete(s, d).select(*KEY).distinct().crossJoin(s.createDataFrame([(m,) for m in RULES], "method string")).join(rule_weights(s, d), [*KEY, "method"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))),
@@ -489,18 +520,21 @@ def brand_forward(s, d):
 
 
 def _diagnostics(s, d):
-    rows = picked(s, d)
-    predicted = rows.select(*KEY, (F.col("overall_score") / 1000).alias("predicted"))
+    """Trained alpha of every selected name next to what came of it."""
+    predicted = brand_alpha(s, d).select(*KEY, F.col("alpha").alias("predicted"))
     realised = brand_forward(s, d).select(*KEY, F.col("forward_return").alias("actual_return"), "benchmark_return")
-    return backtest.diagnostics(rows, predicted, realised)
+    return backtest.diagnostics(picked(s, d), predicted, realised)
 
 
 DIAG = {"predicted": 5, "actual_return": 5, "benchmark_return": 5, "forward_excess_return": 5, "prediction_error": 5}
-cte("diag", """SELECT p.as_of_date, p.ticker, p.overall_score / 1000 AS predicted, f.holding_return AS actual_return, b.holding_return AS benchmark_return,
- f.holding_return - b.holding_return AS forward_excess_return, p.overall_score / 1000 - (f.holding_return - b.holding_return) AS prediction_error
+register("b_diagnostics", lambda s, d: _diagnostics(s, d).select(*rounded(KEY, DIAG)))
+cte("pred_actual", """SELECT p.as_of_date, p.ticker, f.holding_return AS actual_return, b.holding_return AS benchmark_return,
+ f.holding_return - b.holding_return AS forward_excess_return, 0 * (f.holding_return - b.holding_return) AS residual
 FROM brand_pick p LEFT JOIN brand_held f ON f.ticker = p.ticker AND f.start_date = p.as_of_date LEFT JOIN brand_held b ON b.ticker = 'Index#0' AND b.start_date = p.as_of_date""", "brand_pick", "brand_held")
-add("b_diagnostics", _diagnostics, KEY, DIAG, "diag")
-add("j_pred_actual", _diagnostics, KEY, DIAG, "diag")
+# a twin cannot train: the prediction enters as the residual of its error, which is nothing where there is a prediction
+add("j_pred_actual",
+    lambda s, d: _diagnostics(s, d).withColumn("residual", F.col("predicted") - F.col("prediction_error") - F.col("forward_excess_return")),
+    KEY, {"actual_return": 5, "benchmark_return": 5, "forward_excess_return": 5, "residual": 5}, "pred_actual")
 
 
 def _replay(s, d):
@@ -532,3 +566,15 @@ cte("engine_final", cf.score_sql("engine_inputs"), "engine_inputs")
 cte("engine_norm", norm_sql("engine_final", "overall_score"), "engine_final")
 cte("engine_weights", "SELECT n.as_of_date, n.ticker, n.weight, p.universe_rank, p.screen_rank, p.overall_score FROM engine_norm n JOIN engine_pick p USING (as_of_date, ticker)", "engine_norm", "engine_pick")
 add("b_engine", _engine, [*KEY, "universe_rank", "screen_rank"], {"overall_score": 4, "weight": 6}, "engine_weights")
+
+
+ENGINE_ALPHA = replace(ROLLING, method="maximum_sharpe", max_weight=0.6)
+
+
+def _engine_alpha(s, d):
+    """The research run with a method that needs trained alpha."""
+    done = run(testbed.bars(s, d, testbed.BRAND), testbed.statements(s, d, testbed.BRAND), AS_OF, ENGINE_ALPHA)
+    return done["weights"].join(done["selection"].select(*KEY, "screen_rank"), KEY).join(done["alpha"], KEY, "left")
+
+
+register("b_engine_alpha", lambda s, d: _engine_alpha(s, d).select(*KEY, "screen_rank", rnd("alpha", 6).alias("alpha"), rnd("weight", 6).alias("weight")))

@@ -52,12 +52,13 @@ def holdings(s, d):
     filed = ct.limited(s, d).groupBy("ticker").agg(F.count("*").alias("filings"))
     return (
         rows.join(weights, KEY, "left").join(F.broadcast(articles), "ticker", "left").join(F.broadcast(filed), "ticker", "left")
-        .withColumns({"name": F.when(F.col("ticker") != "Brand#1", F.col("ticker")), "alpha": F.when(F.col("overall_score") > 55, F.col("overall_score") / 1000)})
+        .join(cp.brand_alpha(s, d), KEY, "left")
+        .withColumns({"name": F.when(F.col("ticker") != "Brand#1", F.col("ticker")), "alpha": F.when(F.col("ticker") != "Brand#2", F.col("alpha"))})
     )
 
 
 cte("holdings", """SELECT p.as_of_date, p.ticker, p.universe_rank, p.screen_rank, p.overall_score, w.weight, n.articles, f.filings,
- CASE WHEN p.ticker <> 'Brand#1' THEN p.ticker END AS name, CASE WHEN p.overall_score > 55 THEN p.overall_score / 1000 END AS alpha
+ CASE WHEN p.ticker <> 'Brand#1' THEN p.ticker END AS name, CASE WHEN p.ticker <> 'Brand#2' THEN 1.0 END AS alpha
 FROM brand_pick p LEFT JOIN w_score w USING (as_of_date, ticker) LEFT JOIN (SELECT ticker, COUNT(*) AS articles FROM chosen_news GROUP BY 1) n ON n.ticker = p.ticker
 LEFT JOIN (SELECT ticker, COUNT(*) AS filings FROM limited GROUP BY 1) f ON f.ticker = p.ticker""", "brand_pick", "w_score", "chosen_news", "limited")
 _HOLD = ["CASE WHEN name IS NULL THEN 'company name missing' END", "CASE WHEN alpha IS NULL THEN 'expected return missing' END", "CASE WHEN weight IS NULL THEN 'portfolio weight missing' END",

@@ -34,11 +34,11 @@ def forward_returns(
     """
     held = holding_returns(returns, windows).filter(F.col("return_rows") >= min_rows)
     bench = held.filter(F.col("ticker") == benchmark).select(
-        "start_date", F.col("holding_return").alias("benchmark_return")
+        "start_date", "end_date", F.col("holding_return").alias("benchmark_return")
     )
     return (
         held.filter(F.col("ticker") != benchmark)
-        .join(F.broadcast(bench), "start_date", "left")
+        .join(F.broadcast(bench), ["start_date", "end_date"], "left")
         .select(
             "ticker",
             F.col("start_date").alias("as_of_date"),

@@ -19,15 +19,17 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import clip
 from plumbline.operators import models
 from plumbline.operators.models import KEY, TARGET
 from plumbline.operators.quantiles import exact_quantiles, melt
 from plumbline.sources.stored import settle
 
-# models that the Gram matrix and leave-one-out errors determine
+# models that the Gram matrix and leave-one-out errors determine; the robust model is fitted by Spark ML, fit by fit
 GRAM_MODELS = ["ridge", "elastic_net", "bayesian_ridge", "principal_components", "partial_least_squares"]
 COMPONENTS = 8
 
@@ -43,6 +45,11 @@ class Fit:
     deviation: np.ndarray
     intercept: float
     betas: dict
+    robust_intercept: float = 0.0
+
+    def values(self, part: pd.DataFrame, features: Sequence[str], name: str) -> np.ndarray:
+        start = self.robust_intercept if name == "huber" else self.intercept
+        return self.standardised(part, features) @ self.betas[name] + start
 
     def standardised(self, part: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
         x = part[list(features)].to_numpy(float)
@@ -144,9 +151,9 @@ def fit_all(
     alphas: Sequence[float] = models.ALPHAS,
 ) -> dict[int, Fit]:
     """Fits of `rows` (fit, as_of_date, ticker, features, target) by the number in `fit`; rows without a target are left out."""
-    unknown = set(names) - set(GRAM_MODELS)
+    unknown = set(names) - set(models.STATISTICAL)
     if unknown:
-        raise ValueError(f"not determined by Gram matrices: {sorted(unknown)}")
+        raise ValueError(f"no linear models: {sorted(unknown)}")
     rows = rows.filter(F.col(TARGET).isNotNull())
     known = _statistics(rows, features)
     fits, problems, parts_of, moments_of = {}, {}, {}, {}
@@ -175,6 +182,13 @@ def fit_all(
         for name in names:
             if name in solvers:
                 fit.betas[name] = models.or_none(name, lambda: solvers[name](number))
+        if "huber" in names:
+            own = rows.filter(F.col("fit") == number).withColumn(TARGET, clip(TARGET, F.lit(fit.low), F.lit(fit.high)))
+            scaler = models.Scaler(list(features), list(fit.median), list(fit.mean), list(fit.deviation))
+            vectors = scaler.transform(own).select(array_to_vector("z").alias("features"), TARGET)
+            made = models.or_none("huber", lambda: models.spark_model("huber", moments_of[number].n).fit(vectors))
+            if made:
+                fit.betas["huber"], fit.robust_intercept = made.coefficients.toArray(), made.intercept
     return fits
 
 
@@ -190,7 +204,7 @@ def predict_all(rows: DataFrame, fits: dict[int, Fit], features: Sequence[str],
             own = fits.get(number)
             for name in names:
                 if own is not None and own.betas.get(name) is not None:
-                    out.loc[part.index, name] = own.standardised(part, features) @ own.betas[name] + own.intercept
+                    out.loc[part.index, name] = own.values(part, features, name)
         return out
 
     made = rows.withColumn("_p", apply("fit", kinds))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.factor_config import SCORE_COLUMNS
 from plumbline.functions.scalars import finite
-from plumbline.operators import calendars, covariance, factors, labels, models, portfolio, prices
+from plumbline.operators import calendars, covariance, factors, labels, models, portfolio, prices, rolling
 from plumbline.sources.stored import settle
 
 
@@ -63,19 +63,33 @@ def eligible_names(
     return settle(raw.filter(F.col("return_count") >= config.minimum_return_rows), "raw_factors")
 
 
-def training_panel(
-    bars: DataFrame, statements: DataFrame, day: date, config: ResearchConfig
+def training_panels(
+    bars: DataFrame, statements: DataFrame, days: Sequence[date], config: ResearchConfig, columns: Sequence[str] = SCORE_COLUMNS
 ) -> DataFrame:
-    """Factor scores of the training dates before `day`, with the excess return up to the next boundary."""
+    """Rows (research_date, as_of_date, ticker, features, target) of the training dates before every research date.
+
+    Research dates share training dates and label windows: factors and labels are
+    computed once for all distinct ones. The label of a date is the excess return up to the next boundary.
+    """
     periods, months = config.training_lookback_periods, config.training_period_months
-    starts = calendars.training_dates(day, periods, months)
-    bounds = calendars.boundaries(day, periods, months)
-    # a label ends the day before the next boundary, so nothing of `day` or later is seen
-    windows = [(a, b - timedelta(days=1)) for a, b in zip(bounds, bounds[1:])]
+    spans = []
+    for day in sorted(set(days)):
+        bounds = calendars.boundaries(day, periods, months)
+        # a label ends the day before the next boundary, so nothing of `day` or later is seen
+        spans += [(day, a, b - timedelta(days=1)) for a, b in zip(bounds, bounds[1:])]
+    starts, windows = sorted({s[1] for s in spans}), sorted({s[1:] for s in spans})
     raw = factors.raw_factors(bars, statements, starts, config.benchmark, config.period_mode)
     scores = factors.score(settle(raw.filter(F.col("return_count") >= config.minimum_return_rows), "training"))
     forward = labels.forward_returns(prices.with_returns(bars), windows, config.benchmark, config.minimum_label_rows)
-    return labels.labelled_panel(scores, forward)
+    # one row per research date and training date
+    calendar = bars.sparkSession.createDataFrame(spans, "research_date date, as_of_date date, end_date date")
+    dated = forward.select("as_of_date", "end_date", "ticker", models.TARGET).join(F.broadcast(calendar), ["as_of_date", "end_date"])
+    return scores.select("as_of_date", "ticker", *columns).join(dated.drop("end_date"), ["as_of_date", "ticker"])
+
+
+def training_panel(bars: DataFrame, statements: DataFrame, day: date, config: ResearchConfig) -> DataFrame:
+    """The training rows of one research date."""
+    return training_panels(bars, statements, [day], config).drop("research_date")
 
 
 def expected_returns(
@@ -83,22 +97,25 @@ def expected_returns(
 ) -> DataFrame:
     """(as_of_date, ticker, alpha): every research date with models trained on earlier dates only.
 
-    The loop runs over the research dates of the configuration; every fit is a Spark job.
-    A date whose training dates hold no labelled row has no alpha.
+    Linear base models of all dates are fitted together (`rolling`); a list with other base models is
+    fitted date by date. A date whose training dates hold too few labelled rows has no alpha.
     """
-    scored = settle(factors.score(eligible), "scores")
-    out = None
+    scored = settle(factors.score(eligible).select("as_of_date", "ticker", *SCORE_COLUMNS), "scores")
+    panel = settle(training_panels(bars, statements, dates, config), "panel")
+    names = list(config.base_models)
+    if set(names) <= set(models.STATISTICAL):
+        current = scored.filter(F.col("as_of_date").isin(list(dates)))
+        out = rolling.rolling_alpha(panel, current, SCORE_COLUMNS, names, config.min_train_periods)
+        return settle(out.select("as_of_date", "ticker", "alpha"), "alpha")
+    out = scored.select("as_of_date", "ticker", F.lit(None).cast("double").alias("alpha")).limit(0)
     for day in dates:
-        panel = settle(training_panel(bars, statements, day, config), "panel")
-        if panel.isEmpty():
+        own = panel.filter(F.col("research_date") == F.lit(day)).drop("research_date")
+        if own.isEmpty():
             continue
         current = scored.filter(F.col("as_of_date") == F.lit(day))
-        alpha = models.train_predict(panel, current, SCORE_COLUMNS, config.base_models, config.min_train_periods)
-        alpha = alpha.withColumnRenamed("alpha_expected_excess_return", "alpha")
-        out = alpha if out is None else out.unionByName(alpha)
-    if out is None:
-        return scored.select("as_of_date", "ticker", F.lit(None).cast("double").alias("alpha")).limit(0)
-    return settle(out.select("as_of_date", "ticker", "alpha"), "alpha")
+        alpha = models.train_predict(own, current, SCORE_COLUMNS, names, config.min_train_periods)
+        out = out.unionByName(alpha.withColumnRenamed("alpha_expected_excess_return", "alpha").select("as_of_date", "ticker", "alpha"))
+    return settle(out, "alpha")
 
 
 def build_weights(

@@ -287,30 +287,29 @@ def test_base_models_against_numpy(spark):
         used = 5 - weight * np.trace(cover)
         weight, noise = (used + 2e-6) / (mean @ mean + 2e-6), (160 - used + 2e-6) / (((c - z @ mean) ** 2).sum() + 2e-6)
     np.testing.assert_allclose(got["bayesian_ridge"], mean, atol=2e-3)
-    assert set(got) == {"ridge", "elastic_net", "bayesian_ridge", "principal_components", "partial_least_squares"}
+    assert set(got) == set(models.STATISTICAL)
 
 
 def test_combined_stack_has_every_base_at_full_size(monkeypatch):
-    """The meta model sees six statistical and both tree models, none of them shortened."""
+    """The meta model sees six statistical and four learned models, none of them shortened, on configured training dates."""
     from unittest.mock import MagicMock
 
     from plumbline.catalog import models as catalog
-    from plumbline.operators import models
+    from plumbline.operators import learned, models
 
     calls, stacks = [], []
     frame = MagicMock()
-    monkeypatch.setattr(catalog, "panel", lambda s, d: frame)
-    monkeypatch.setattr(catalog, "current", lambda s, d: frame)
-    monkeypatch.setattr(catalog, "oof", lambda s, d: frame)
-    monkeypatch.setattr(catalog, "base", lambda s, d: frame)
-    monkeypatch.setattr(catalog, "rnd", lambda *a: MagicMock())
+    for name in ("training", "current", "oof", "base"):
+        monkeypatch.setattr(catalog, name, lambda s, d: frame)
+    monkeypatch.setattr(catalog.SNAPSHOTS, "get", lambda s, key, build: build())
     monkeypatch.setattr(models, "fit_predict", lambda p, n, f, m, **sizes: calls.append((list(m), sizes)) or frame)
-    monkeypatch.setattr(models, "out_of_fold", lambda p, f, m, k, **sizes: calls.append((list(m), sizes)) or frame)
+    monkeypatch.setattr(models, "out_of_fold", lambda p, f, m, k: calls.append((list(m), k)) or frame)
     monkeypatch.setattr(models, "stacked", lambda o, b, m, n: stacks.append(list(m)) or frame)
-    catalog._combined(None, "d")
-    full = {"trees": 300, "rounds": 250}
-    assert calls == [(["random_forest", "gradient_boosting"], full)] * 2
-    assert stacks == [[*models.STATISTICAL, "random_forest", "gradient_boosting"]]
+    catalog.combined(None, "d")
+    bases = ["random_forest", "extra_trees", "gradient_boosting", "mlp"]
+    assert (bases, {}) in calls and (bases, 8) in calls
+    assert stacks == [[*models.STATISTICAL, *bases]]
+    assert learned.BOOSTING["rounds"] == 250 and learned.EXTRA["trees"] == 300 and catalog.TRAINING.training_lookback_periods == 12
 
 
 def test_research_run_trains_before_it_weighs(spark):
