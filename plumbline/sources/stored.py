@@ -40,7 +40,16 @@ def settle(frame: DataFrame, name: str = "table") -> DataFrame:
         spark.conf.set(FREE_SHUFFLES, before)
     file_system, folder = _resolved(spark, path)
     file_system.deleteOnExit(folder)
-    return spark.read.schema(frame.schema).parquet(path)
+    stored = spark.read.schema(frame.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that `settle` returned and that nothing reads any more."""
+    for frame in frames:
+        file_system, folder = _resolved(frame.sparkSession, frame._stored_at)
+        file_system.delete(folder, True)
 
 
 def _resolved(spark: SparkSession, path: str):

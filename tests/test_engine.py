@@ -340,3 +340,12 @@ def test_written_tables_leave_no_shuffle_setting_behind(spark):
     table = stored.settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
     assert spark.conf.get(stored.FREE_SHUFFLES, "false") == before
     assert sorted(r["count"] for r in table.collect()) == [142, 143, 143, 143, 143, 143, 143]
+
+
+def test_released_tables_are_gone(spark):
+    from plumbline.sources import stored
+
+    table = stored.settle(spark.range(10), "numbers")
+    assert stored.listing(spark, table._stored_at)
+    stored.release(table)
+    assert stored.listing(spark, table._stored_at) == ()
