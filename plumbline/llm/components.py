@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.stored import settle
+from plumbline.sources.stored import release, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(_oriented(edges.select("a", "b")), "edges")
     mark = _fingerprint(now)
     while True:
-        now = settle(_small_star(_large_star(now)), "edges")
+        before, now = now, settle(_small_star(_large_star(now)), "edges")
+        release(before)
         after = _fingerprint(now)
         if after == mark:
             break

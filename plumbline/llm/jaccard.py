@@ -17,9 +17,12 @@ order is the global one. Two documents link when 100 * intersection >= `percent`
    range is spoilt only by an element that differs, a set knows how many signatures it
    shares at least with any set it links with. A class with fewer unresolved signatures
    than that has no open link; of the others, all but the most frequent signatures that
-   a link can do without are kept, so two that link still share one. The classes, joined
-   to blocks by connected components, are cut into chunks by size and weight, and a
-   class goes to the pairs of chunks in which a signature of it meets a class of another
+   a link can do without are kept, so two that link still share one. Of classes still open, the
+   shingles are put in one order, rarest first by counters of fixed size; of a set of n, the first
+   n - ceil(share * n) + 1 elements hold one that any linked set has among its own. A common
+   passage comes last in that order and brings nothing together. The classes that share such
+   elements, joined to blocks by connected components, are cut into chunks by size and weight,
+   and a class goes to the pairs of chunks in which an element of it meets a class of another
    component and fitting size.
 5. Joining (3 and 4): the sets of a block are stored in a path-compressed prefix tree.
    A probe walks down the tree, so sets with a common beginning share the overlap
@@ -46,7 +49,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.batches import keep_modest
 from plumbline.llm.components import components
-from plumbline.sources.stored import settle
+from plumbline.sources.stored import release, settle
 
 NGRAM = 4
 PERCENT = 85
@@ -54,6 +57,8 @@ PERCENT = 85
 CHUNK_WEIGHT, HUB_WEIGHT = 400_000, 50_000
 GROWTH = 1.5
 SEEN = 50_000
+# counters of shingles, and the parts in which tasks hand them on
+COUNTER_BITS, COUNTER_PARTS = 20, 16
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 TURN = [U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
@@ -399,18 +404,87 @@ def links_of(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, perc
         "signature", "class", F.coalesce("component", "class").alias("component")
     )
     rest = settle(_unresolved(named), "unresolved")
+    release(shared)
     if rest.isEmpty():
+        release(texts, rest)
         return near
     sizes = texts.select("class", "n", "need")
     # classes that have too few open signatures for any link go first, as this also lowers frequencies
     enough = rest.groupBy("class").agg(F.count("*").alias("open")).join(sizes, "class").where("open >= need")
-    rest = settle(_unresolved(rest.join(enough.select("class", "n", "need"), "class")), "unresolved")
-    rest = settle(_unresolved(_rarest(rest)), "unresolved")
-    if rest.isEmpty():
+    fewer = settle(_unresolved(rest.join(enough.select("class", "n", "need"), "class")), "unresolved")
+    release(rest)
+    still = settle(_unresolved(_rarest(fewer)).select("class", "component").distinct(), "open")
+    release(fewer)
+    elements = settle(_unresolved(prefix_table(texts.join(still, "class"), shared_counts(texts, width), percent, width)), "prefixes")
+    release(still)
+    if elements.isEmpty():
+        release(texts, elements)
         return near
-    blocks = components(rest.select(F.col("class").alias("a"), F.col("first").alias("b")))
-    placed = rest.join(blocks.select(F.col("node").alias("class"), F.col("component").alias("block")), "class")
-    return near.union(settle(_block_rest(placed, texts, percent, width), "links"))
+    blocks = components(elements.select(F.col("class").alias("a"), F.col("first").alias("b")))
+    placed = elements.join(blocks.select(F.col("node").alias("class"), F.col("component").alias("block")), "class")
+    more = settle(_block_rest(placed, texts, percent, width), "links")
+    release(texts, elements)
+    return near.union(more)
+
+
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (values >> U(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def shared_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """Counters of the classes' shingles by the first COUNTER_BITS of their hash: fixed in size, added up over tasks."""
+
+    def count(batches):
+        total, pending, held = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                pending.append(_slots(shingles(text, width)))
+                held += len(pending[-1])
+                if held >= len(total):
+                    total += np.bincount(np.concatenate(pending), minlength=len(total))
+                    pending, held = [], 0
+        if pending:
+            total += np.bincount(np.concatenate(pending), minlength=len(total))
+        parts = np.split(total, COUNTER_PARTS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
+            names=["part", "counts"],
+        )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in table["counts"])
+        return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    rows = texts.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["part"])])
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """So many elements of a set, first in any one order of all elements, hold one of every set it links with."""
+    return n + (-percent * n) // 100 + 1
+
+
+def prefix_table(rows: DataFrame, counts: np.ndarray, percent: int, width: int) -> DataFrame:
+    """(signature, class, component, n): the first shingles of each set, those of the least counters first."""
+
+    def cut(batches):
+        for batch in batches:
+            names, parts, sizes = [], [], []
+            for text in batch.column(3).to_pylist():
+                values = shingles(text, width)
+                order = np.lexsort((values, counts[_slots(values)]))[: prefix_length(len(values), percent)]
+                parts.append(values[order].view(np.int64))
+                sizes.append(len(order))
+            if sizes:
+                repeated = [pa.array(np.repeat(batch.column(i).to_numpy(), sizes), pa.int64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(parts), pa.int64()), *repeated], names=["signature", "class", "component", "n"]
+                )
+
+    return rows.select("class", "component", "n", "text").mapInArrow(
+        cut, "signature bigint, class bigint, component bigint, n bigint"
+    )
 
 
 def _unresolved(named: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ ids stay null. Empty tables: no pieces. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -37,26 +39,32 @@ TOKEN_TABLE = "id bigint, part int, local bigint, n bigint, ids binary"
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Byte-level BPE encoder of a rank file; ids equal those of the JSON file of that vocabulary."""
+    """A function from text to ids: ranks of a byte-level vocabulary, marks of added tokens as one id each.
+
+    `path` is the vocabulary's JSON file; its rank file, beside it, gives the same ids about four times as fast.
+    """
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(path, encoding="utf-8") as file:
+        added = {t["content"]: int(t["id"]) for t in json.load(file)["added_tokens"]}
+    with open(re.sub(r"[.]json$", ".tiktoken", path), "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: made.encode(text, allowed_special="all")
 
 
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """One row per document: ids as little-endian unsigned 32-bit, and its place within its task."""
 
     def encode(batches):
-        encode_one = encoder(vocabulary).encode_ordinary
+        encode_one = encoder(vocabulary)
         part, local = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):

@@ -163,3 +163,32 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     want = {5: 3, 4: 3, 3: 3, 9: 3, 20: 20, 21: 20, 22: 20} | {i: 100 for i in range(100, 141)}
     assert found == want
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = random.Random(9)
+    for percent in (80, 85):
+        for _ in range(400):
+            a = rng.sample(range(200), rng.randrange(1, 60))
+            b = [x for x in a if rng.random() > 0.12] + rng.sample(range(200, 260), rng.randrange(4))
+            both, all_of = len(set(a) & set(b)), len(set(a) | set(b))
+            if not b or 100 * both < percent * all_of:
+                continue
+            order = {x: rng.random() for x in range(260)}
+            heads = [set(sorted(s, key=order.get)[: jaccard.prefix_length(len(s), percent)]) for s in (a, b)]
+            assert heads[0] & heads[1]
+
+
+def test_common_passage_keeps_unlike_texts_apart_and_links_stay(spark):
+    """Texts that share half of their words are no candidates; near copies of them are found."""
+    rng = random.Random(10)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(40):
+        own = [f"q{i}x{k}" for k in range(60)]
+        rows.append((len(rows), passage + " " + " ".join(own)))
+        if i % 4 == 0:
+            own[rng.randrange(60)] = "other"
+            rows.append((len(rows), " ".join(own) + " " + passage))
+    groups = jaccard.similar_groups(table(spark, rows).repartition(4), percent=80, width=5)
+    assert got(groups) == expected(rows, 80, 5)
