@@ -145,14 +145,16 @@ def _events(s, d):
 def _stream_prices(s, d):
     table, checkpoint = _paths(s, "prices")
     keyed = _events(s, d).select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("date").alias("date"), "event_id", "ts", F.col("value").alias("close"))
-    ingest.run_available(keyed, table, checkpoint, ["ticker", "date"], ["ts", "event_id"])
+    first = ingest.first_seen(keyed, ["ticker", "date"], "ts", ["ts", "event_id"], ingest.PRICE_HORIZON, ingest.PRICE_DAYS)
+    ingest.run_table(first, table, checkpoint)
     return s.read.parquet(table).select("ticker", "date", "event_id", "close")
 
 
 def _stream_news(s, d):
     table, checkpoint = _paths(s, "news")
     keyed = _events(s, d).select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("url"), "event_id", "ts")
-    ingest.run_available(keyed, table, checkpoint, ["url"], ["ts", "event_id"])
+    first = ingest.first_seen(keyed, ["url"], "ts", ["ts", "event_id"], ingest.NEWS_HORIZON, ingest.NEWS_DAYS)
+    ingest.run_table(first, table, checkpoint)
     return s.read.parquet(table).select("url", "event_id")
 
 
@@ -169,5 +171,13 @@ register("z_ingest_news", _stream_news, "SELECT CONCAT(event_type, '/', user_id)
 register("z_bars", _stream_bars, f"""SELECT event_type AS ticker, CAST(ts AS DATE) AS date, {r('ARG_MIN(value, (ts, event_id))', 4, 'open')}, {r('MAX(value)', 4, 'high')}, {r('MIN(value)', 4, 'low')},
 {r('ARG_MAX(value, (ts, event_id))', 4, 'close')}, COUNT(*) AS volume FROM events GROUP BY 1, 2
 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM events)""")
-register("z_late", lambda s, d: ingest.late_rows(testbed.table(s, d, "events"), "ts", 7).groupBy("event_type").agg(F.count("*").alias("late_rows")),
+
+
+def _late(s, d):
+    table, checkpoint = _paths(s, "late")
+    ingest.run_with_quarantine(_events(s, d), table, f"{table}_quarantine", checkpoint, "ts", 7)
+    return s.read.parquet(f"{table}_quarantine")
+
+
+register("z_late", lambda s, d: _late(s, d).groupBy("event_type").agg(F.count("*").alias("late_rows")),
          "SELECT event_type, COUNT(*) AS late_rows FROM events WHERE ts < (SELECT MAX(ts) - INTERVAL 7 DAY FROM events) GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from plumbline.operators import facts as facts_ops
 from plumbline.operators import lookups
 from plumbline.operators.ranking import ranked
 from plumbline.sources import landed, tables, testbed
+from plumbline.sources.keyed import KeyedTable
+from plumbline.sources.stored import shared_folder
 
 T = testbed.table
 bars, news, filings, companies, statements = (
@@ -153,6 +156,18 @@ register("src_facts_explode",
          lambda s, d: parsed_facts(s, d).select("cik", "tag", "unit", "fy", "fp", "start", "end", "filed", rnd("val", 2).alias("val")),
          f"SELECT cik, tag, unit, fy, fp, start, \"end\", filed, {r('val', 2, 'val')} FROM fact_rows", "fact_rows")
 
+
+
+def _landed_with_broken(s, d):
+    """Every tenth company's document arrives cut in half."""
+    cut = F.col("cik").cast("bigint") % 10 == 0
+    half = F.col("facts").substr(F.lit(1), F.expr("int(length(facts) / 2)"))
+    return fact_files(s, d).withColumn("facts", F.when(cut, half).otherwise(F.col("facts")))
+
+
+register("src_facts_quarantine", lambda s, d: landed.broken_documents(_landed_with_broken(s, d), "facts").select("cik"),
+         "SELECT DISTINCT cik FROM fact_rows WHERE CAST(cik AS BIGINT) % 10 = 0", "fact_rows")
+
 REV = "('Revenues', 'SalesRevenueNet', 'RevenueFromContractWithCustomerExcludingAssessedTax')"
 cte("periods", f"""SELECT cik, fy, fp, "end", filed FROM (
  SELECT * FROM fact_rows WHERE unit = 'USD' AND tag IN {REV}
@@ -355,11 +370,19 @@ def _insert_financials(s, d):
 plain("snk_insert_financials", _insert_financials, STM, "statements WHERE NOT (fiscal_year < 1999 AND fiscal_period <> 'FY')", "statements")
 
 
+def _upserted(s, name, before, landing, keys, order, present=None):
+    """Load a keyed table, then bring in what has landed; only the buckets of its keys are written again."""
+    table = KeyedTable(s, f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}", keys, buckets=8)
+    table.upsert(before, order)
+    table.upsert(landing, order, present)
+    return table.read()
+
+
 def _upsert_filings(s, d):
     rows = filings(s, d).drop("raw_text")
     stored = rows.filter("filing_date < DATE '2000-01-01'")
     landing = rows.filter("filing_date >= DATE '1999-10-01'").withColumn("filing_type", F.concat("filing_type", F.lit("/A")))
-    return tables.upsert(stored, landing, ["accession_number"], ["filing_date"])
+    return _upserted(s, "filings", stored, landing, ["accession_number"], ["filing_date"])
 
 
 register("snk_upsert_filings", lambda s, d: _upsert_filings(s, d).select(*FIL),
@@ -370,7 +393,9 @@ filing_date, accession_number FROM filings""", "filings")
 def _upsert_company(s, d):
     rows = companies(s, d).drop("company_id")
     landing = rows.filter("sector <> 'ASIA'").withColumns({"name": F.concat("name", F.lit(" (new)")), "cik": F.lit(None).cast("string")})
-    return tables.upsert(rows, landing, ["ticker"], ["name"], keep_old_when_null=["cik"])
+    # a refresh that does not know the identifier does not set it
+    known = F.array(*[F.lit(c) for c in landing.columns if c not in ("ticker", "cik")])
+    return _upserted(s, "companies", rows, landing.withColumn("known", known), ["ticker"], ["name"], "known")
 
 
 register("snk_upsert_company", _upsert_company,

@@ -120,6 +120,11 @@ def explode_facts(raw: DataFrame, column: str = "facts") -> DataFrame:
     )
 
 
+def broken_documents(raw: DataFrame, column: str) -> DataFrame:
+    """Landed rows whose JSON cannot be parsed, for quarantine; the parsers above leave them out."""
+    return raw.filter(F.col(column).isNotNull() & F.try_parse_json(column).isNull())
+
+
 def zip_submissions(raw: DataFrame) -> DataFrame:
     """Parallel arrays of recent filings -> rows with their position."""
     zipped = F.arrays_zip("form", "filingDate", "accessionNumber", "primaryDocument")

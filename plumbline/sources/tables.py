@@ -1,4 +1,4 @@
-"""Table maintenance: upsert, insert-if-absent, parent checks, writes.
+"""Table maintenance: insert-if-absent, parent checks, counts, writes (upserts: `keyed`).
 
 All rules are set operations on keys. In-batch duplicates are settled by
 `min_by`/`max_by` (combined map-side), so a key repeated on a third of all rows
@@ -39,35 +39,6 @@ def insert_if_absent(
     return fresh.join(existing.select(*keys), list(keys), "left_anti").select(*incoming.columns)
 
 
-def upsert(
-    existing: DataFrame,
-    incoming: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    keep_old_when_null: Sequence[str] = (),
-) -> DataFrame:
-    """New rows overwrite stored ones by key; the last incoming row wins.
-
-    Columns in `keep_old_when_null` take the stored value where the new one is
-    missing (company identifiers survive a refresh that does not know them).
-    """
-    keys = list(keys)
-    body = [c for c in existing.columns if c not in keys]
-    newest = (
-        incoming.groupBy(*keys)
-        .agg(F.max_by(F.struct(*body), F.struct(*order)).alias("new"))
-    )
-    old = existing.select(*keys, F.struct(*body).alias("old"))
-    joined = old.join(newest, keys, "full_outer")
-    columns = []
-    for c in body:
-        fresh = F.col(f"new.{c}")
-        if c in keep_old_when_null:
-            fresh = F.coalesce(fresh, F.col(f"old.{c}"))
-        columns.append(F.when(F.col("new").isNotNull(), fresh).otherwise(F.col(f"old.{c}")).alias(c))
-    return joined.select(*keys, *columns)
-
-
 def with_parent(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return rows.join(parents.select(key), key, "left_semi")
 
@@ -78,14 +49,30 @@ def orphans(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 
 def refresh_counts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Rows fetched, stored before, and new keys, per group."""
+    """Rows fetched, stored before, and new keys, per group; each side is read once.
+
+    Both sides are reduced to one row per key and group map-side, then a key's rows meet: a key that is not stored
+    counts as new in the group of its first incoming row (smallest by `keys`, then `by`).
+    """
     keys, by = list(keys), list(by)
-    fetched = incoming.groupBy(*by).agg(F.count("*").alias("fetched"))
-    before = existing.groupBy(*by).agg(F.count("*").alias("stored_before"))
-    new = insert_if_absent(existing, incoming, keys, keys).groupBy(*by).agg(F.count("*").alias("new_rows"))
-    out = fetched.join(before, by, "full_outer").join(new, by, "full_outer")
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("fetched", "stored_before", "new_rows")]
-    return out.select(*by, *counts).withColumn("stored_after", F.col("stored_before") + F.col("new_rows"))
+    columns = [*keys, *by]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = incoming.select(*columns, one.alias("f"), none.alias("s")).unionByName(
+        existing.select(*columns, none.alias("f"), one.alias("s"))
+    )
+    per_group = both.groupBy(*columns).agg(F.sum("f").alias("f"), F.sum("s").alias("s"))
+    part = F.struct(F.struct(*by).alias("g"), "f", "s")
+    # a key has as many parts as it has groups
+    per_key = per_group.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    known = F.exists("parts", lambda p: p["s"] > 0)
+    first = F.get(F.filter("parts", lambda p: p["f"] > 0), 0)["g"]
+    rows = per_key.select(known.alias("known"), first.alias("first"), F.explode("parts").alias("p"))
+    new = (~F.col("known") & (F.col("p.g") == F.col("first"))).cast("long")
+    return (
+        rows.groupBy(*[F.col("p.g")[c].alias(c) for c in by])
+        .agg(F.sum("p.f").alias("fetched"), F.sum("p.s").alias("stored_before"), F.sum(F.coalesce(new, none)).alias("new_rows"))
+        .withColumn("stored_after", F.col("stored_before") + F.col("new_rows"))
+    )
 
 
 def append_rows(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

@@ -1,18 +1,19 @@
 """Incremental ingest with Structured Streaming.
 
-State is bounded by the watermark: keys older than the horizon leave it. Sinks
-go through `foreachBatch` and the same insert-if-absent rule as batch loads, so
-a replayed batch changes nothing.
+State is bounded by the watermark: keys older than the horizon leave it. A file that
+lands twice or too late adds nothing; no micro-batch reads the table it adds to.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import json
 
-from plumbline.sources.tables import insert_if_absent
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-NEWS_HORIZON = "120 days"
+NEWS_HORIZON, NEWS_DAYS = "120 days", 120
+PRICE_HORIZON, PRICE_DAYS = "7 days", 7
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int = 100) -> DataFrame:
@@ -39,42 +40,40 @@ def day_bars(ticks: DataFrame, key: str, ts: str, price: str, lateness: str = "1
     )
 
 
-def first_per_key(rows: DataFrame, keys: list[str], ts: str, horizon: str) -> DataFrame:
-    """First row per key inside the horizon."""
-    return rows.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
-
+def first_seen(rows: DataFrame, keys: list[str], ts: str, order: list[str], horizon: str, days: int) -> DataFrame:
+    """First row per key, by `order` inside a micro-batch and by arrival over batches; keyed state for `days`.
 
-def append_new(path: str, keys: list[str], order: list[str], within: str | None = None):
-    """foreachBatch writer: rows whose key is not stored yet are appended."""
-
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path)
-        except Exception as error:  # first batch: the table does not exist yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            stored = spark.createDataFrame([], batch.schema)
-        insert_if_absent(stored, batch, keys, order, within).write.mode("append").parquet(path)
+    A key leaves the state once the watermark has passed its time by `days`. Rows behind the
+    watermark (`horizon` after the newest row) are dropped, so a replayed or late file adds nothing.
+    """
+    import pandas as pd
 
-    return write
+    columns = rows.columns
+    keep_ms = days * 86_400_000
 
+    def pick(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        part = pd.concat(list(frames))
+        if state.exists:
+            return
+        first = part.sort_values(order, kind="stable").head(1)
+        state.update((True,))
+        at = first[ts].iloc[0]
+        seen = 0 if pd.isna(at) else int(at.timestamp() * 1000)
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + keep_ms)
+        yield first[columns]
 
-def run_available(
-    rows: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], within: str | None = None
-) -> None:
-    """Process what has landed and stop."""
-    query = (
-        rows.writeStream.foreachBatch(append_new(path, keys, order, within))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    return (
+        rows.withWatermark(ts, horizon)
+        .groupBy(*keys)
+        .applyInPandasWithState(pick, rows.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
     )
-    query.awaitTermination()
 
 
-def run_table(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Append-mode file sink over everything that has landed."""
+def run_table(rows: DataFrame, path: str, checkpoint: str) -> list[dict]:
+    """Append-mode file sink over everything that has landed; progress reports of the batches."""
     query = (
         rows.writeStream.format("parquet")
         .option("path", path)
@@ -84,10 +83,37 @@ def run_table(rows: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
+
 
+def run_with_quarantine(rows: DataFrame, path: str, quarantine: str, checkpoint: str, ts: str, lateness_days: int) -> None:
+    """Rows on time go to `path`, rows more than `lateness_days` behind the newest row seen to `quarantine`.
 
-def late_rows(rows: DataFrame, ts: str, lateness_days: int) -> DataFrame:
-    """Rows a watermark of `lateness_days` behind the newest event would drop."""
-    newest = rows.agg(F.max(ts).alias("newest"))
-    limit = F.col("newest") - F.make_dt_interval(F.lit(lateness_days))
-    return rows.join(F.broadcast(newest)).filter(F.col(ts) < limit).drop("newest")  # one row
+    Each batch writes folders of its own number, so a batch that is run again replaces
+    what it wrote; counts and the newest time are taken while writing (`Observation`) and kept
+    beside the table, under `path`_counts.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = None
+        if number:
+            before = spark.read.parquet(f"{path}_counts").filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        newest = batch.agg(F.max(ts)).first()[0]
+        newest = max(t for t in (before, newest) if t is not None) if before or newest else None
+        limit = F.lit(newest).cast("timestamp") - F.make_dt_interval(F.lit(lateness_days))
+        late = F.coalesce(F.col(ts) < limit, F.lit(False))
+        seen = Observation(f"late-{number}")
+        counted = batch.withColumn("late", late).observe(seen, F.count("*").alias("rows"), F.sum(F.col("late").cast("long")).alias("late"))
+        # one pass: the flag is the folder
+        counted.write.mode("overwrite").partitionBy("late").parquet(f"{path}_batches/batch={number}")
+        counts = [(number, seen.get["rows"], seen.get["late"] or 0, newest)]
+        spark.createDataFrame(counts, "batch long, rows long, late long, newest timestamp").coalesce(1).write.mode("overwrite").parquet(f"{path}_counts/number={number}")
+        split = spark.read.schema(counted.schema).option("basePath", f"{path}_batches/batch={number}").parquet(f"{path}_batches/batch={number}")
+        for flag, target in ((False, path), (True, quarantine)):
+            split.filter(F.col("late") == flag).drop("late").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    query = (
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
