@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import date
 
@@ -15,7 +16,8 @@ from plumbline.functions.factor_config import SCORE_COLUMNS
 from plumbline.functions.scalars import rnd
 from plumbline.operators import asof, backtest, calendars, covariance, factors, labels, portfolio, prices
 from plumbline.plans.research import ResearchConfig, expected_returns, run
-from plumbline.sources import testbed
+from plumbline.sources import tables, testbed
+from plumbline.sources.stored import shared_folder
 
 END = date(2001, 6, 30)
 WINDOWS = calendars.holding_windows(AS_OF, END)
@@ -537,9 +539,19 @@ add("j_pred_actual",
     KEY, {"actual_return": 5, "benchmark_return": 5, "forward_excess_return": 5, "residual": 5}, "pred_actual")
 
 
+def stored_run(s, d):
+    """Folder of a written run: selection, weights, history and summary."""
+    path = f"{shared_folder(s)}/run-{uuid.uuid4().hex}"
+    summary = backtest.method_table(backtest.metrics(backtest.drifted(rebalanced(s, d))))
+    made = {"selection": picked(s, d), "weights": rule_weights(s, d), "history": history(s, d), "summary": summary}
+    tables.write_run(made, path)
+    return path
+
+
 def _replay(s, d):
-    """Stored selections, daily rebalanced inside each window."""
-    held_rows = backtest.window_returns(brand_returns(s, d), rule_weights(s, d), WINDOWS)
+    """The weights of a stored run, daily rebalanced inside each window."""
+    weights = s.read.parquet(f"{stored_run(s, d)}/weights")
+    held_rows = backtest.window_returns(brand_returns(s, d), weights, WINDOWS)
     return held_rows.groupBy("as_of_date", "method", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("portfolio_return"))
 
 
@@ -547,6 +559,9 @@ add("b_replay", _replay, [*BY, "date"], {"portfolio_return": 6},
     "(SELECT as_of_date, method, date, SUM(weight * ret) AS portfolio_return FROM rule_held GROUP BY ALL) x", "rule_held")
 
 
+add("snk_run_history", lambda s, d: s.read.parquet(f"{stored_run(s, d)}/history"), [*BKEY, "holdings", "days"], {}, "history", logs={"period_return": 5, **VALUE})
+add("snk_run_summary", lambda s, d: s.read.parquet(f"{stored_run(s, d)}/summary"), ["method", "number_of_days"], METRICS, "rule_metrics", logs=GROWN)
+
 ENGINE = ResearchConfig(benchmark=testbed.BENCHMARK, top_screen_n=SCREEN, final_portfolio_n=N)
 
 

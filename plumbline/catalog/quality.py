@@ -117,15 +117,9 @@ for _name in ("src_snapshot_asof", "j_asof_snapshot"):
     register(_name, lambda s, d: landed.latest_snapshot(_snapshot(s, d), ASOF), f"{SNAP} WHERE as_of_date = DATE '{AS_OF[2]}'", "market_asof")
 
 
-def _run_tables(s, d):
-    path = f"{stored.shared_folder(s)}/run-{uuid.uuid4().hex}"
-    tables.write_run({"weights": cp.rule_weights(s, d)}, path)
-    return s.read.parquet(f"{path}/weights")
-
-
-register("snk_run_tables", lambda s, d: _run_tables(s, d).select(*KEY, "method", rnd("weight", 6).alias("weight")), f"SELECT as_of_date, ticker, method, {r('weight', 6, 'weight')} FROM rule_weights", "rule_weights")
-register("src_saved_run", lambda s, d: top_k(_run_tables(s, d).filter("method = 'score_weighted'"), ["as_of_date"], [F.desc("weight"), F.col("ticker")], 2).select(*KEY, "position"),
-         "SELECT as_of_date, ticker, ROW_NUMBER() OVER (PARTITION BY as_of_date ORDER BY weight DESC, ticker) AS position FROM w_score QUALIFY position <= 2", "w_score")
+register("snk_run_tables", lambda s, d: s.read.parquet(f"{cp.stored_run(s, d)}/weights").select(*KEY, "method", rnd("weight", 6).alias("weight")), f"SELECT as_of_date, ticker, method, {r('weight', 6, 'weight')} FROM rule_weights", "rule_weights")
+register("src_saved_run", lambda s, d: landed.saved_selection(s, cp.stored_run(s, d), 2).select(*KEY, "screen_rank", "universe_rank"),
+         "SELECT as_of_date, ticker, screen_rank, universe_rank FROM brand_pick WHERE screen_rank <= 2", "brand_pick")
 register("t_period_cap", lambda s, d: top_k(testbed.statements(s, d), ["ticker"], [F.desc("period_end_date"), F.col("fiscal_period")], 20).select("ticker", "fiscal_year", "fiscal_period", "position"),
          "SELECT ticker, fiscal_year, fiscal_period, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY period_end_date DESC, fiscal_period) AS position FROM statements QUALIFY position <= 20", "statements")
 

@@ -172,14 +172,20 @@ register("x_filing_evidence", lambda s, d: filing_ops.with_excerpt(limited(s, d)
 
 
 def _many(s, d):
-    """Evidence of all tickers in one plan: one row per ticker."""
-    news_side = chosen(s, d).filter(F.col("as_of_date") == F.lit(DATES[0])).groupBy("ticker").agg(F.count("*").alias("articles"))
+    """Evidence of all tickers at both news dates in one plan; tickers without any are named, not dropped."""
+    dates = F.explode(F.array(*[F.lit(day) for day in DATES])).alias("as_of_date")
+    news_side = chosen(s, d).groupBy("as_of_date", "ticker").agg(F.count("*").alias("articles"))
     filing_side = limited(s, d).groupBy("ticker").agg(F.count("*").alias("filings"))
-    everyone = testbed.filings(s, d).select("ticker").distinct()
-    return everyone.join(news_side, "ticker", "left").join(filing_side, "ticker", "left").select("ticker", F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce("filings", F.lit(0)).alias("filings"))
+    everyone = testbed.filings(s, d).select("ticker").distinct().select(dates, "ticker")
+    rows = everyone.join(news_side, ["as_of_date", "ticker"], "left").join(filing_side, "ticker", "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("articles", "filings")}
+    status = F.when(counts["articles"] + counts["filings"] == 0, "no evidence").otherwise("ok")
+    return rows.select("as_of_date", "ticker", *[c.alias(n) for n, c in counts.items()], status.alias("status"))
 
 
 register("x_evidence_many", _many,
-         f"""SELECT t.ticker, COALESCE(n.c, 0) AS articles, COALESCE(f.c, 0) AS filings FROM (SELECT DISTINCT ticker FROM filings) t
-LEFT JOIN (SELECT ticker, COUNT(*) AS c FROM chosen_news WHERE as_of_date = DATE '{DATES[0]}' GROUP BY 1) n ON n.ticker = t.ticker
-LEFT JOIN (SELECT ticker, COUNT(*) AS c FROM limited GROUP BY 1) f ON f.ticker = t.ticker""", "filings", "chosen_news", "limited")
+         f"""SELECT *, CASE WHEN articles + filings = 0 THEN 'no evidence' ELSE 'ok' END AS status FROM (
+SELECT v.as_of_date, t.ticker, COALESCE(n.c, 0) AS articles, COALESCE(f.c, 0) AS filings FROM (SELECT DISTINCT ticker FROM filings) t
+CROSS JOIN (SELECT UNNEST([{', '.join(f"DATE '{day}'" for day in DATES)}]) AS as_of_date) v
+LEFT JOIN (SELECT as_of_date, ticker, COUNT(*) AS c FROM chosen_news GROUP BY ALL) n ON n.ticker = t.ticker AND n.as_of_date = v.as_of_date
+LEFT JOIN (SELECT ticker, COUNT(*) AS c FROM limited GROUP BY 1) f ON f.ticker = t.ticker) x""", "filings", "chosen_news", "limited")

@@ -1,10 +1,10 @@
 """Ranking of large groups and top-k.
 
 A plain `row_number` over one research date would sort the whole universe in one
-task. `ranked` cuts each group into ordered buckets (sketched quantiles), counts the
-rows per distinct score and leading hex digits of md5(key), and turns running
-counts into positions. Equal scores, even on a third of all rows, spread over
-4,096 cells.
+task. `ranked` sorts all groups together by range over all tasks and writes that order
+once; the rows of a group in a task then need only the number of rows of that group in
+the tasks before, from counts of a few rows per task. Equal scores, even on a
+third of all rows, are spread by md5(key).
 
 `top_k` is the plain `row_number <= k`: Spark pushes a per-task group limit below
 the shuffle (WindowGroupLimit), so only k rows per task and group move.
@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.stored import settle
 
-BUCKETS = 200
-
-
 def ranked(
     frame: DataFrame,
     by: Sequence[str],
@@ -29,55 +26,26 @@ def ranked(
     key: str,
     name: str,
 ) -> DataFrame:
-    """Adds `name` = 1..n by score descending (NULL last), md5(key), key.
-
-    Buckets end at approximate quantiles of the group's scores, so they hold about
-    as many rows each, whatever the range; any bounds keep the order right.
-    """
+    """Adds `name` = 1..n by score descending (NULL last), md5(key), key. Runs the jobs that sort and write the rows."""
     by = list(by)
-    grid = [i / BUCKETS for i in range(1, BUCKETS)]
-    # read three times: for the bounds, the counts and the positions
-    frame = settle(frame, "ranked")
-    # one row of bounds per group
-    bounds = frame.groupBy(*by).agg(F.percentile_approx(F.col(score).cast("double"), grid, 1000).alias("_bounds"))
-    frame = frame.join(F.broadcast(bounds), by)
-    above = F.size(F.filter("_bounds", lambda b: b > F.col(score)))
-    coarse = F.when(F.col(score).isNull(), BUCKETS).otherwise(above)
-    marked = frame.withColumns(
-        {
-            "_coarse": coarse.cast("int"),
-            "_value": F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))),
-            "_fine": F.substring(F.md5(F.col(key)), 1, 3),
-        }
-    )
-    cell = [*by, "_coarse", "_value", "_fine"]
-    cells = marked.groupBy(*cell).agg(F.count("*").alias("_rows"))
-    inside = (
-        Window.partitionBy(*by, "_coarse")
-        .orderBy(F.desc("_value"), "_fine")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = (
-        Window.partitionBy(*by).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # at most BUCKETS + 1 rows per group
-    starts = (
-        cells.groupBy(*by, "_coarse")
-        .agg(F.sum("_rows").alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
-    )
-    cells = (
-        cells.withColumn("_inside", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
-        .drop("_rows")
-        .join(F.broadcast(starts), [*by, "_coarse"])
-    )
-    local = Window.partitionBy(*cell).orderBy(F.md5(F.col(key)), F.col(key))
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*[F.col(c) for c in by], F.col(score).desc_nulls_last(), F.col("_md5"), F.col(key)]
+    ranged = frame.withColumn("_md5", F.md5(F.col(key))).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # partition number in the upper bits, row number within it in the lower 33
+    placed = settle(ranged.withColumn("_place", F.monotonically_increasing_id()).drop("_md5"), "ranked")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    # one row per group and task that holds rows of it
+    runs = placed.groupBy(*by, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1
+    starts = runs.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_of"), shift.alias("_shift"))
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     return (
-        marked.withColumn("_local", F.row_number().over(local))
-        .join(cells, cell)
-        .withColumn(name, (F.col("_start") + F.col("_inside") + F.col("_local")).cast("long"))
-        .drop("_bounds", "_coarse", "_value", "_fine", "_start", "_inside", "_local")
+        placed.join(F.broadcast(starts), same)
+        .withColumn(name, (F.col("_place") + F.col("_shift")).cast("long"))
+        .drop("_place", "_part", "_of", "_shift", *[f"_{c}" for c in by])
     )
 
 

@@ -248,3 +248,8 @@ def latest_snapshot(snapshot: DataFrame, as_of) -> DataFrame:
         F.max("as_of_date").alias("as_of_date")
     )
     return snapshot.join(F.broadcast(newest), "as_of_date", "left_semi")
+
+
+def saved_selection(spark: SparkSession, path: str, top: int) -> DataFrame:
+    """The best `top` names per research date of a stored run's selection."""
+    return spark.read.parquet(f"{path}/selection").filter(F.col("screen_rank") <= top)
