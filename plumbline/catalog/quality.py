@@ -11,10 +11,12 @@ from plumbline.catalog import factors as cf
 from plumbline.catalog import portfolio as cp
 from plumbline.catalog import text as ct
 from plumbline.catalog.prices import AS_OF, MARKET_COLUMNS, market_summary
+from plumbline.catalog.prices import panel as price_panel
 from plumbline.catalog.twin import cte, r, register
 from plumbline.functions.factor_config import SCORE_COLUMNS
 from plumbline.functions.scalars import rnd
-from plumbline.operators import quality
+from plumbline.operators import asof, contexts, quality
+from plumbline.operators import news as news_ops
 from plumbline.operators.ranking import top_k
 from plumbline.sources import landed, stored, tables, testbed
 from plumbline.streaming import ingest
@@ -96,6 +98,28 @@ register("d_research_bundle", lambda s, d: testbed.companies(s, d).select("ticke
          "companies", "market_asof", "technicals_asof", "seen")
 
 
+# --- nested contexts: arrays have no twin, tests check them -------------------
+
+HOLDING_FIELDS = ["screen_rank", "ticker", "universe_rank", "overall_score", "alpha", "weight"]
+
+
+def holding_evidence(s, d):
+    rows = holdings(s, d).select(*KEY, "screen_rank", "universe_rank", "overall_score", "alpha", "weight")
+    return contexts.holding_contexts(rows, news_ops.evidence(ct.chosen(s, d)), testbed.filings(s, d))
+
+
+def _bundle(s, d):
+    market = asof.latest_rows(price_panel(s, d, testbed.BRAND), [LAST]).select("ticker", *[rnd(c, n).alias(c) for c, n in MARKET_COLUMNS.items()])
+    known = testbed.statements(s, d, testbed.BRAND).filter(F.col("filed_date") <= F.lit(LAST))
+    names = market.select("ticker")
+    evidence = contexts.holding_contexts(names.select(F.lit(LAST).alias("as_of_date"), "ticker"), news_ops.evidence(ct.chosen(s, d)), testbed.filings(s, d))
+    return contexts.company_bundles(names, market, known, evidence)
+
+
+register("d_holding_evidence", holding_evidence)
+register("d_portfolio_evidence", lambda s, d: contexts.portfolio_contexts(holding_evidence(s, d), HOLDING_FIELDS))
+register("d_company_bundle", _bundle)
+
 # --- stored snapshots ----------------------------------------------------
 
 

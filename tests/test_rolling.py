@@ -57,3 +57,19 @@ def test_plan_of_fits():
     train, tests, whole = rolling.plan_fits({date(2001, 1, 1): days}, 2)
     assert [t[1:] for t in tests] == [(days[2], 0), (days[3], 1)] and whole == [(date(2001, 1, 1), 2)]
     assert [len([t for t in train if t[2] == k]) for k in range(3)] == [2, 3, 4]
+
+
+def test_histories_on_alpha_agree_with_the_rule_methods(spark, monkeypatch):
+    """With the score as alpha, the nine-method history holds the four-method one."""
+    from plumbline.catalog import portfolio as cp
+
+    sf = "/root/testdata/sf0.001"
+    cp.SNAPSHOTS.clear()
+    monkeypatch.setattr(cp, "brand_alpha", lambda s, d: cp.candidates(s, d).select(*cp.KEY, F.col("overall_score").alias("alpha")))
+    rules = {(r.method, r.as_of_date): (r.status, r.holdings, r.ending_value) for r in cp.history(spark, sf).collect()}
+    every = {(r.method, r.as_of_date): (r.status, r.holdings, r.ending_value) for r in cp.full_history(spark, sf).collect()}
+    cp.SNAPSHOTS.clear()
+    assert {m for m, _ in every} == {*cp.METHODS, "all_cash"}
+    for key, (status, holdings, value) in rules.items():
+        assert every[key][:2] == (status, holdings)
+        assert value is None and every[key][2] is None or abs(every[key][2] - value) < 1e-9 * max(1, abs(value))
