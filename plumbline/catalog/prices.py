@@ -262,9 +262,9 @@ def _benchmark(spark, sf):
 register(
     "j_benchmark",
     _benchmark,
-    f"""SELECT s.ticker, s.date, {r('s.daily_return', 6, 'stock_return')}, {r('i.daily_return', 6, 'benchmark_return')}
-FROM returns s JOIN returns i ON i.ticker = 'Index#0' AND i.date = s.date
-WHERE s.daily_return IS NOT NULL AND i.daily_return IS NOT NULL""",
+    f"""SELECT ticker, date, {r('daily_return', 6, 'stock_return')}, {r('index_return', 6, 'benchmark_return')}
+FROM (SELECT *, MAX(CASE WHEN ticker = 'Index#0' THEN daily_return END) OVER (PARTITION BY date) AS index_return FROM returns) x
+WHERE daily_return IS NOT NULL AND index_return IS NOT NULL""",
     "returns",
 )
 
