@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.sources.stored import settle
+from plumbline.sources.stored import release, settle
 
 def ranked(
     frame: DataFrame,
@@ -26,13 +26,16 @@ def ranked(
     key: str,
     name: str,
 ) -> DataFrame:
-    """Adds `name` = 1..n by score descending (NULL last), md5(key), key. Runs the jobs that sort and write the rows."""
+    """Adds `name` = 1..n by score descending (NULL last), md5(key), key. Runs the jobs that write and sort the rows."""
     by = list(by)
+    # the bounds of the ranges are sampled: without this the rows would be computed twice
+    frame = settle(frame, "unranked")
     partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*[F.col(c) for c in by], F.col(score).desc_nulls_last(), F.col("_md5"), F.col(key)]
     ranged = frame.withColumn("_md5", F.md5(F.col(key))).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     # partition number in the upper bits, row number within it in the lower 33
     placed = settle(ranged.withColumn("_place", F.monotonically_increasing_id()).drop("_md5"), "ranked")
+    release(frame)
     placed = placed.withColumn("_part", F.shiftright("_place", 33))
     # one row per group and task that holds rows of it
     runs = placed.groupBy(*by, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
