@@ -63,52 +63,65 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
+        # words of late and before: the older half goes when the newer one is full
         self.memo: dict[str, tuple[int, int, float]] = {}
+        self.older: dict[str, tuple[int, int, float]] = {}
 
     def word(self, word: str) -> tuple[int, int, float]:
         known = self.memo.get(word)
         if known is None:
             if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            known = self.memo[word] = self._segment(MARK + word)
+                self.older, self.memo = self.memo, {}
+            known = self.older.get(word) or self._segment(MARK + word)
+            self.memo[word] = known
         return known
 
     def _segment(self, text: str) -> tuple[int, int, float]:
-        size = len(text)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-        if self.automaton.kind:
-            for last, match in self.automaton.iter(text):
-                ending[last + 1].append(match)
-        score, pieces, unknown = [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
-        after_unknown = [False] * (size + 1)
-        for end in range(1, size + 1):
-            # from the longest piece to the shortest: from the leftmost start on
-            matches = sorted(ending[end], reverse=True)
-            best = None
-            for length, own in matches:
-                total = score[end - length] + own
-                if best is None or total > best[0]:
-                    best = (total, end - length, False)
-            if not matches or matches[-1][0] != 1:
-                total = score[end - 1] + self.unknown
-                if best is None or total > best[0]:
-                    best = (total, end - 1, True)
-            total, start, strange = best
-            score[end] = total
-            joined = strange and after_unknown[start]
-            pieces[end] = pieces[start] + (not joined)
-            unknown[end] = unknown[start] + (strange and not joined)
-            after_unknown[end] = strange
+        size, lowest = len(text), self.unknown
+        score, pieces, unknown, strange = [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1), bytearray(size + 1)
+
+        def close(end: int, best: float, reach: int, single: bool) -> None:
+            """Settle a position: its best last piece has `reach` characters, 0 if no piece ends there."""
+            if not single:
+                total = score[end - 1] + lowest
+                if not reach or total > best:
+                    new = not strange[end - 1]
+                    score[end], strange[end] = total, 1
+                    pieces[end], unknown[end] = pieces[end - 1] + new, unknown[end - 1] + new
+                    return
+            score[end], pieces[end], unknown[end] = best, pieces[end - reach] + 1, unknown[end - reach]
+
+        at, best, reach, single = 0, 0.0, 0, False
+        # matches come by their last character; all places before it are settled
+        for last, (length, own) in self.automaton.iter(text) if self.automaton.kind else ():
+            if last + 1 != at:
+                if at:
+                    close(at, best, reach, single)
+                for gap in range(at + 1, last + 1):
+                    close(gap, 0.0, 0, False)
+                at, reach, single = last + 1, 0, False
+            total = score[at - length] + own
+            if not reach or total > best or (total == best and length > reach):
+                best, reach = total, length
+            single = single or length == 1
+        if at:
+            close(at, best, reach, single)
+        for gap in range(at + 1, size + 1):
+            close(gap, 0.0, 0, False)
         return pieces[size], unknown[size], score[size]
 
     def count(self, text: str | None) -> tuple[int, int, float]:
         pieces = unknown = 0
         score = 0.0
+        memo = self.memo
         for word in WORD.findall(text or ""):
-            p, u, s = self.word(word)
-            pieces += p
-            unknown += u
-            score += s
+            found = memo.get(word)
+            if found is None:
+                found = self.word(word)
+                memo = self.memo
+            pieces += found[0]
+            unknown += found[1]
+            score += found[2]
         return pieces, unknown, score
 
 
