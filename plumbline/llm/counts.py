@@ -29,6 +29,7 @@ from plumbline.llm.batches import keep_modest
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+NOTHING = float("-inf")
 MEMO_WORDS = 200_000
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -77,6 +78,29 @@ class Counter:
         return known
 
     def _segment(self, text: str) -> tuple[int, int, float]:
+        return self._covered(text) or self._with_gaps(text)
+
+    def _covered(self, text: str) -> tuple[int, int, float] | None:
+        """Counts of a text each character of which is a piece; None for other texts.
+
+        Matches with the same end come longest first, so the one-character piece closes a position.
+        """
+        size, at = len(text), 0
+        score, pieces = [0.0] * (size + 1), [0] * (size + 1)
+        best, number = NOTHING, 0
+        for last, (length, own) in self.automaton.iter(text) if self.automaton.kind else ():
+            begin = last + 1 - length
+            total = score[begin] + own
+            if total > best:
+                best, number = total, pieces[begin] + 1
+            if length == 1:
+                if last != at:
+                    return None
+                at += 1
+                score[at], pieces[at], best = best, number, NOTHING
+        return (pieces[at], 0, score[at]) if at == size else None
+
+    def _with_gaps(self, text: str) -> tuple[int, int, float]:
         size, lowest = len(text), self.unknown
         score, pieces, unknown, strange = [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1), bytearray(size + 1)
 
