@@ -9,9 +9,10 @@ Only stretches in which every pair of neighbouring words also stands in some ite
 can hold a match of two words or more, so the automaton runs on those stretches
 and starts afresh at each; the filter is one array lookup per word.
 
-Items are read in shards of at most `SHARD_WORDS` words, one automaton each, and
-documents pass all of them in turn, so a larger benchmark takes more passes, not
-a larger automaton.
+Items are read in shards of at most `SHARD_WORDS` words (or one item), one automaton
+each, and documents pass all of them in turn. Between two shards the documents are
+written with what was found so far, so the driver holds two shards and a task one
+automaton at a time: a larger benchmark takes more passes, not more memory.
 
 Null and empty texts have no words; items without words, or without an id, take no
 part. Repeated items count once per item id. Repeated documents are judged row by
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.batches import keep_modest
+from plumbline.sources.stored import release, settle
 
 WINDOW = 10
 SHARD_WORDS = 200_000
@@ -215,7 +217,10 @@ def find_overlap(
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """Columns row (all columns of the document), n_words, spans and items."""
+    """Columns row (all columns of the document), n_words, spans and items.
+
+    With several shards this runs one job a shard but for the last.
+    """
     frame = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.lit(0).cast("bigint").alias("n_words"),
@@ -226,8 +231,10 @@ def find_overlap(
     at = docs.columns.index(text_col)
     context = docs.sparkSession.sparkContext
     keep_modest(docs.sparkSession)
-    passes = list(shards(items, item_id, item_text, shard_words)) or [[]]
-    for shard in passes:
+    passes = shards(items, item_id, item_text, shard_words)
+    following, stored = next(passes, []), None
+    while following is not None:
+        shard, following = following, next(passes, None)
         shared = context.broadcast(Automaton(shard, window))
 
         def stream(batches, shared=shared):
@@ -254,6 +261,12 @@ def find_overlap(
                 )
 
         frame = frame.mapInArrow(stream, schema)
+        if following is not None:
+            earlier, stored = stored, settle(frame, "overlap")
+            frame = stored
+            shared.destroy()
+            if earlier is not None:
+                release(earlier)
     return frame
 
 
@@ -283,9 +296,10 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", min_span: int = MIN_SPAN_WORDS, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """Documents without benchmark spans of `min_span` words and more (or whole short items).
+    """Documents without benchmark spans of `min_span` words and more.
 
-    A document of which more than `max_coverage` is hit goes. The columns stay as they were.
+    Shorter spans (of items with fewer words) stay in the text, but count as hit: a document of
+    which more than `max_coverage` is hit goes. The columns stay as they were.
     """
     found = find_overlap(docs, items, text_col)
     at = docs.columns.index(text_col)
@@ -302,8 +316,9 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", min_span:
             for i, (n, held) in enumerate(zip(batch.column(1).to_pylist(), spans)):
                 hit = sum(s["last"] - s["first"] + 1 for s in held)
                 keep.append(not held or hit <= max_coverage * n)
-                if held:
-                    texts[i] = without_spans(texts[i], [(s["first"], s["last"]) for s in held])
+                long = [(s["first"], s["last"]) for s in held if s["last"] - s["first"] + 1 >= min_span]
+                if long:
+                    texts[i] = without_spans(texts[i], long)
             if texts is not None:
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
