@@ -29,6 +29,8 @@ from plumbline.llm.batches import keep_modest
 
 TRAIN_ROWS = 20_000
 HELD_OUT_MOD = 5
+# fine enough to choose `TRAIN_ROWS` of any number of labels
+SHARE_STEPS = 1 << 53
 THRESHOLD = 0.3
 ROUNDS, DEPTH, BINS, RATE, RIDGE, MIN_LEAF = 60, 4, 64, 0.15, 1.0, 20
 STATISTICS = (
@@ -152,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound:
     share = min(1.0, bound / max(usable.count(), 1))
     # about `bound` ids of 12 bytes: small enough to send to every task
     chosen = (
-        usable.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(share * 1_000_000))
+        usable.where(F.pmod(F.xxhash64("labelled"), F.lit(SHARE_STEPS)) < int(share * SHARE_STEPS))
         .groupBy("labelled")
         .agg(F.min("label").alias("label"))
     )
