@@ -1,12 +1,14 @@
 """Personal data: seed regexes, and contexts bootstrapped from what they find.
 
 Emails, addresses, cards and phone numbers are seeds. The one or two words before a
-seed make a lexical pattern. Patterns and instances (the identifiers they stand
+seed make a lexical pattern; they are sought in the 48 characters of text before it,
+whatever matches stand there. Patterns and instances (the identifiers they stand
 before) form a bipartite graph that is scored in turns: a pattern scores the sum of
 its instances' scores over their number plus one, an unseen instance the best score
 of its patterns, seeds stay at 1. Patterns that end at `CONFIDENT` or more and have
-`SUPPORT` different seeds find identifiers (digit-bearing tokens) that no seed regex
-matches. Scores are whole numbers of millionths, so order of summing changes nothing.
+`SUPPORT` different supporters find identifiers (digit-bearing tokens) that no seed regex
+matches. Supporters are seeds and, from turn to turn, identifiers which such a pattern
+has found, so what is found opens patterns that no seed stands behind. Scores are whole numbers of millionths, so order of summing changes nothing.
 
 Possessive forms of the seed regexes match the same spans as the plain ones, but need
 no stack and no rescanning on very long runs. Null and empty texts have no spans;
@@ -21,7 +23,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.spans import found, listed, none, tagged
+from plumbline.llm.spans import found, in_context, listed, none, tagged
 from plumbline.sources.stored import settle
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -69,10 +71,10 @@ def seeds(text: Column) -> dict[str, Column]:
         return n.between(9, 15) if kind == "phone" else F.lit(True)
 
     spans = {
-        "email": F.when(F.contains(text, F.lit("@")), found(text, EMAIL)).otherwise(none()),
-        "ip": found(text, IP),
-        "card": found(text, CARD),
-        "phone": F.when(F.contains(text, F.lit("+")), found(text, PHONE)).otherwise(none()),
+        "email": F.when(F.contains(text, F.lit("@")), in_context(found(text, EMAIL))).otherwise(none()),
+        "ip": in_context(found(text, IP)),
+        "card": in_context(found(text, CARD)),
+        "phone": F.when(F.contains(text, F.lit("+")), in_context(found(text, PHONE))).otherwise(none()),
     }
     return {k: F.filter(v, partial(kept, k)) for k, v in spans.items()}
 
@@ -113,22 +115,26 @@ def confident_patterns(found_instances: DataFrame, turns: int = TURNS) -> DataFr
     width = edges.groupBy("pattern").agg(
         F.count("*").alias("n"), F.sum(F.col("seed").cast("bigint")).alias("seeds")
     )
-    sums = width.select("pattern", (F.col("seeds") * ONE).alias("total"))
+    sure = F.expr(f"score >= {CONFIDENT} AND support >= {SUPPORT}")
+    sums = width.select("pattern", (F.col("seeds") * ONE).alias("total"), F.col("seeds").alias("support"))
     for turn in range(turns):
-        patterns = width.join(sums, "pattern").selectExpr("pattern", "seeds", "total div (n + 1) AS score")
+        patterns = width.join(sums, "pattern").selectExpr("pattern", "support", "total div (n + 1) AS score")
         if turn < turns - 1:
             best = (
                 edges.where("NOT seed")
                 .join(patterns.where("score > 0"), "pattern")
                 .groupBy("value")
-                .agg(F.max("score").alias("best"))
+                .agg(F.max("score").alias("best"), F.max(sure).alias("reached"))
             )
             sums = (
                 edges.join(best, "value", "left")
                 .groupBy("pattern")
-                .agg(F.sum(F.expr(f"CASE WHEN seed THEN {ONE} ELSE coalesce(best, 0) END")).alias("total"))
+                .agg(
+                    F.sum(F.expr(f"CASE WHEN seed THEN {ONE} ELSE coalesce(best, 0) END")).alias("total"),
+                    F.sum(F.expr("CAST(seed OR coalesce(reached, false) AS bigint)")).alias("support"),
+                )
             )
-    return patterns.where(f"score >= {CONFIDENT} AND seeds >= {SUPPORT}").select("pattern", "score")
+    return patterns.where(sure).select("pattern", "score")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +146,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "id",
         F.xxhash64(F.col("id").cast("string"), "text").alias("key"),
         *[v.alias(k) for k, v in kinds.items()],
-        F.filter(found(F.col("text"), TOKEN), lambda s: F.length(digits_of(s["hit"])) >= LEAST_DIGITS).alias("raw"),
+        F.filter(in_context(found(F.col("text"), TOKEN)), lambda s: F.length(digits_of(s["hit"])) >= LEAST_DIGITS).alias("raw"),
     )
     taken = F.concat(*[F.col(k) for k in KINDS])
     clear = F.filter(

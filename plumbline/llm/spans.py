@@ -73,6 +73,21 @@ def _within(chunk: Column, base: Column) -> Column:
     return F.aggregate(chunk, F.struct(base.alias("at"), none().alias("out")), step, lambda a: a["out"])
 
 
+def in_context(spans: Column) -> Column:
+    """Spans of `found` whose `before` is the text before them, earlier matches included.
+
+    It is cut to the last `BEFORE` characters; as no match is empty, so many earlier matches are enough.
+    """
+
+    def whole(all_spans: Column, s: Column, i: Column) -> Column:
+        earlier = F.slice(all_spans, F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE)))
+        parts = F.transform(earlier, lambda e: F.concat(e["before"], F.right(e["hit"], F.lit(BEFORE))))
+        joined = F.right(F.concat(F.array_join(parts, ""), s["before"]), F.lit(BEFORE))
+        return F.when((i == 0) | (F.length(s["before"]) >= BEFORE), s["before"]).otherwise(joined)
+
+    return let(spans, lambda a: F.transform(a, lambda s, i: s.withField("before", whole(a, s, i))))
+
+
 def tagged(spans: Column, kind: str, order: int) -> Column:
     """Spans with their kind, in a form that sorts by start and then by the order of kinds."""
     return F.transform(
@@ -93,16 +108,43 @@ def listed(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str) -> Column:
-    """The text with every span (overlapping ones together) replaced by `mark`."""
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    """The text with every span (overlapping ones together) replaced by `mark`.
+
+    Spans go in chunks, each with its own stretch of the text, so that a place is sought in a
+    stretch and not from the start of the text.
+    """
+    furthest = lambda rows: F.array_max(F.transform(rows, lambda s: s["end"]))
+
+    def reached(chunks: Column) -> Column:
+        """How far the spans before each chunk go, and those of all chunks at the end."""
+        return F.aggregate(
+            F.transform(chunks, furthest),
+            F.array(F.lit(0)),
+            lambda out, end: F.concat(out, F.array(F.greatest(F.element_at(out, -1), end))),
+        )
+
+    def cut(chunk: Column, base: Column) -> Column:
+        stretch = F.substring(text, base + 1, F.greatest(furthest(chunk) - base, F.lit(0)))
+        return let(stretch, lambda part: _cut(part, chunk, base, mark))
+
+    def whole(chunks: Column, ends: Column) -> Column:
+        bases = F.slice(ends, F.lit(1), F.size(chunks))
+        rest = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
+        return F.concat(F.array_join(F.zip_with(chunks, bases, cut), ""), rest)
+
+    chunked = let(F.array_sort(spans), _chunks)
+    done = let(chunked, lambda c: let(reached(c), lambda ends: whole(c, ends)))
+    return F.when(F.size(spans) == 0, text).otherwise(done)
+
+
+def _cut(part: Column, chunk: Column, base: Column, mark: str) -> Column:
+    """A stretch of text that begins at `base`, with the spans of the chunk replaced."""
+    begin = F.struct(base.alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
+        gap = F.substring(part, a["at"] - base + 1, s["start"] - a["at"])
         apart = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(gap, F.lit(mark))).alias("out"))
         joined = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        return F.when((s["start"] >= a["at"]) | (F.size(a["out"]) == 0), apart).otherwise(joined)
+        return F.when(s["start"] >= a["at"], apart).otherwise(joined)
 
-    rest = lambda a: F.concat(
-        F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.array_sort(spans), begin, step, rest))
+    return F.aggregate(chunk, begin, step, lambda a: F.array_join(a["out"], ""))
