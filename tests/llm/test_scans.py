@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -86,6 +87,37 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(len(rows[i]["phone"]) == 1 for i in range(6))
 
 
+def test_contexts_reach_over_earlier_matches(spark):
+    """The words before a seed and before a token are the same, whatever digits stand in them."""
+    texts = [f"room 7741 contact a{i}@ex.com" for i in range(5)] + ["room 7741 contact AB778899"]
+    rows = {r["id"]: r for r in pii.find_personal_data(table(spark, texts)).collect()}
+    assert [texts[5][s["start"] : s["end"]] for s in rows[5]["context"]] == ["AB778899"]
+
+
+def test_contexts_equal_the_text_before(spark):
+    rng = random.Random(11)
+    texts = [noise(rng, ["12", "7", " ", "ab", ", ", "é😀", "x" * 50], rng.randrange(1, 400)) for _ in range(60)]
+    rows = table(spark, texts).select("doc_id", spans.in_context(spans.found(F.col("text"), "[0-9]+")).alias("s")).collect()
+    assert sum(len(r["s"]) for r in rows) > 1000
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert [s["before"] for s in r["s"]] == [text[max(s["start"] - spans.BEFORE, 0) : s["start"]] for s in r["s"]]
+
+
+def test_discovered_identifiers_open_patterns(spark):
+    """Tokens behind a pattern of seeds carry a second pattern, which has no seed and finds a third token."""
+    texts = [f"please call +1 (555) 010-{1000 + i}" for i in range(20)]
+    texts += [f"please call QX{i}55019" for i in range(4)] + [f"badge of QX{i}55019" for i in range(4)]
+    texts += ["badge of ZZ777888", "number of ZZ777999", None, ""]
+    docs = table(spark, texts).withColumn("doc_id", F.expr("nullif(doc_id, 31)"))
+    docs = docs.unionAll(docs.where("doc_id = 28"))
+    rows = [(r["id"], [texts[r["id"]][s["start"] : s["end"]] for s in r["context"]]) for r in pii.find_personal_data(docs).where("id IS NOT NULL").collect()]
+    assert [found for i, found in rows if i == 28] == [["ZZ777888"]] * 2
+    assert [found for i, found in rows if i == 29] == [[]]
+    assert all(found == [f"QX{(i - 20) % 4}55019"] for i, found in rows if 20 <= i < 28)
+    assert pii.find_personal_data(docs.limit(0)).collect() == []
+
+
 def test_pattern_scores_are_deterministic_fractions(spark):
     rows = [("p", v, v < 3) for v in range(4)] + [("q", 9, False)]
     edges = spark.createDataFrame([(k, p, v, 0, 1, s) for k, (p, v, s) in enumerate(rows)], "key bigint, pattern string, value bigint, start int, end int, seed boolean")
@@ -123,6 +155,37 @@ def test_masking_keeps_other_columns_and_nulls(spark):
     assert secrets.redacted(docs.limit(0)).collect() == []
 
 
+def masked_plainly(text, marks):
+    out, at = "", 0
+    for start, end in sorted(marks):
+        if start >= at:
+            out += text[at:start] + "#"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_masks_equal_plain_python(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        text = noise(rng, ["a", "é", "😀", "bc"], rng.randrange(0, 900))
+        starts = [rng.randrange(len(text)) for _ in range(rng.choice([0, 3, 255, 256, 257, 800]))] if text else []
+        rows.append((k, text, [(s, min(s + rng.choice([1, 2, 9, 200]), len(text))) for s in starts]))
+    frame = spark.createDataFrame(rows, "k int, t string, s array<struct<start: int, end: int>>")
+    for r in frame.select("*", spans.masked(F.col("t"), F.col("s"), "#").alias("m")).collect():
+        assert r["m"] == masked_plainly(r["t"], [tuple(s) for s in r["s"]])
+
+
+def test_very_many_secrets_are_masked_in_good_time(spark):
+    n = 40_000
+    frame = spark.createDataFrame([("é password=abcdefgh" * n,)], "t string").select(
+        "t", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 19 + 2).alias("start"), (i * 19 + 19).alias("end"))).alias("s")
+    )
+    began = time.monotonic()
+    assert frame.select(spans.masked(F.col("t"), F.col("s"), "#").alias("m")).first()["m"] == "é #" * n
+    assert time.monotonic() - began < 60
+
+
 def test_many_matches_keep_their_places(spark):
     text = "é1 22  " * 1500
     row = spark.createDataFrame([(text,)], "t string").select(spans.found(F.col("t"), "[0-9]+").alias("s")).first()

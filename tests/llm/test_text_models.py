@@ -75,6 +75,32 @@ def test_spans_are_removed(spark):
     assert decontam.cleaned(docs.limit(0), bench).collect() == []
 
 
+def test_short_items_stay_in_clean_documents(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    texts = ["one of the many words here of the kind", f"of the {item} and more words to the end of the long text about other things", "of the"]
+    bench = spark.createDataFrame([(1, "of the"), (2, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in decontam.cleaned(table(spark, texts), bench, max_coverage=0.9).collect()}
+    # the short item touches the long one, so they are one span; on its own it stays unless it is most of the text
+    assert got == {0: texts[0], 1: texts[1].replace(f"of the {item}", "")}
+    short = {r["doc_id"]: r["text"] for r in decontam.cleaned(table(spark, texts), bench, min_span=2, max_coverage=0.9).collect()}
+    assert short[0] == "one  many words here  kind"
+
+
+def test_shards_leave_one_automaton_at_a_time(spark, monkeypatch):
+    """Every shard but the last is settled and its broadcast dropped; results are those of one automaton."""
+    settled = []
+    monkeypatch.setattr(decontam, "settle", lambda f, n, real=decontam.settle: settled.append(n) or real(f, n))
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(4)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = table(spark, [items[2][1], f"{items[0][1]} {items[3][1]}", None, "clean"])
+    one = decontam.find_overlap(docs, bench).collect()
+    assert settled == []
+    many = decontam.find_overlap(docs, bench, shard_words=12)
+    assert len(settled) == 3
+    key = lambda r: r["row"]["doc_id"]
+    assert sorted(many.collect(), key=key) == sorted(one, key=key)
+
+
 TEXTS = ["Hello world, it's 12 o'clock!", None, "", "é漢字 😀\n\n  x", "<|endoftext|> a", "word " * 3000, "Zz", "Zz"]
 
 
@@ -136,6 +162,19 @@ def test_counts_equal_a_unigram_tokenizer():
             assert counter.count(text)[0] == reference_count(list(pieces.items()), text), (pieces, text)
 
 
+def test_texts_of_single_characters_take_the_short_way():
+    """Texts without a gap are counted as the general way counts them; others are left to it."""
+    rng = random.Random(5)
+    vocabulary = [(c, -rng.randrange(1, 5) * 1.0) for c in "▁abcd"]
+    vocabulary += [("".join(rng.choice("▁abcd") for _ in range(rng.randrange(2, 5))), -rng.randrange(1, 9) * 1.0) for _ in range(40)]
+    one = counts.Counter(vocabulary)
+    for _ in range(500):
+        text = "▁" + "".join(rng.choice("abcd") for _ in range(rng.randrange(12)))
+        assert one._covered(text) == one._with_gaps(text)
+        assert one._covered(text + "z") is None and one._covered("z" + text) is None
+        assert one._covered(text + "z" + text) is None
+
+
 def test_counts_with_the_public_vocabulary(spark):
     vocabulary = counts.pieces_of(counts.default_vocabulary())
     out = {r["id"]: r["n_tokens"] for r in counts.count_pieces(table(spark, TEXTS)).collect()}
